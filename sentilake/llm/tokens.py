@@ -1,8 +1,7 @@
 """Token ids of whole texts by a public tokenizer, cut into bounded pieces.
 
 The tokenizer file drops white space before it merges, so a text's ids are the ids
-of its words one after another (it also lower-cases, and no merge crosses from a letter
-to a stop). Each Python worker therefore keeps the ids of the
+of its words one after another. Each Python worker therefore keeps the ids of the
 words it has met, up to a fixed number, and asks the tokenizer only for new ones.
 """
 
@@ -12,6 +11,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +21,34 @@ from pyspark.sql import functions as F
 from .shared import only
 
 #: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 800_000, 64
-STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+REMEMBERED, LONGEST = 400_000, 64
 
 PIECES = "doc_tokens long, start long, length long, ids binary"
 
 
-class WordIds:
-    """Ids of words as little-endian 32-bit bytes."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes, worked out when first asked for.
+
+    Words of plain letters, and printable ASCII words without apostrophes, are cut into runs here
+    and go straight to the tokenizer's merges; any other word takes its whole path.
+    """
 
     _of: dict[str, WordIds] = {}
+    RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -45,30 +57,25 @@ class WordIds:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        """Words whose ids follow one another: case doesn't matter, and a stop or comma after a letter stands alone."""
-        if b"<|" not in text:  # a special token is spelt in lower case only
-            text = STOP.sub(rb" \1", text.lower())
-        return text.split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """All ids of each text."""
-        split, known = [self.words(t) for t in texts], self.known
-        new = {w for ws in split for w in set(ws).difference(known)}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {w for ws in split for w in ws}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found, strict=True))
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        lower = text.lower()
+        if text.isascii() and text.isprintable() and "'" not in text and "<|" not in text:
+            ids = [t.id for run in self.RUNS.findall(lower) for t in self.model.tokenize(run)]
+        elif lower == text and text.isalpha() and is_normalized("NFC", text):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = array("I", ids).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        """All ids of a text."""
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,8 +95,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int, end_id:
             for at in range(0, whole.num_rows, 32):
                 batch = whole.slice(at, 32)
                 owner, total, start, ids = [], [], [], []
-                for i, data in enumerate(encoder.encode([t or b"" for t in batch.column(1).to_pylist()])):
-                    data += tail
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    data = encoder.encode(text or b"") + tail
                     for k in range(0, len(data), step):
                         owner.append(i)
                         total.append(len(data) // 4)
