@@ -32,12 +32,10 @@ class Unigram:
 
     scores: dict[str, float]
     byte_score: float = -20.0
-    known: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
     _of: dict = field(default_factory=dict, init=False, compare=False, repr=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.scores), default=1)
-        self._beginnings = {s[:n] for s in self.scores for n in range(1, len(s) + 1)}
         #: pieces by last character, to extend a prefix by one node
         self.lengths = {}
         for piece in self.scores:
