@@ -1,6 +1,7 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Both steps are a grouped minimum and a join; neither gathers a node's neighbours.
+Both steps are a grouped minimum and a join that leaves the rows of nodes with very many
+neighbours where they are; neither gathers a node's neighbours.
 Each round is staged in the shared folder, so lineage stays short.
 """
 
@@ -9,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import attach, stage
 
 
 def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("least"))
+    return links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,17 +25,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before, ends = None, 2 * links.count()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of each node meet the least of its neighbours and itself
-        least = _least(both).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = _least(both).select("a", F.least("a", "least").alias("least"), "n")
+        large = attach(both, least, "a", ends).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         # small star: each node and its smaller neighbours meet the least of these
-        joined = large.join(_least(large), "a")
+        joined = attach(large, _least(large), "a", ends)
         small = joined.select("a", F.col("least").alias("b")).unionByName(joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
         links = stage(small.distinct())
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).head())
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = now
+        before, ends = now, 2 * now[0]

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 GAP = "[\\x20\\x09-\\x0D]+"
 
+#: A key with more than one of this many parts of a table's rows is hot; so fewer keys than this are.
+HOT = 512
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -64,6 +67,20 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, which has each key once, on a key of which a few values may be hot.
+
+    ``facts`` counts the rows of each key in ``n``, which is dropped; the counts add up to
+    ``total`` at most. Fewer than HOT keys have over a HOT-th of that, so these are
+    broadcast and their rows stay where they are; the rows of the others are shuffled.
+    """
+    hot = F.col(n) * HOT > total
+    some, others = facts.where(hot).drop(n), facts.where(~hot).drop(n)
+    few = rows.join(F.broadcast(some), key)
+    rest = rows.join(F.broadcast(some.select(key)), key, "left_anti").join(others, key)
+    return few.unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     body = F.btrim(text, F.lit(SPACES))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, only, stage
+from .shared import attach, fresh, only, stage
 
 HALF, CODE_BITS, THRESHOLD = 32, 31, 3
 #: Homes of an anchor that are compared in one place.
@@ -190,16 +190,17 @@ def links(fingerprints: DataFrame, *, threshold: int = THRESHOLD, homes: int = H
 
 
 def classes(found: DataFrame, *, threshold: int = THRESHOLD, homes: int = HOMES) -> DataFrame:
-    """fingerprint, component_id (its component's smallest doc_id) and root (its smallest fingerprint).
+    """fingerprint, n (its documents), component_id (its component's smallest doc_id) and root (its smallest fingerprint).
 
     ``found`` has doc_id and fingerprint.
     """
-    distinct = stage(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    distinct = stage(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = stage(components(links(distinct.select("fingerprint"), threshold=threshold, homes=homes)).toDF("fingerprint", "root"))
-    tied = distinct.join(roots, "fingerprint")
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = distinct.join(tied.select("fingerprint", "root").join(least, "root"), "fingerprint", "left")
-    return joined.select("fingerprint", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fingerprint").alias("root"))
+    tied = distinct.select("fingerprint", "first").join(roots, "fingerprint")
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = attach(tied.select("fingerprint", "root"), least, "root", roots.count())
+    joined = distinct.join(named, "fingerprint", "left")
+    return joined.select("fingerprint", "n", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fingerprint").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, **how) -> DataFrame:
@@ -211,7 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = stage(fingerprint(only(docs, doc_id=id_col, text=text_col), shingle=shingle).select("doc_id", "fingerprint"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    return found.join(classes(found, **how), "fingerprint").select("doc_id", digits.alias("fingerprint"), "component_id")
+    named = stage(classes(found, **how))
+    return attach(found, named, "fingerprint", found.count()).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, **how) -> DataFrame:
@@ -221,7 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     found = stage(fingerprint(only(docs, doc_id=id_col, text=text_col), shingle=shingle).select("doc_id", "fingerprint"))
     named = stage(classes(found, **how))
-    judged = stage(found.join(named, "fingerprint"))
+    judged = stage(attach(found, named, "fingerprint", found.count()))
     key, fp, own = fresh(docs, "kept_id"), fresh(docs, "near_fp"), docs[f"`{id_col}`"]
     goes = stage(judged.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
     stays = docs.where(own.isNotNull()).join(goes, own == goes[key], "left_anti")
