@@ -51,6 +51,23 @@ NOISE_PATTERNS = ("cookie(s)?\\s+policy", "accept\\s+all\\s+cookies", "sign\\s+i
 # Keys under which a payload may hold its date, in order.
 DATE_KEYS = ("published_at", "publishedAt", "published", "date", "datetime", "pubDate", "publication_date", "published_date", "article_date", "created_at", "createdAt", "created", "timestamp", "unix_timestamp", "epoch", "time")
 
+# Words that are no phrase to search for, and what follows a topic in the default ones.
+NO_PHRASES = ("here", "are", "useful", "search", "queries", "query")
+DEFAULT_ENDS = ("", " public sentiment", " Nepal reactions")
+
+# Result pages by what a platform's name contains, in order, and those of all others.
+ANY_SEARCH_PAGES = ("https://duckduckgo.com/?q=", "https://www.bing.com/search?q=")
+SEARCH_PAGES = {
+    "reddit": ("https://www.reddit.com/search/?q=",),
+    "youtube": ("https://www.youtube.com/results?search_query=", "https://duckduckgo.com/?q=site%3Ayoutube.com+"),
+    "facebook": ("https://duckduckgo.com/?q=site%3Afacebook.com+",),
+    "instagram": ("https://duckduckgo.com/?q=site%3Ainstagram.com+",),
+}
+
+# Metadata keys that hold an item's address, in order, and those that are metrics.
+ADDRESS_KEYS = ("url", "link", "permalink", "story_url")
+METRICS = ("score", "num_comments", "reply_count", "repost_count", "like_count", "quote_count", "descendants", "upvote_ratio")
+
 # Limits and thresholds.
 MIN_QUALITY, MAX_LINKS, REUSE_DAYS, MAX_TARGETS = 0.35, 1000, 7, 250
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MAX_URL, MAX_SYMBOL = 30, 12_000, 0.35, 0.3, 0.35

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import planning as N
 from ..functions import sentiment as S
 from ..functions import texts as T
 from ..functions import urls as U
-from ..operators import cleaning, export, links, reporting, runs
+from ..operators import cleaning, documents, export, links, reporting, runs
 from ..sources import pages as P
 from ..streaming import events as E
 from .sql import SQL
@@ -19,6 +20,7 @@ __all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BRIEF = links.Brief("the", ("and", "tion"), ("#of",))
+HINTS = ("reddit", "YouTube", "facebook", "instagram", "news", "web")
 POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS = ("the", "and", "tion"), ("of", "eau")
 
 
@@ -322,3 +324,44 @@ def stream_daily_window(spark, d):
 @query
 def eval_confusion(spark, d):
     return reporting.confusion(posts(spark, d), table(spark, d, "labels"))
+
+
+@query
+def search_phrases(spark, d):
+    phrases = N.query_phrases(F.col("text"), F.concat(F.lit("topic "), F.col("conv_id").cast("string")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(phrases, "|").alias("phrases"))
+
+
+@query
+def priority_levels(spark, d):
+    number, name, k = F.substring("o_orderpriority", 1, 1), F.substring("o_orderpriority", 3, 20), F.col("o_orderkey")
+    raw = F.when(k % 3 == 0, number).when(k % 3 == 1, name)
+    return table(spark, d, "orders").select("o_orderkey", N.priority(raw, k % 6).alias("priority"))
+
+
+@query
+def search_pages(spark, d):
+    hints = F.array(*map(F.lit, HINTS))
+    rows = table(spark, d, "part").withColumn("hint", F.element_at(hints, (F.col("p_partkey") % len(HINTS) + 1).cast("int")))
+    return rows.select("p_partkey", F.posexplode(N.search_urls(F.col("p_name"), F.col("hint"))).alias("pos", "url"))
+
+
+@query
+def content_items(spark, d):
+    turn, page = F.col("turn"), F.concat(F.lit("https://example.org/"), F.col("conv_id").cast("string"))
+    item = F.concat(page, F.lit("#"), turn.cast("string"))
+    rows = table(spark, d, "conversations").select(
+        page.alias("normalized_url"), turn.alias("position"), F.col("role").alias("kind"), F.when(turn % 3 == 0, F.col("role")).alias("title"), "text",
+        F.when(turn % 4 == 0, item).when(turn % 4 == 1, F.lit("  ")).alias("source_url"), F.lit(None).cast("string").alias("url"),
+        F.create_map(F.lit("score"), turn.cast("string"), F.lit("link"), F.when(turn % 4 == 2, item), F.lit("seen"), F.lit("yes")).alias("metadata"),
+    )
+    metrics = F.array_join(F.transform(F.map_entries("metrics"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+    return documents.content_items(rows).withColumn("metrics", metrics)
+
+
+@query
+def document_payloads(spark, d):
+    url, k = F.col("url"), F.col("doc_id")
+    targets = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), U.normalize_url(url).alias("normalized_url"), url.alias("title"), U.domain(url).alias("domain"), U.infer_platform(url).alias("platform"))
+    scraped = table(spark, d, "documents").select("doc_id", F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.col("lang")).alias("title"), F.lit("").alias("domain"), F.when(k % 2 == 0, F.col("source")).alias("platform"), F.when(k % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("content_text"), F.col("text").alias("raw_text"))
+    return documents.payloads(targets, scraped, "doc_id")

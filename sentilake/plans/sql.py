@@ -126,6 +126,19 @@ def _meta(name: str) -> str:
     return _tag(f'(?is)<meta[^>]*(?:property|name)="{name}"[^>]*content="([^"]*)"')
 
 
+_ENDS = "[ \\t\\n\\r\\-•*\"''`]+"
+_PHRASE = f"trim(regexp_replace(regexp_replace(p, '^{_ENDS}|{_ENDS}$', '', 'g'), '^[0-9]+[.)]\\s*', ''))"
+_SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+def _level(value: str, high: int, medium: int) -> str:
+    return f"CASE WHEN {value} <= {high} THEN 'high' WHEN {value} <= {medium} THEN 'medium' ELSE 'low' END"
+
+
+def _pages(templates: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{t}' || q" for t in templates) + "]"
+
+
 SQL = {
     "platform_breakdown": f"WITH {POSTS} SELECT platform, {SHARES} FROM p GROUP BY platform",
     "sentiment_summary": f"WITH {POSTS} SELECT {SHARES} FROM p",
@@ -177,4 +190,9 @@ SQL = {
     "best_text_source": f"WITH t AS (SELECT page_id, {_strip('''regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)''')} AS article, {_strip('html')} AS body FROM pages) SELECT page_id, CASE WHEN length(article) > 200 THEN 'article' ELSE 'body' END AS origin, CASE WHEN length(article) > 200 THEN article ELSE body END AS text FROM t",
     "stream_daily_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "eval_confusion": f"WITH {POSTS} SELECT {LABEL3} AS label, quality, toxic, count(*) AS n FROM p JOIN labels ON seq = doc_id GROUP BY ALL",
+    "search_phrases": f"WITH l AS (SELECT conv_id, turn, text, 'topic ' || conv_id::VARCHAR AS topic, list_filter(list_transform(string_split_regex(text, '[,;\\n]+'), lambda p: {_PHRASE}), lambda p: length(p) >= 8 AND lower(p) NOT IN {V.NO_PHRASES}) AS k FROM conversations), u AS (SELECT *, list_filter(k, lambda p, i: list_position(k, p) = i) AS once FROM l) SELECT conv_id, turn, CASE WHEN trim(coalesce(text, ''), {_SPACES}) = '' THEN topic WHEN len(once) > 0 THEN array_to_string(once, '|') ELSE {" || '|' || ".join(f"topic || '{e}'" for e in V.DEFAULT_ENDS)} END AS phrases FROM u",
+    "priority_levels": f"WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS i, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority[1:1] WHEN 1 THEN lower(o_orderpriority[3:]) END AS raw FROM orders) SELECT o_orderkey, CASE WHEN try_cast(raw AS DOUBLE) IS NOT NULL THEN {_level('try_cast(raw AS DOUBLE)', 2, 4)} WHEN raw IN ('high', 'medium', 'low') THEN raw ELSE {_level('i', 1, 3)} END AS priority FROM r",
+    "search_pages": f"WITH h AS (SELECT p_partkey, replace(url_encode(p_name), '%20', '+') AS q, (['reddit', 'youtube', 'facebook', 'instagram', 'news', 'web'])[p_partkey % 6 + 1] AS hint FROM part), l AS (SELECT p_partkey, CASE hint {' '.join(f"WHEN '{k}' THEN {_pages(t)}" for k, t in V.SEARCH_PAGES.items())} ELSE {_pages(V.ANY_SEARCH_PAGES)} END AS urls FROM h) SELECT p_partkey, (generate_subscripts(urls, 1) - 1)::INT AS pos, unnest(urls) AS url FROM l",
+    "content_items": f"WITH c AS (SELECT *, 'https://example.org/' || conv_id::VARCHAR AS normalized_url, nullif(trim(text, {_SPACES}), '') AS body, CASE WHEN turn % 3 = 0 THEN role END AS title FROM conversations), a AS (SELECT *, CASE WHEN turn % 4 IN (0, 2) THEN normalized_url || '#' || turn::VARCHAR END AS url FROM c) SELECT normalized_url, sha256(normalized_url || ':' || coalesce(url, role || ':' || coalesce(title, '') || ':' || coalesce(body, '')[1:160] || ':' || turn::VARCHAR)) AS item_id, turn AS position, role AS kind, url, title, body AS text, body[1:280] AS excerpt, 'score=' || turn::VARCHAR AS metrics, CASE WHEN url IS NOT NULL THEN coalesce(title, url) END AS reference FROM a",
+    "document_payloads": f"WITH t AS (SELECT page_id AS doc_id, {NORMALIZED} AS normalized_url, url AS title, {DOMAIN} AS domain, {PLATFORM} AS platform FROM pages) SELECT t.doc_id, normalized_url, sha256(normalized_url) AS normalized_url_hash, CASE WHEN t.doc_id % 3 = 1 AND lang <> '' THEN lang ELSE title END AS title, domain, CASE WHEN t.doc_id % 2 = 0 AND source <> '' THEN source ELSE platform END AS platform, sha256(nullif(trim(text, {_SPACES}), '')) AS content_hash FROM t JOIN documents s ON t.doc_id = s.doc_id",
 }

@@ -4,10 +4,11 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from sentilake.functions import planning as N
 from sentilake.functions import sentiment as S
 from sentilake.functions import texts as T
 from sentilake.functions import urls as U
-from sentilake.operators import export, links, reporting
+from sentilake.operators import documents, export, links, reporting
 from sentilake.sources import pages as P
 
 
@@ -99,3 +100,26 @@ def test_entry_point_imports_without_the_subpackage(spark):
         del sys.modules["corpus_pipeline"]
         sys.modules.update(kept)
         importlib.reload(__spark_entry__)
+
+
+def test_search_phrases_priorities_and_pages(spark):
+    rows = [("1. price of rice, here; \"fuel queue\"\n- price of rice\n2) flood relief", "x"), ("are; short", "x"), (" \n", "x"), (None, "x")]
+    got = spark.createDataFrame(rows, "text string, topic string").select(N.query_phrases(F.col("text"), F.col("topic")).alias("p")).collect()
+    assert [r.p for r in got] == [["price of rice", "fuel queue", "flood relief"], ["x", "x public sentiment", "x Nepal reactions"], ["x"], ["x"]]
+    levels = [("2", 9), ("3.5", 0), ("5", 0), (" High ", 9), ("soon", 1), (None, 3), ("", 4)]
+    got = spark.createDataFrame(levels, "raw string, i int").select(N.priority(F.col("raw"), F.col("i")).alias("p")).collect()
+    assert [r.p for r in got] == ["high", "medium", "low", "high", "high", "medium", "low"]
+    got = spark.createDataFrame([("a b*~&", "Old.Reddit"), (None, "web")], "q string, hint string").select(N.search_urls(F.col("q"), F.col("hint")).alias("u")).collect()
+    assert got[0].u == ["https://www.reddit.com/search/?q=a+b%2A~%26"] and got[1].u == [None, None]
+
+
+def test_content_items_and_payloads_with_nulls(spark):
+    schema = "normalized_url string, position int, kind string, title string, text string, source_url string, url string, metadata map<string,string>"
+    rows = [("u", 0, None, None, None, None, " ", None), ("u", 1, "post", "t", " body ", None, None, {"permalink": " p ", "like_count": "3", "other": "1"})]
+    a, b = documents.content_items(spark.createDataFrame(rows, schema)).orderBy("position").collect()
+    assert (a.kind, a.url, a.text, a.excerpt, a.metrics, a.reference) == ("content", None, None, None, None, None) and len(a.item_id) == 64
+    assert (b.url, b.text, b.metrics, b.reference) == ("p", "body", {"like_count": "3"}, "t")
+    targets = spark.createDataFrame([(1, "n", "T", "d", "web"), (2, "m", "T", "d", "web")], "k int, normalized_url string, title string, domain string, platform string")
+    scraped = spark.createDataFrame([(1, "", None, "x", "", " \n")], "k int, title string, domain string, platform string, content_text string, raw_text string")
+    (only,) = documents.payloads(targets, scraped, "k").collect()
+    assert (only.title, only.domain, only.platform, only.content_hash) == ("T", "d", "x", None)
