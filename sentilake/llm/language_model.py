@@ -11,15 +11,18 @@ unknown tokens, with D = n1 / (n1 + 2 n2). After h, p(w|h) = (c(h, w) + K p(w))
 where c(h, w) is 0 this is the failure weight K / (c(h) + K) times p(w). Both sum to 1.
 
 No counts are capped and no model is broadcast. Documents are dealt into groups of a
-bounded size. Each group sends, for each bucket of hashes, the sorted hashes of all
-the tokens and pairs its texts hold with their training counts; a bucket adds up the
-groups' counts and answers each in that group's own order. So a group learns the whole
-corpus's counts of just what it holds. Tokens are told apart by 64-bit hashes of
-their bytes; pairs by a bucket and 48 more bits.
+bounded size. Each group sends, for each bucket of hashes that it has any of, the sorted
+hashes of all the tokens and pairs its texts hold with their training counts; a bucket
+adds up the groups' counts and answers each in that group's own order. So a group learns
+the whole corpus's counts of just what it holds, and sends no more messages than it has
+tokens and pairs, however many buckets there are. Tokens are told apart by 64-bit hashes
+of their bytes; pairs by a bucket and 48 more bits. The totals of the training tokens come
+from a count of their hashes beforehand; they reach the driver as one row.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +73,22 @@ class Texts:
         return np.bincount(self.ids[train], minlength=len(self.hash)), np.bincount(self.pair[train], minlength=len(self.pair_hash))
 
 
+def training_totals(rows: DataFrame) -> tuple[int, int, int, int]:
+    """Of the training tokens of text and held_out: all, distinct ones, those seen once and those seen twice."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter[bytes] = Counter()
+            for text in batch.column(0).to_pylist():
+                found.update((text or b"").lower().split())
+            found[END] += batch.num_rows
+            hashes = np.fromiter(map(token_hash, found), np.uint64, len(found)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+
+    n = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "hash long, n long").where("n > 0").groupBy("hash").agg(F.sum("n").alias("n"))
+    return tuple(n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).head())
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two hashes, in order."""
     with np.errstate(over="ignore"):
@@ -136,6 +155,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     size = total_bytes(rows, "text")
     groups, buckets = max(parts(size, group_bytes), min(32, parts(size, group_bytes // 8))), parts(size, bucket_bytes)
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    total, distinct, n1, n2 = training_totals(rows)
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(groups)).cast("int"))
 
     def read(table: pa.Table) -> tuple[pa.Table, Texts, np.ndarray]:
@@ -148,7 +169,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         cols: dict[str, list] = {"bucket": [], "group": [], "hashes": [], "counts": [], "pairs": [], "pair_counts": []}
         one, two = texts.counts(out)
         (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.pair_hash, buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(at) + np.diff(at2)).tolist():
             own, own2 = order[at[b] : at[b + 1]], order2[at2[b] : at2[b + 1]]
             row = (b, group, texts.hash[own].astype("<u8").tobytes(), squeeze(one[own]), short(texts.pair_hash[own2], buckets).tobytes(), squeeze(two[own2]))
             for k, v in zip(cols, row, strict=True):
@@ -156,28 +177,24 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return pa.table([pa.array(cols["bucket"], pa.int32()), pa.array(cols["group"], pa.int32()), *(pa.array(cols[k], pa.binary()) for k in ("hashes", "counts", "pairs", "pair_counts"))], names=list(cols))
 
     def answer(table: pa.Table) -> pa.Table:
-        def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
             whole = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)  # exact below 2**53
             cuts = np.cumsum([len(k) for k in keys])[:-1]
-            return whole, [squeeze(whole[i]) for i in np.split(at, cuts)]
+            return [squeeze(whole[i]) for i in np.split(at, cuts)]
 
-        one, singles = added([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()], [loosen(x) for x in table.column("counts").to_pylist()])
-        _, pairs = added([wide(x) for x in table.column("pairs").to_pylist()], [loosen(x) for x in table.column("pair_counts").to_pylist()])
-        stats = np.asarray([one.sum(), (one > 0).sum(), (one == 1).sum(), (one == 2).sum()], "<i8").tobytes()
-        return pa.table([table.column("group"), table.column("bucket"), pa.array(singles, pa.binary()), pa.array(pairs, pa.binary()), pa.array([stats] * table.num_rows, pa.binary())], names=["group", "bucket", "counts", "pair_counts", "stats"])
+        singles = added([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()], [loosen(x) for x in table.column("counts").to_pylist()])
+        pairs = added([wide(x) for x in table.column("pairs").to_pylist()], [loosen(x) for x in table.column("pair_counts").to_pylist()])
+        return pa.table([table.column("group"), table.column("bucket"), pa.array(singles, pa.binary()), pa.array(pairs, pa.binary())], names=["group", "bucket", "counts", "pair_counts"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         table, texts, out = read(left)
-        count, pair_count, stats = np.zeros(len(texts.hash), np.int64), np.zeros(len(texts.pair_hash), np.int64), np.zeros(4, np.int64)
+        count, pair_count = np.zeros(len(texts.hash), np.int64), np.zeros(len(texts.pair_hash), np.int64)
         (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.pair_hash, buckets)
         for r in right.to_pylist():
             b = r["bucket"]
             count[order[at[b] : at[b + 1]]] = loosen(r["counts"])
             pair_count[order2[at2[b] : at2[b + 1]]] = loosen(r["pair_counts"])
-            stats += np.frombuffer(r["stats"], "<i8")
-        total, distinct, n1, n2 = map(int, stats)
-        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         steps = walk(texts, count, pair_count, total, distinct, discount, concentration)
         base = np.log10((count + smooth) / (total + smooth * (distinct + 1)))[texts.ids]
         starts = np.cumsum(texts.lengths) - texts.lengths
@@ -187,5 +204,5 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return pa.table(cols)
 
     asked = rows.groupBy("group").applyInArrow(ask, "bucket int, group int, hashes binary, counts binary, pairs binary, pair_counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "group int, bucket int, counts binary, pair_counts binary, stats binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "group int, bucket int, counts binary, pair_counts binary")
     return rows.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
