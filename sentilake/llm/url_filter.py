@@ -1,9 +1,9 @@
 """URL verdicts from rules and from a tree of path templates.
 
 Each host's paths are cut into segments, of which plain numbers, dates and long hex
-words become kinds. Level by level, a node with many different children has its rare
-ones made a wildcard, and children whose share of bad labels doesn't differ
-significantly from their siblings' are merged into the wildcard as well; the others
+words become kinds. Level by level, children whose share of bad labels doesn't differ
+significantly from their siblings' are merged into a wildcard, and so are the rare ones
+of a node with many different children whose labels are too few to tell; the others
 keep a branch of their own. What is left are templates. A template's purity, its
 share of good labels, is smoothed towards its host's, and that towards the whole
 table's; a low purity rejects it. Rules by host and path come before templates.
@@ -32,6 +32,7 @@ class Tree:
     levels: int = 4
     many: int = 20  # children from which a node generalises its rare ones
     rare: int = 20  # a child is rare with less than one in so many of the node's urls
+    few: int = 10  # labels below which a rare child's can't tell
     z2: float = 9.0  # square of the standard errors that make a branch differ
     host_weight: int = 20  # labels that the whole table's purity counts for in a host's
     template_weight: int = 10  # labels that a host's purity counts for in a template's
@@ -89,7 +90,7 @@ def templates(urls: DataFrame, tree: Tree = Tree()) -> DataFrame:
     for key in keys:
         child = leaves.groupBy("host", "template", key).agg(F.sum("n").alias("c_n"), F.sum("labelled").alias("c_l"), F.sum("bad").alias("c_b"))
         node = child.where(F.col(key).isNotNull()).groupBy("host", "template").agg(F.count("*").alias("m"), F.sum("c_n").alias("p_n"), F.sum("c_l").alias("p_l"), F.sum("c_b").alias("p_b"))
-        rare = (F.col("m") >= tree.many) & (F.col("c_n") * tree.rare < F.col("p_n"))
+        rare = (F.col("m") >= tree.many) & (F.col("c_n") * tree.rare < F.col("p_n")) & (F.col("c_l") < tree.few)
         # two shares of bad labels differ if the square of their difference exceeds z2 times its variance
         rest_l, rest_b = F.col("p_l") - F.col("c_l"), F.col("p_b") - F.col("c_b")
         gap = (F.col("c_b") * rest_l - rest_b * F.col("c_l")).cast("double")

@@ -167,6 +167,18 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, labels.limit(0), ()).collect()} == {"allow"}
 
 
+def test_a_rare_bad_branch_keeps_its_template(spark):
+    rows = [(100 * s + i, f"http://h.org/s{chr(97 + s)}/x{chr(97 + i % 26)}") for s in range(25) for i in range(40)]
+    rows += [(9000, "http://h.org/lone/x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i // 100 == 7 or i == 9000 else 1) for i, _ in rows], "doc_id long, quality int")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, labels, ()).collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        assert got[i].verdict == ("block" if i // 100 == 7 else "allow"), i
+    assert got[700].template.startswith("/sh/") and got[0].template.startswith("/*/") and got[9000].template.startswith("/*/")
+
+
 # --- 3 ---
 
 
