@@ -47,10 +47,14 @@ def volume_share(days: DataFrame) -> DataFrame:
     return days.crossJoin(F.broadcast(busiest)).select("day", "post_count", F.round(F.col("post_count") / F.col("busiest") * 100, 1).alias("volume_pct"))
 
 
+def keyword_list(content: Column) -> Column:
+    """Words of four letters or more, in order."""
+    return F.regexp_extract_all(F.lower(content), F.lit("[\\p{L}\\p{N}_]{4,}"), 0)
+
+
 def keywords(p: DataFrame) -> DataFrame:
-    """A row for each keyword a post holds: words of four letters or more, and where they come."""
-    found = F.regexp_extract_all(F.lower("content"), F.lit("[\\p{L}\\p{N}_]{4,}"), 0)
-    return p.select("platform", "seq", F.posexplode(found).alias("pos", "keyword"))
+    """A row for each keyword a post holds, and where they come."""
+    return p.select("platform", "seq", F.posexplode(keyword_list(F.col("content"))).alias("pos", "keyword"))
 
 
 def top_keywords(p: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Columns on inline rows: what the tables don't hold."""
 
+import csv
 from datetime import date
 
 import pytest
@@ -77,6 +78,23 @@ def test_exports(spark, tmp_path):
     assert export.file_name("A b", 2, date(2024, 1, 5), "md") == "a-b-v2-20240105.md"
 
 
+def test_csv_holds_whole_contents(spark, tmp_path):
+    long = ' He said "great words", \\ great\r\nnext\rline ' + "é filler text " * 500 + "end  "
+    rows = [(1, long, "en", "s"), (2, "x" * 81, "en", "s"), (3, None, None, None)]
+    posts = reporting.posts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert export.csv_rows(posts).columns == ["id", "platform", "author", "content", "positive", "negative", "neutral", "compound", "keywords"]
+    full = posts.withColumn("url", F.lit("u")).withColumn("timestamp", F.expr("if(seq = 1, timestamp_ntz'2024-01-05 01:02:03', timestamp_ntz'2024-01-05 01:02:03.5')"))
+    export.write_csv(full, str(tmp_path / "whole"))
+    found = {}
+    for part in (tmp_path / "whole").glob("*.csv"):
+        with open(part, newline="", encoding="utf-8") as f:
+            found |= {r["id"]: r for r in csv.DictReader(f)}
+    assert list(found["1"]) == ["id", "platform", "author", "content", "url", "positive", "negative", "neutral", "compound", "keywords", "timestamp"]
+    assert [found[str(i)]["content"] for i, *_ in rows] == [t or "" for _, t, *_ in rows]
+    assert found["1"]["keywords"] == "said; great; words; next; line; filler; text" and found["3"]["keywords"] == ""
+    assert (found["1"]["timestamp"], found["2"]["timestamp"]) == ("2024-01-05T01:02:03", "2024-01-05T01:02:03.500000")
+
+
 def test_feeds_and_searches(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title>a</title><link>l</link></item><item><title>b</title></item></channel></rss>")
     assert [r.title for r in P.feed_items(spark, str(tmp_path / "feed.xml")).orderBy("title").collect()] == ["a", "b"]
