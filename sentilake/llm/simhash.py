@@ -219,20 +219,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, **how) -> DataFrame:
     """One document of each component, with all columns: the one with the smallest id.
 
-    Of several rows with that id one stays, and of a component without any id one row.
+    Of several rows of a component with that id one stays, and of a component without any
+    id one row. An id that other components hold as well stays in each where it is the smallest.
     """
-    found = stage(fingerprint(only(docs, doc_id=id_col, text=text_col), shingle=shingle).select("doc_id", "fingerprint"))
-    named = stage(classes(found, **how))
-    judged = stage(attach(found, named, "fingerprint", found.count()))
-    key, fp, own = fresh(docs, "kept_id"), fresh(docs, "near_fp"), docs[f"`{id_col}`"]
-    goes = stage(judged.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
-    stays = docs.where(own.isNotNull()).join(goes, own == goes[key], "left_anti")
-    twice = stage(judged.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key))
-    if not twice.isEmpty():
-        again = stays.join(twice, own == twice[key], "left_semi").dropDuplicates([id_col])
-        stays = stays.join(twice, own == twice[key], "left_anti").unionByName(again)
-    if not judged.where("doc_id is null and component_id is null").isEmpty():
-        alone = named.where("component_id is null and fingerprint = root").select(F.col("fingerprint").alias(fp))
-        bare = fingerprint(docs.where(own.isNull()), text_col, shingle=shingle, out=fp)
-        stays = stays.unionByName(bare.join(alone, fp, "left_semi").dropDuplicates([fp]).drop(fp))
-    return stays
+    fp, row = fresh(docs, "near_fp"), fresh(docs, "near_row")
+    # staged, so that a row's number stays the same
+    marked = stage(fingerprint(docs, text_col, shingle=shingle, out=fp).withColumn(row, F.monotonically_increasing_id()))
+    found = only(marked, doc_id=id_col, fingerprint=fp, row=row)
+    named = stage(classes(found.select("doc_id", "fingerprint"), **how))
+    least = attach(found, named, "fingerprint", found.count()).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stage(least.groupBy("root").agg(F.min("row").alias(row)).select(row))
+    return marked.join(stays, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])

@@ -267,6 +267,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_each_component_of_a_shared_id_keeps_one(spark):
+    a, b, c, d = (words(random.Random(i), 300, 5000) for i in range(4))
+    rows = [(7, a), (7, b), (1, b), (7, b), (9, c), (9, d), (9, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(7, a), (1, b), (9, c), (9, d)])
+    hot = spark.createDataFrame([(5, words(random.Random(i), 200, 5000), "en", "s", 0) for i in range(40)] + [(5, a, "en", "s", 0)] * 20, DOCS)
+    assert simhash.keep_one(hot).count() == 41
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3), (60, 61), (61, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
