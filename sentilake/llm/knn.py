@@ -21,6 +21,8 @@ from .shared import only, parts, stage
 
 #: Pivots, query cells in a group, and data rows in a block.
 PIVOTS, GROUP_QUERIES, BLOCK = 128, 1024, 16_384
+#: Lengths of vectors that get cells of their own, the commonest; the others are compared without bounds, in one plan.
+LENGTHS = 16
 #: Products below this are exact in doubles.
 EXACT = float(1 << 53)
 #: Below every score, and with a negative.
@@ -72,7 +74,7 @@ def _cells(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
     return rows.mapInArrow(near, "vec_id long, v array<long>, cell int, far double, norm double")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block: int = BLOCK, lengths: int = LENGTHS) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest inner products of each query.
 
     ``is_query`` is a condition on vec_id. Every other usable row is a candidate, ties go
@@ -85,11 +87,51 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
     """
     rows = stage(quantised(vectors, id_col, vector_col, scale))
     spark = rows.sparkSession
-    widths = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().limit(1000).collect()]
+    widths = [r.width for r in rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(lengths).collect()]
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for width in sorted(widths):
         out = out.unionByName(_top_k(rows.where(F.size("v") == width), width, is_query, k, pivots, group_queries, block))
-    return out
+    rest = rows.where(~F.size("v").isin(widths))
+    return out if rest.isEmpty() else out.unionByName(_unbounded(rest, is_query, k, group_queries, block))
+
+
+def _solver(k: int):
+    def solve(ask: pa.Table, have: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"width": [], "query_id": [], "vec_id": [], "score": []}
+        if ask.num_rows and have.num_rows:
+            width = len(ask.column("v")[0])
+            q, ids = matrix(ask.column("v"), width), have.column("vec_id").to_numpy()
+            x, own = matrix(have.column("v"), width), ask.column("vec_id").to_numpy()
+            for at in range(0, len(q), 256):
+                s = scores(q[at : at + 256], x)
+                for i, columns in enumerate(best(np.where(ids == own[at : at + 256, None], LEAST, s), ids, k)):
+                    columns = columns[ids[columns] != own[at + i]]
+                    out["width"].append(np.full(len(columns), width))
+                    out["query_id"].append(np.full(len(columns), own[at + i]))
+                    out["vec_id"].append(ids[columns])
+                    out["score"].append(s[i, columns])
+        return pa.table({n: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for n, v in out.items()})
+
+    return solve
+
+
+def _solve(asking: DataFrame, candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best of each query of a length among the candidates that share its keys."""
+    local = asking.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_solver(k), "width long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("width", "query_id").orderBy(F.desc("score"), "vec_id")
+    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _unbounded(rows: DataFrame, is_query, k: int, group_queries: int, block: int) -> DataFrame:
+    """All queries with all data of their length, whatever the number of lengths."""
+    rows = rows.withColumn("width", F.size("v"))
+    queries = rows.where(is_query).groupBy("width", "vec_id").agg(F.min("v").alias("v"))
+    deals = queries.groupBy("width").agg(F.ceil(F.count("*") / (2 * group_queries)).cast("int").alias("deals"))
+    sizes = stage(rows.groupBy("width").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(deals, "width"))
+    candidates = rows.join(sizes, "width").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    asking = queries.join(sizes, "width").withColumn("deal", F.pmod(F.xxhash64("vec_id"), "deals").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    few = ["width", "deal", "block", "vec_id", "v"]
+    return _solve(stage(asking.select(*few)), candidates.select(*few), few[:3], k)
 
 
 def _top_k(rows: DataFrame, width: int, is_query, k: int, n_pivots: int, group_queries: int, block: int) -> DataFrame:
@@ -97,10 +139,10 @@ def _top_k(rows: DataFrame, width: int, is_query, k: int, n_pivots: int, group_q
     pivots = np.unique(np.asarray([r.v for r in sample], np.float64).reshape(len(sample), width), axis=0)
     placed = stage(_cells(rows, pivots, width))
     least = F.min(F.struct("v", "cell", "far", "norm")).alias("q")
-    queries = placed.where(is_query).groupBy("vec_id").agg(least).select("vec_id", "q.*")
+    queries = placed.where(is_query).groupBy("vec_id").agg(least, F.count("*").alias("copies")).select("vec_id", "q.*", "copies")
     # one row for each of at most n_pivots cells
     data = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
-    asked = {r.cell: r for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()}
+    asked = {r.cell: r for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"), F.max("copies").alias("copies")).collect()}
     if not asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     total = sum(r.n for r in data.values())
@@ -117,7 +159,7 @@ def _top_k(rows: DataFrame, width: int, is_query, k: int, n_pivots: int, group_q
         bound[c] = -np.inf
         for low, n in sure:
             have += n
-            if have > k:  # its own row may be one of them
+            if have >= k + q.copies:  # rows of its own id may be among them
                 bound[c] = low
                 break
     group_of, groups, size = {}, [[]], 0
@@ -149,20 +191,4 @@ def _top_k(rows: DataFrame, width: int, is_query, k: int, n_pivots: int, group_q
     asking = queries.select(F.element_at(cells, F.col("cell")).alias("part"), "vec_id", "v").withColumn("deal", F.pmod(F.xxhash64("vec_id"), deal).cast("int"))
     asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def solve(ask: pa.Table, have: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if ask.num_rows and have.num_rows:
-            q, ids = matrix(ask.column("v"), width), have.column("vec_id").to_numpy()
-            x, own = matrix(have.column("v"), width), ask.column("vec_id").to_numpy()
-            for at in range(0, len(q), 256):
-                s = scores(q[at : at + 256], x)
-                for i, columns in enumerate(best(np.where(ids == own[at : at + 256, None], LEAST, s), ids, k)):
-                    columns = columns[ids[columns] != own[at + i]]
-                    out["query_id"].append(np.full(len(columns), own[at + i]))
-                    out["vec_id"].append(ids[columns])
-                    out["score"].append(s[i, columns])
-        return pa.table({n: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for n, v in out.items()})
-
-    local = asking.groupBy("part", "deal", "block").cogroup(candidates.groupBy("part", "deal", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _solve(asking, candidates, ["part", "deal", "block"], k)

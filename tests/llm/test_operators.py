@@ -335,6 +335,30 @@ def test_top_k_is_exact(spark, pivots, group, block):
     assert knn.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def plain_top_k(rows, k):
+    want = set()
+    for q, v in {(i, len(v)): min(w for j, w in rows if j == i and len(w) == len(v)) for i, v in rows if i % 20 == 0}.items():
+        found = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in rows if c != q[0] and len(w) == len(v))[:k]
+        want |= {(q[0], n + 1, c, -s) for n, (s, c) in enumerate(found)}
+    return want
+
+
+def test_top_k_of_many_lengths_and_repeated_ids(spark):
+    many = [(20 * n + i, [(n * 7 + i * j) % 5 - 2 for j in range(n)]) for n in range(1, 1106) for i in range(3)]
+    assert len({len(v) for _, v in many}) == 1105
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in many], "vec_id long, embedding array<double>")
+    got = knn.top_k(frame, F.col("vec_id") % 20 == 0, scale=1.0, lengths=1).collect()
+    # ids are apart, so each query meets the other two of its length
+    at = {i: v for i, v in many}
+    assert len(got) == 2 * 1105 and {r.query_id for r in got} == {20 * n for n in range(1, 1106)}
+    assert all(len(at[r.query_id]) == len(at[r.vec_id]) and r.score == sum(a * b for a, b in zip(at[r.query_id], at[r.vec_id])) for r in got)
+    rng = random.Random(3)
+    tight = [(20, [100, 0])] * 25 + [(1000 + i, [rng.randrange(-9, 10), rng.randrange(-9, 10)]) for i in range(61) if i % 20]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in tight], "vec_id long, embedding array<double>")
+    got = knn.top_k(frame, F.col("vec_id") % 20 == 0, scale=1.0).collect()
+    assert {tuple(r) for r in got} == plain_top_k(tight, 20) and len(got) == 20
+
+
 # --- 9, 10 ---
 
 
