@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, stage
+from .shared import attach, stage, unstage
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, ends = None, 2 * links.count()
+    size = links.count()
     while True:
+        ends = 2 * size
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of each node meet the least of its neighbours and itself
         least = _least(both).select("a", F.least("a", "least").alias("least"), "n")
@@ -34,8 +35,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: each node and its smaller neighbours meet the least of these
         joined = attach(large, _least(large), "a", ends)
         small = joined.select("a", F.col("least").alias("b")).unionByName(joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
-        links = stage(small.distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).head())
-        if now == before:
+        earlier, links = links, stage(small.distinct())
+        # both hold each pair once, so the same size and no new pair mean the same links
+        n = links.count()
+        if n == size and links.exceptAll(earlier).isEmpty():
+            unstage(earlier)
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before, ends = now, 2 * now[0]
+        unstage(earlier)
+        size = n

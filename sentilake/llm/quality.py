@@ -1,15 +1,20 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Every document gets word, symbol, line and repetition counts from its whole text. For
-each language and source, each metric's values are summed up in a histogram sketch:
-buckets of integers with 16 steps for each power of two, so a quantile is off by a
-sixteenth of its value at most, and adding the buckets of two sketches gives the sketch
-of both. A metric's fence lies above its upper quartile by a multiple of the spread
-between quartiles, and never below a floor; a document beyond any of its group's fences
-is rejected. Groups too small to tell are judged by their language, and languages by all
-documents, whose sketches are sums of theirs.
-
-Only DataFrame functions are used. Integer arithmetic makes the buckets exact.
+each language and source, each metric's values over the documents that pass the base
+rules are summed up in a histogram sketch: buckets of integers with 16 steps for each
+power of two, so a quantile is off by a sixteenth of its value at most, and adding the
+buckets of two sketches gives the sketch of both. A group's sketch is drawn towards its
+language's, and that towards the whole table's, as if ``weight`` of its documents were
+spread like theirs; so small groups need no rule of their own.
+
+A metric's fence is the quantile that leaves ``tail`` of a group beyond it. Where that
+quantile is no more than the median (most documents have none of what is counted), it
+tells nothing, and the fence is the median of what lies beyond. No fence is a constant:
+all come from the sketches, and at most ``tail`` of a group (with its priors) is beyond
+any of them. Fences are joined to the documents by group, and documents beyond go.
+
+Only DataFrame functions are used. Counts are whole numbers, so sketches are exact.
 """
 
 from __future__ import annotations
@@ -19,78 +24,71 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import only, stage, words
+from .shared import SPACES, fresh, key_of, meet, only, stage, words
 
 #: Steps of a sketch for each power of two, as bits.
 STEP_BITS = 4
+SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A number of a document, and the floor of its fences."""
+    """A number of a document, as whole thousandths. A larger value is worse."""
 
     name: str
-    value: Column
-    floor: int
-
-
-def metrics() -> list[Metric]:
-    """Metrics as whole thousandths, of the base columns. A larger value is worse."""
-    ratio = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return [
-        Metric("symbols", ratio("n_symbols", "word_chars"), 100),
-        Metric("dup_lines", ratio("n_dup_lines", "n_lines"), 300),
-        Metric("repeats", ratio("n_repeat_words", "n_words"), 300),
-        Metric("word_length", ratio("word_chars", "n_words"), 12_000),
-    ]
-
-
-def features(docs: DataFrame, text_col: str = "text") -> list[tuple[str, Column]]:
-    """Names and, in steps that may refer to earlier ones, the columns of a whole text's counts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    w, n = F.col("words"), F.col("n_words")
-    three = F.zip_with(
-        F.zip_with(F.slice(w, 1, F.greatest(n - 2, F.lit(0)).cast("int")), F.slice(w, 2, F.greatest(n - 2, F.lit(0)).cast("int")), lambda a, b: F.xxhash64(a, b)),
-        F.slice(w, 3, F.greatest(n - 2, F.lit(0)).cast("int")),
-        lambda ab, c: F.xxhash64(ab, c),
-    )
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return [
-        ("words", words(F.col(text_col))),
-        ("n_words", F.size("words").cast("long")),
-        ("windows", three),
-        ("lines", lines),
-        ("word_chars", F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long")),
-        ("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long")),
-        ("n_lines", F.size("lines").cast("long")),
-        ("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")),
-        ("once", F.size(F.array_distinct("windows")) == F.size("windows")),
-        ("places", F.when(F.col("once"), F.lit(None)).otherwise(F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))),
-        ("n_repeat_words", F.when(F.col("once"), F.lit(0)).otherwise(covered(F.col("places"))).cast("long")),
-    ]
+    part: str
+    whole: str
+
+    @property
+    def value(self) -> Column:
+        return F.floor(1000 * F.col(self.part) / F.greatest(F.col(self.whole), F.lit(1))).cast("long")
+
+
+METRICS = (Metric("symbols", "n_symbols", "word_chars"), Metric("dup_lines", "n_dup_lines", "n_lines"), Metric("repeats", "n_repeat_words", "n_words"), Metric("word_length", "word_chars", "n_words"))
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
+def features(text_col: str, names: dict[str, str]) -> list[tuple[str, Column]]:
+    """Columns of a whole text's counts, in steps that may refer to earlier ones; ``names`` are what they are called."""
+    text, at = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), lambda k: F.col(names[k])
+    # one number for each window of three words
+    three = F.slice(F.transform(at("words"), lambda w, i: F.xxhash64(w, F.get(at("words"), i + 1), F.get(at("words"), i + 2))), F.lit(1), F.greatest(at("n_words") - 2, F.lit(0)).cast("int"))
+    steps = {
+        "words": words(F.col(f"`{text_col}`")),
+        "n_words": F.size(at("words")).cast("long"),
+        "windows": three,
+        "lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
+        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size(at("lines")).cast("long"),
+        "n_dup_lines": (F.size(at("lines")) - F.size(F.array_distinct(at("lines")))).cast("long"),
+        "places": F.when(F.size(F.array_distinct(at("windows"))) < F.size(at("windows")), F.sort_array(F.transform(at("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        "n_repeat_words": F.when(at("places").isNull(), F.lit(0)).otherwise(covered(at("places"))).cast("long"),
+    }
+    return [(names[k], c) for k, c in steps.items()]
 
 
 def covered(places: Column) -> Column:
     """Words in windows whose hash another window shares. ``places`` are (h, i) in order, two at least."""
-    n = F.size(places)
-    same = F.zip_with(F.slice(places, 1, n - 1), F.slice(places, 2, n - 1), lambda a, b: a.h == b.h)
-    none = F.array(F.lit(False))
-    shared = F.zip_with(F.concat(none, same), F.concat(same, none), lambda before, after: before | after)
-    at = F.sort_array(F.filter(F.zip_with(places, shared, lambda p, s: F.when(s, p.i)), lambda i: i.isNotNull()))
+    shared = F.filter(places, lambda p, k: (F.get(places, k - 1)["h"] == p.h) | (F.get(places, k + 1)["h"] == p.h))
+    at = F.sort_array(F.transform(shared, lambda p: p.i))
     # windows of three words: the next repeated window adds the words by which it is further on
-    steps = F.zip_with(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
-    return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda total, x: total + x))
+    step = F.aggregate(at, F.struct(F.lit(0).alias("total"), F.lit(-3).alias("last")), lambda s, i: F.struct((s.total + F.least(i - s.last, F.lit(3))).alias("total"), i.alias("last")))
+    return step["total"]
 
 
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+def counted(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the base columns, and what these are called, since ``docs`` may have such names."""
+    steps = ("words", "n_words", "windows", "lines", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "places", "n_repeat_words")
+    names = {k: fresh(docs, k) for k in steps}
+    kept = [f"`{c}`" for c in docs.columns]
+    for name, column in features(text_col, names):
+        docs = docs.withColumn(name, column)
+    return docs.select(*kept, *[names[k] for k in BASE]), {k: names[k] for k in BASE}
 
 
-def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs``, which has none of the counts' names, with n_words and the other base columns, without the text."""
-    kept = [c for c in docs.columns if c != text_col]
-    for name, column in features(docs, text_col):
-        docs = docs.withColumn(name, column)
-    return docs.select(*kept, *BASE)
+def failed(least_words: int, most_repeats: int) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
 def bucket(value: Column) -> Column:
@@ -107,66 +105,77 @@ def value_of(at: Column) -> Column:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """lang, source, metric, bucket and n: one sketch for each language, source and metric."""
-    each = F.array(*[F.struct(F.lit(m.name).alias("metric"), bucket(m.value).alias("bucket")) for m in metrics()])
-    return counts.where("n_words > 0").select("lang", "source", F.explode(each).alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
+    """lang, source, metric, bucket and n: one sketch for each language, source and metric of the rows that passed."""
+    each = F.array(*[F.struct(F.lit(m.name).alias("metric"), bucket(m.value).alias("bucket")) for m in METRICS])
+    return counts.where(~F.col("base_failed")).select("lang", "source", F.explode(each).alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """n, and the quartiles q1 and q3, of each group's sketches merged."""
-    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*by, "metric")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    reach = lambda q: value_of(F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket"))))
-    return ranked.groupBy(*by, "metric").agg(F.max("total").alias("n"), reach(1).alias("q1"), reach(3).alias("q3"))
+def drawn(names: DataFrame, own: DataFrame, prior: DataFrame, on: str, weight: int) -> DataFrame:
+    """key, metric, bucket and share: of each name's rows up to each bucket of its prior, its own drawn towards that.
 
-
-def fences(sketch: DataFrame, *, spread: int = 3, least_docs: int = 50) -> DataFrame:
-    """lang, source and a fence for each metric: the adaptive thresholds."""
-    fence = lambda q: F.col(f"{q}.q3") + spread * (F.col(f"{q}.q3") - F.col(f"{q}.q1"))
-    own, wide, all_ = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    joined = own.alias("o").join(wide.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")) & (F.col("o.metric") == F.col("w.metric"))).join(F.broadcast(all_.alias("a")), F.col("o.metric") == F.col("a.metric"))
-    chosen = F.when(F.col("o.n") >= least_docs, fence("o")).when(F.col("w.n") >= least_docs, fence("w")).otherwise(fence("a"))
-    floors = F.create_map(*[F.lit(x) for m in metrics() for x in (m.name, m.floor)])
-    rows = joined.select("o.lang", "o.source", "o.metric", F.greatest(chosen, F.element_at(floors, F.col("o.metric")).cast("long")).alias("fence"))
-    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m.name, F.col("fence"))).alias(f"max_{m.name}") for m in metrics()])
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, spread: int = 3, least_docs: int = 50) -> DataFrame:
+    ``names`` has key and ``on``; ``own`` has key, metric, bucket and n; ``prior`` has ``on``,
+    metric, bucket and prior. A prior has all the buckets that its names have.
+    """
+    grid = names.withColumn("metric", F.explode(F.array(*[F.lit(m.name) for m in METRICS]))).join(prior, [on, "metric"]).drop(on)
+    full = grid.join(own, ["key", "metric", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    group = Window.partitionBy("key", "metric")
+    return full.select("key", "metric", "bucket", ((F.sum("n").over(group.orderBy("bucket")) + weight * F.col("prior")) / (F.sum("n").over(group) + weight)).alias("share"))
+
+
+def fences(sketch: DataFrame, groups: DataFrame, *, tail: float, weight: int) -> DataFrame:
+    """key, n and a fence for each metric: the adaptive thresholds of each row of ``groups`` (lang, source, n)."""
+    one, lang, pair = F.lit("all"), key_of(F.col("lang")), key_of(F.col("lang"), F.col("source"))
+    langs = sketch.groupBy(lang.alias("key"), "metric", "bucket").agg(F.sum("n").alias("n"))
+    whole = langs.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    by_metric = Window.partitionBy("metric")
+    # a metric has a thousand buckets at most
+    top = whole.select(one.alias("whole"), "metric", "bucket", (F.sum("n").over(by_metric.orderBy("bucket")) / F.sum("n").over(by_metric)).alias("prior"))
+    wide = drawn(groups.select(lang.alias("key"), one.alias("whole")).distinct(), langs, F.broadcast(top), "whole", weight)
+    wide = stage(wide.withColumnRenamed("key", "lang_key").withColumnRenamed("share", "prior"))
+    own = sketch.select(pair.alias("key"), "metric", "bucket", "n")
+    shares = drawn(groups.select(pair.alias("key"), lang.alias("lang_key")), own, wide, "lang_key", weight)
+    group = Window.partitionBy("key", "metric")
+    reach = lambda share: F.min(F.when(F.col("share") >= share, F.struct("bucket", "share"))).over(group)
+    high = shares.select("*", reach(0.5).alias("middle"), reach(1.0 - tail).alias("high"))
+    # where the quantile is no more than the median: the median of what lies beyond
+    half = high.groupBy("key", "metric").agg(F.first("middle").alias("middle"), F.first("high").alias("high"), F.min(F.when(F.col("share") >= (1.0 + F.col("high.share")) / 2, F.col("bucket"))).alias("half"))
+    at = F.when(F.col("high.bucket") > F.col("middle.bucket"), F.col("high.bucket")).otherwise(F.coalesce("half", "high.bucket"))
+    made = half.select("key", "metric", (value_of(at + 1) - 1).alias("fence")).groupBy("key").agg(*[F.max(F.when(F.col("metric") == m.name, F.col("fence"))).alias(f"max_{m.name}") for m in METRICS])
+    return groups.select(pair.alias("key"), "n").join(made, "key")
+
+
+def verdicts(rows: DataFrame, *, tail: float, weight: int) -> DataFrame:
+    """``rows``, a staged table with lang, source, base_failed and the base columns, with key, the fences and kept."""
+    groups = stage(rows.groupBy("lang", "source").agg(F.count("*").alias("n")))
+    sketch = stage(sketches(rows))
+    limits = stage(fences(sketch, groups, tail=tail, weight=weight)) if not sketch.isEmpty() else None
+    if limits is None:  # nothing passed the base rules
+        return rows.withColumn("kept", F.lit(False)).withColumns({f"max_{m.name}": F.lit(None).cast("long") for m in METRICS})
+    judged = meet(rows.withColumn("key", key_of(F.col("lang"), F.col("source"))), limits, "key")
+    within = F.lit(True)
+    for m in METRICS:
+        within = within & (m.value <= F.col(f"max_{m.name}"))
+    return judged.withColumn("kept", ~F.col("base_failed") & within).drop("key")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 50) -> DataFrame:
     """The base columns, base_failed and kept of each document, and the fences of its group.
 
     Null and blank texts have no words, so they fail. Null languages and sources are
     groups of their own. Repeated rows are judged each and count each. An empty table
     gives no rows; other columns aren't read.
     """
-    counts = stage(base_counts(only(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col)))
-    limits = stage(fences(sketches(counts), spread=spread, least_docs=least_docs))
-    l, s = limits["lang"], limits["source"]
-    joined = counts.join(limits, counts["lang"].eqNullSafe(l) & counts["source"].eqNullSafe(s), "left").drop(l, s)
-    return joined.withColumn("base_failed", failed(least_words, most_repeats)).withColumn("kept", ~F.col("base_failed") & within())
-
-
-def failed(least_words: int, most_repeats: int) -> Column:
-    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-
-
-def within() -> Column:
-    out = F.lit(True)
-    for m in metrics():
-        out = out & F.coalesce(m.value <= F.col(f"max_{m.name}"), F.lit(True))
-    return out
+    counts, _ = counted(only(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col), "text")
+    return verdicts(stage(counts.drop("text").withColumn("base_failed", failed(least_words, most_repeats))), tail=tail, weight=weight)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, spread: int = 3, least_docs: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 50) -> DataFrame:
     """Documents that are kept, with all their columns. Verdicts are as in ``judge``.
 
-    The counts are made twice, once for the sketches and once for the verdicts, so no
-    text is shuffled and rows need no id.
+    Whole rows are staged with their counts, which are made once; rows need no id, and no text is shuffled unless there are very many groups.
     """
-    named = {"text": text_col, "lang": lang_col, "source": source_col}
-    limits = stage(fences(sketches(stage(base_counts(only(docs, **named)))), spread=spread, least_docs=least_docs))
-    rows = base_counts(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[docs[f"`{c}`"].alias(k) for k, c in named.items()]))
-    same = rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"])
-    # one condition over both sides: the optimizer would push a part of it below the counts, and make them twice
-    kept = F.when(failed(least_words, most_repeats) | ~within(), F.lit(False)).otherwise(F.coalesce("max_symbols", F.lit(0)) >= 0)
-    return rows.join(limits, same, "left").where(kept).select("row.*")
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    rows, _ = counted(docs.select(F.struct(*columns).alias("row"), *[docs[f"`{c}`"].alias(k) for k, c in (("text", text_col), ("lang", lang_col), ("source", source_col))]), "text")
+    # no filter before the table is staged: the optimizer would write the counts out again in it
+    counts = stage(rows.drop("text").withColumn("base_failed", failed(least_words, most_repeats)))
+    return verdicts(counts, tail=tail, weight=weight).where("kept").select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import attach, fresh, only, stage
+from .shared import add_column, attach, fresh, only, stage, unstage
 
 HALF, CODE_BITS, THRESHOLD = 32, 31, 3
 #: Homes of an anchor that are compared in one place.
@@ -97,14 +97,12 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", *, shingle: int = 3, out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the signed 64-bit SimHash of a whole text in ``out``; without words it is 0."""
+    """``docs`` with the signed 64-bit SimHash of a whole text in ``out``, which ``docs`` doesn't have; without words it is 0."""
 
-    @F.arrow_udf("long")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array(np.asarray([simhash(t.as_py() or b"", shingle) for t in batch], np.uint64).view(np.int64))
+    def of(texts: list[bytes | None]) -> pa.Array:
+        return pa.array(np.asarray([simhash(t or b"", shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(out, of(docs[f"`{text_col}`"].cast("binary")))
+    return add_column(docs, text_col, out, "long", of)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -52,7 +52,7 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """
 
-_METRICS = (("symbols", "n_symbols", "word_chars", 100), ("dup_lines", "n_dup_lines", "n_lines", 300), ("repeats", "n_repeat_words", "n_words", 300), ("word_length", "word_chars", "n_words", 12000))
+_METRICS = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("word_length", "word_chars", "n_words"))
 
 
 def _ratio(a: str, b: str) -> str:
@@ -60,20 +60,10 @@ def _ratio(a: str, b: str) -> str:
 
 
 def _value(at: str) -> str:
-    shift = f"greatest(({at} // 16) - 1, 0)"
+    shift = f"greatest((({at}) // 16) - 1, 0)"
     return f"((({at}) - {shift} * 16) << {shift})"
 
 
-def _quartiles(name: str, by: str) -> str:
-    cols = f"{by}, " if by else ""
-    return f"""{name} AS (
-  SELECT {cols}metric, max(total) AS n, {_value("min(CASE WHEN 4 * upto >= total THEN bucket END)")} AS q1, {_value("min(CASE WHEN 4 * upto >= 3 * total THEN bucket END)")} AS q3
-  FROM (SELECT {cols}metric, bucket, sum(n) OVER (PARTITION BY {cols}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {cols}metric) AS total
-        FROM (SELECT {cols}metric, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL))
-  GROUP BY ALL
-)"""
-
-
 QUALITY = f"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS t FROM documents
@@ -95,24 +85,40 @@ WITH d AS (
   SELECT row, doc_id, lang, source, len(ws)::BIGINT AS n_words, word_chars, n_symbols, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words
   FROM a LEFT JOIN cover USING (row)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
 ), m AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_ratio(x, y)} AS v FROM f WHERE n_words > 0" for m, x, y, _ in _METRICS)}
+  {" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_ratio(x, y)} AS v FROM b WHERE NOT base_failed" for m, x, y in _METRICS)}
 ), sketch AS (
   SELECT lang, source, metric, greatest(length(bin(v)) - 5, 0) * 16 + (v >> greatest(length(bin(v)) - 5, 0)) AS bucket, count(*)::BIGINT AS n
   FROM m GROUP BY ALL
-), {_quartiles("own", "lang, source")}, {_quartiles("wide", "lang")}, {_quartiles("every", "")}, fence AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.n >= 50 THEN o.q3 + 3 * (o.q3 - o.q1) WHEN w.n >= 50 THEN w.q3 + 3 * (w.q3 - w.q1) ELSE e.q3 + 3 * (e.q3 - e.q1) END AS top
-  FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.metric = w.metric JOIN every e ON o.metric = e.metric
+), every AS (
+  SELECT metric, bucket, sum(sum(n)) OVER (PARTITION BY metric ORDER BY bucket) / sum(sum(n)) OVER (PARTITION BY metric) AS share
+  FROM sketch GROUP BY metric, bucket
+), wide_n AS (
+  SELECT l.lang, e.metric, e.bucket, e.share AS prior, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT lang FROM b) l CROSS JOIN every e
+  LEFT JOIN (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL) s ON l.lang IS NOT DISTINCT FROM s.lang AND e.metric = s.metric AND e.bucket = s.bucket
+), wide AS (
+  SELECT lang, metric, bucket, (sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) + 50 * prior) / (sum(n) OVER (PARTITION BY lang, metric) + 50) AS share FROM wide_n
+), own_n AS (
+  SELECT g.lang, g.source, w.metric, w.bucket, w.share AS prior, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM b) g JOIN wide w ON g.lang IS NOT DISTINCT FROM w.lang
+  LEFT JOIN sketch s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source AND w.metric = s.metric AND w.bucket = s.bucket
+), own AS (
+  SELECT lang, source, metric, bucket, (sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) + 50 * prior) / (sum(n) OVER (PARTITION BY lang, source, metric) + 50) AS share FROM own_n
+), reached AS (
+  SELECT lang, source, metric, min(CASE WHEN share >= 0.5 THEN bucket END) AS middle, min(CASE WHEN share >= 0.98 THEN bucket END) AS high, min(CASE WHEN share >= 0.98 THEN share END) AS upto FROM own GROUP BY ALL
+), fence AS (
+  SELECT r.lang, r.source, r.metric, CASE WHEN max(high) > max(middle) THEN max(high) ELSE min(CASE WHEN share >= (1.0 + upto) / 2 THEN bucket END) END AS place
+  FROM reached r JOIN own o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.metric = o.metric GROUP BY r.lang, r.source, r.metric
 ), top AS (
-  SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN greatest(top, {floor}) END) AS max_{m}" for m, _, _, floor in _METRICS)}
+  SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN {_value('place + 1')} - 1 END) AS max_{m}" for m, _, _ in _METRICS)}
   FROM fence GROUP BY lang, source
-), j AS (
-  SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         {" AND ".join(f"coalesce({_ratio(x, y)} <= max_{m}, true)" for m, x, y, _ in _METRICS)} AS within
-  FROM f LEFT JOIN top ON f.lang IS NOT DISTINCT FROM top.lang AND f.source IS NOT DISTINCT FROM top.source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept FROM j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(f"{_ratio(x, y)} <= max_{m}" for m, x, y in _METRICS)} AS kept
+FROM b JOIN top ON b.lang IS NOT DISTINCT FROM top.lang AND b.source IS NOT DISTINCT FROM top.source
 """
 
 

@@ -374,17 +374,32 @@ def test_quality_counts_and_verdicts(spark):
         failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
         want[i, len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), failed] += 1
     assert got == want
-    kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns
+    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("kept", F.lit(True)).withColumn("row", F.lit(2))
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r.doc_id for r in quality.judge(docs).where("kept").collect())
     assert quality.judge(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
 
 
 def test_junk_is_beyond_the_fences(spark):
     rng = random.Random(6)
-    rows = [(i, words(rng, 100, 10_000), "en", "s", 0) for i in range(200)] + [(1000 + i, " ".join(f"w{rng.randrange(10_000)}###$$$" for _ in range(100)), "en", "s", 0) for i in range(5)]
-    kept = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
-    assert kept == set(range(200))
+    rows = [(i, words(rng, 100, 10_000), "en", "s", 0) for i in range(400)] + [(1000 + i, " ".join(f"w{rng.randrange(10_000)}###$$$" for _ in range(100)), "en", "s", 0) for i in range(5)]
+    out = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, DOCS)).where("not kept and not base_failed").collect()}
+    assert {1000 + i for i in range(5)} <= out and len(out) <= 4 * 0.02 * len(rows)
+
+
+def test_fences_are_the_groups_own(spark):
+    rng = random.Random(7)
+    text = lambda share: " ".join(f"w{rng.randrange(10_000)}" + "#" * (rng.random() < share) for _ in range(200))
+    same = text(0.08)
+    rows = [(i, text(0.02 * rng.random()), "en", "plain", 0) for i in range(300)] + [(1000 + i, text(0.2 * rng.random()), "en", "code", 0) for i in range(300)]
+    rows += [(5000, same, "en", "plain", 0), (5001, same, "en", "code", 0), (5002, same, "en", "few", 0), (5003, same, None, None, 0)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[5000].kept and got[5001].kept
+    assert got[5000].max_symbols < got[5002].max_symbols <= got[5001].max_symbols
+    # each fence leaves the stated share of its group beyond, or less
+    for name, ids in (("plain", range(300)), ("code", range(1000, 1300))):
+        assert sum(1000 * got[i].n_symbols // got[i].word_chars > got[i].max_symbols for i in ids) <= 0.03 * 300, name
 
 
 def test_sketch_buckets_are_close(spark):
