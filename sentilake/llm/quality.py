@@ -9,8 +9,9 @@ language's, and that towards the whole table's, as if ``weight`` of its document
 spread like theirs; so small groups need no rule of their own.
 
 A metric's fence is the quantile that leaves ``tail`` of a group beyond it. Where that
-quantile is no more than the median (most documents have none of what is counted), it
-tells nothing, and the fence is the median of what lies beyond. No fence is a constant:
+quantile is no more than the median (most documents have none of what is counted), its
+spread tells nothing, and the fence lies below the median of what is beyond, so that the
+milder half of it stays. No fence is a constant:
 all come from the sketches, and at most ``tail`` of a group (with its priors) is beyond
 any of them. Fences are joined to the documents by group, and documents beyond go.
 
@@ -139,8 +140,9 @@ def fences(sketch: DataFrame, groups: DataFrame, *, tail: float, weight: int) ->
     high = shares.select("*", reach(0.5).alias("middle"), reach(1.0 - tail).alias("high"))
     # where the quantile is no more than the median: the median of what lies beyond
     half = high.groupBy("key", "metric").agg(F.first("middle").alias("middle"), F.first("high").alias("high"), F.min(F.when(F.col("share") >= (1.0 + F.col("high.share")) / 2, F.col("bucket"))).alias("half"))
-    at = F.when(F.col("high.bucket") > F.col("middle.bucket"), F.col("high.bucket")).otherwise(F.coalesce("half", "high.bucket"))
-    made = half.select("key", "metric", (value_of(at + 1) - 1).alias("fence")).groupBy("key").agg(*[F.max(F.when(F.col("metric") == m.name, F.col("fence"))).alias(f"max_{m.name}") for m in METRICS])
+    above = value_of(F.col("high.bucket") + 1) - 1
+    fence = F.when((F.col("high.bucket") > F.col("middle.bucket")) | F.col("half").isNull(), above).otherwise(F.greatest(above, value_of(F.col("half")) - 1))
+    made = half.select("key", "metric", fence.alias("fence")).groupBy("key").agg(*[F.max(F.when(F.col("metric") == m.name, F.col("fence"))).alias(f"max_{m.name}") for m in METRICS])
     return groups.select(pair.alias("key"), "n").join(made, "key")
 
 

@@ -110,10 +110,10 @@ WITH d AS (
 ), reached AS (
   SELECT lang, source, metric, min(CASE WHEN share >= 0.5 THEN bucket END) AS middle, min(CASE WHEN share >= 0.98 THEN bucket END) AS high, min(CASE WHEN share >= 0.98 THEN share END) AS upto FROM own GROUP BY ALL
 ), fence AS (
-  SELECT r.lang, r.source, r.metric, CASE WHEN max(high) > max(middle) THEN max(high) ELSE min(CASE WHEN share >= (1.0 + upto) / 2 THEN bucket END) END AS place
+  SELECT r.lang, r.source, r.metric, max(high) + 1 AS above, CASE WHEN max(high) = max(middle) THEN min(CASE WHEN share >= (1.0 + upto) / 2 THEN bucket END) END AS half
   FROM reached r JOIN own o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.metric = o.metric GROUP BY r.lang, r.source, r.metric
 ), top AS (
-  SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN {_value('place + 1')} - 1 END) AS max_{m}" for m, _, _ in _METRICS)}
+  SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN greatest({_value('above')}, coalesce({_value('half')}, 0)) - 1 END) AS max_{m}" for m, _, _ in _METRICS)}
   FROM fence GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
