@@ -160,7 +160,7 @@ def verdicts(rows: DataFrame, *, tail: float, weight: int) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & within).drop("key")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 50) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 5) -> DataFrame:
     """The base columns, base_failed and kept of each document, and the fences of its group.
 
     Null and blank texts have no words, so they fail. Null languages and sources are
@@ -171,7 +171,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return verdicts(stage(counts.drop("text").withColumn("base_failed", failed(least_words, most_repeats))), tail=tail, weight=weight)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, least_words: int = 50, most_repeats: int = 50, tail: float = 0.02, weight: int = 5) -> DataFrame:
     """Documents that are kept, with all their columns. Verdicts are as in ``judge``.
 
     Whole rows are staged with their counts, which are made once; rows need no id, and no text is shuffled unless there are very many groups.

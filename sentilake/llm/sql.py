@@ -100,13 +100,13 @@ WITH d AS (
   FROM (SELECT DISTINCT lang FROM b) l CROSS JOIN every e
   LEFT JOIN (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL) s ON l.lang IS NOT DISTINCT FROM s.lang AND e.metric = s.metric AND e.bucket = s.bucket
 ), wide AS (
-  SELECT lang, metric, bucket, (sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) + 50 * prior) / (sum(n) OVER (PARTITION BY lang, metric) + 50) AS share FROM wide_n
+  SELECT lang, metric, bucket, (sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) + 5 * prior) / (sum(n) OVER (PARTITION BY lang, metric) + 5) AS share FROM wide_n
 ), own_n AS (
   SELECT g.lang, g.source, w.metric, w.bucket, w.share AS prior, coalesce(s.n, 0) AS n
   FROM (SELECT DISTINCT lang, source FROM b) g JOIN wide w ON g.lang IS NOT DISTINCT FROM w.lang
   LEFT JOIN sketch s ON g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source AND w.metric = s.metric AND w.bucket = s.bucket
 ), own AS (
-  SELECT lang, source, metric, bucket, (sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) + 50 * prior) / (sum(n) OVER (PARTITION BY lang, source, metric) + 50) AS share FROM own_n
+  SELECT lang, source, metric, bucket, (sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) + 5 * prior) / (sum(n) OVER (PARTITION BY lang, source, metric) + 5) AS share FROM own_n
 ), reached AS (
   SELECT lang, source, metric, min(CASE WHEN share >= 0.5 THEN bucket END) AS middle, min(CASE WHEN share >= 0.98 THEN bucket END) AS high, min(CASE WHEN share >= 0.98 THEN share END) AS upto FROM own GROUP BY ALL
 ), fence AS (

@@ -138,7 +138,12 @@ def test_token_counts_equal_a_plain_viterbi(spark):
         return -best[-1][1]
 
     docs, rows = documents(spark)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    rows = rows + [(800, "x" * 5000 + " " + "y" * 70 + " 😀😀 a😀b ￿ 𝔘𝔫𝔦", "en", "a", 1), (801, " ".join(f"https://example.org/very/long/path/{i}" for i in range(300)), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("n_tokens", F.lit(1)).withColumn("row", F.lit(1))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = [sorted((r.doc_id is None, r.doc_id or 0, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(docs, path, **how).collect()) for how in ({}, {"head": 20, "part": 50}, {"head": 0, "part": 7, "prefixes": (1, 2)})]
+    got = found[0]
+    assert found[1] == got and found[2] == got
     split = [(i, [w.decode() for w in (t or "").encode().split()]) for i, t, *_ in rows]
     assert got == sorted((i is None, i or 0, len(ws), sum(viterbi(token_counts.MARK + w) for w in ws)) for i, ws in split)
     assert token_counts.corpus_counts(token_counts.count_tokens(empty(spark), public_tokenizers.path("piece_bpe_32k.model")))["tokens"] == 0
