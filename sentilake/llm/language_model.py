@@ -1,23 +1,29 @@
-"""Scoring by a bigram language model, walked as a weighted backoff automaton.
+"""Scoring by a trigram language model, walked as a weighted backoff automaton.
 
-Each token that training knows is a state; the start of a text is the state of the end
-token. A seen pair (h, w) is an arc from h to w, with the probability of w after h; a
-pair that training hasn't seen takes h's failure arc to the empty state, with its
-weight, and there w's own arc. One walk from left to right carries the state and adds
-log probabilities, and each step reads one arc, or a failure arc and one arc.
+States are what training has seen as a history: the empty one, single tokens, and pairs
+of tokens. A seen token after a history is an arc, with the smoothed probability of the
+token, to the longest history that the token ends. Whatever has no arc takes the state's
+failure arc, with its backoff weight, to the state without the oldest token; the empty
+state has an arc for every token. One walk from left to right carries the state and adds
+log probabilities. It begins in the state of the end token. A state depends on the last
+two tokens alone, so a long text is walked as segments side by side, each begun by
+walking the two tokens before it.
 
 Smoothing: a token alone has p(w) = (c(w) - D) / N, and D V / N goes to one class of
-unknown tokens, with D = n1 / (n1 + 2 n2). After h, p(w|h) = (c(h, w) + K p(w)) / (c(h) + K);
-where c(h, w) is 0 this is the failure weight K / (c(h) + K) times p(w). Both sum to 1.
+unknown tokens, with D = n1 / (n1 + 2 n2). After a history h, with h' without its oldest
+token, p(w|h) = (c(h, w) + K p(w|h')) / (c(h) + K), K by the length of h; where c(h, w) is
+0 this is the backoff weight K / (c(h) + K) times p(w|h'). All sum to 1.
 
 No counts are capped and no model is broadcast. Documents are dealt into groups of a
-bounded size. Each group sends, for each bucket of hashes that it has any of, the sorted
-hashes of all the tokens and pairs its texts hold with their training counts; a bucket
-adds up the groups' counts and answers each in that group's own order. So a group learns
-the whole corpus's counts of just what it holds, and sends no more messages than it has
-tokens and pairs, however many buckets there are. Tokens are told apart by 64-bit hashes
-of their bytes; pairs by a bucket and 48 more bits. The totals of the training tokens come
-from a count of their hashes beforehand; they reach the driver as one row.
+bounded size, and each group learns the whole corpus's counts of just what it holds, in
+two exchanges with buckets of hashes. In the first it sends its tokens with their
+training counts, and 32 bits of the hash of each pair and triple that it holds; a bucket
+adds up the tokens and says which of the short hashes several groups have. What no other
+group has is counted already. In the second it sends the others, with all 64 bits of
+their hashes and their counts, and the bucket adds up these. Messages go only to buckets
+of which a group holds anything, and a group sends no more of them than it has tokens,
+pairs and triples. The totals of the training tokens come from a count of their hashes
+beforehand; they reach the driver as one row.
 """
 
 from __future__ import annotations
@@ -35,18 +41,31 @@ from .shared import only, parts, total_bytes
 
 #: Bytes of text in a group, and of text for a bucket of hashes.
 GROUP_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
-#: Weight of p(w) beside the counts after a token.
-CONCENTRATION = 40.0
+#: Weight of the shorter history beside the counts after one token, and after two.
+CONCENTRATION = (40.0, 4.0)
 #: The end token, which isn't a word.
 END = b"\n"
+#: Tokens of a text that are walked in a row.
+SEGMENT = 1024
+#: Distinct tokens that a worker adds up before it passes them on.
+HELD = 500_000
 
 
 def token_hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, 7)
 
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two hashes, in order."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 class Texts:
-    """The tokens of a group's texts: word numbers in a row, and how the texts cut it."""
+    """The tokens of a group's texts: word numbers in a row, how the texts cut it, and the distinct n-grams."""
 
     def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = {END: 0}
@@ -58,62 +77,157 @@ class Texts:
             words.append(END)
             lengths.append(len(words))
             rows.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        self.hash = np.fromiter(map(token_hash, number), np.uint64, len(number))
-        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        # in the order of their hashes, so that the rows' order makes no difference
+        hashes = np.fromiter(map(token_hash, number), np.uint64, len(number))
+        del number
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.hash, self.end = hashes[order], int(place[0])
+        self.ids = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
         self.lengths = np.asarray(lengths, np.int64)
-        #: the token before, which is the end token at a start
-        self.before = np.concatenate([[0], self.ids[:-1]]).astype(np.int32) if len(self.ids) else self.ids
-        pairs, self.pair = np.unique(self.before.astype(np.int64) * len(number) + self.ids, return_inverse=True)
-        self.heads, self.tails = pairs // len(number), pairs % len(number)
-        self.pair_hash = mix(self.hash[self.heads], self.hash[self.tails])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        n = len(self.hash)
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[self.starts] = self.end  # the end token comes before a text
+        pairs, self.pair = np.unique(before.astype(np.int64) * n + self.ids, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.heads, self.tails = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        self.later = np.ones(len(self.ids), bool)  # all but the first token of each text follow a pair
+        self.later[self.starts] = False
+        at = np.flatnonzero(self.later)
+        triples, self.triple = np.unique(self.pair[at - 1].astype(np.int64) * n + self.ids[at], return_inverse=True)
+        self.triple = self.triple.astype(np.int32)
+        self.first_pair, self.last = (triples // n).astype(np.int32), (triples % n).astype(np.int32)
+        # the pair that a triple ends in: the one at any place where the triple is
+        self.last_pair = np.zeros(len(triples), np.int32)
+        self.last_pair[self.triple] = self.pair[at]
+        pair_hash = mix(self.hash[self.heads], self.hash[self.tails])
+        #: hashes of pairs, then of triples
+        self.gram_hash = np.concatenate([pair_hash, mix(pair_hash[self.first_pair], self.hash[self.last])])
 
     def counts(self, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often texts that aren't held out have each token and each pair."""
+        """How often texts that aren't held out have each token, and each pair and triple."""
         train = np.repeat(~held_out, self.lengths)
-        return np.bincount(self.ids[train], minlength=len(self.hash)), np.bincount(self.pair[train], minlength=len(self.pair_hash))
+        pairs = np.bincount(self.pair[train], minlength=len(self.heads))
+        triples = np.bincount(self.triple[train[self.later]], minlength=len(self.last))
+        return np.bincount(self.ids[train], minlength=len(self.hash)), np.concatenate([pairs, triples])
+
+
+class Automaton:
+    """States: 0 is the empty one, then tokens, then pairs. Arcs are in the order of state and token."""
+
+    def __init__(self, texts: Texts, one: np.ndarray, grams: np.ndarray, total: int, distinct: int, discount: float, concentration: tuple[float, float]):
+        n, m = len(texts.hash), len(texts.heads)
+        two, three = grams[:m], grams[m:]
+        alone = np.where(one > 0, (one - discount) / max(total, 1), discount * distinct / total if total else 1.0)
+        after = (two + concentration[0] * alone[texts.tails]) / (one[texts.heads] + concentration[0])
+        after2 = (three + concentration[1] * after[texts.last_pair]) / (two[texts.first_pair] + concentration[1])
+        token_state, pair_state = np.where(one > 0, 1 + np.arange(n), 0), 1 + n + np.arange(m)
+        seen, seen2 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+        self.n = n
+        # already in order: tokens by number, pairs by head and tail, triples by pair and token
+        self.key = np.concatenate([np.arange(n), (1 + texts.heads[seen].astype(np.int64)) * n + texts.tails[seen], (1 + n + texts.first_pair[seen2].astype(np.int64)) * n + texts.last[seen2]])
+        self.target = np.concatenate([token_state, pair_state[seen], pair_state[texts.last_pair[seen2]]])
+        with np.errstate(divide="ignore"):
+            self.weight = np.log10(np.concatenate([alone, after[seen], after2[seen2]]))
+        self.failure = np.concatenate([[0], np.zeros(n, np.int64), token_state[texts.tails]])
+        self.backoff = np.concatenate([[0.0], np.log10(concentration[0] / (one + concentration[0])), np.log10(concentration[1] / (two + concentration[1]))])
+        self.start = int(token_state[texts.end])
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state that each token leads to from each state, and what it adds."""
+        state, gain = state.copy(), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            key = state[open_] * self.n + token[open_]
+            at = np.searchsorted(self.key, key)
+            hit = self.key[np.minimum(at, len(self.key) - 1)] == key
+            done, at = open_[hit], at[hit]
+            gain[done] += self.weight[at]
+            state[done] = self.target[at]
+            open_ = open_[~hit]
+            gain[open_] += self.backoff[state[open_]]
+            state[open_] = self.failure[state[open_]]
+        return state, gain
+
+
+def walk(machine: Automaton, texts: Texts, segment: int = SEGMENT) -> np.ndarray:
+    """log10 probability of each text, read from left to right."""
+    cuts = -(-texts.lengths // segment)
+    owner = np.repeat(np.arange(len(cuts)), cuts)
+    begin = texts.starts[owner] + segment * (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    end = np.minimum(begin + segment, (texts.starts + texts.lengths)[owner])
+    order = np.argsort(begin - end, kind="stable")  # the longest first
+    owner, begin, end = owner[order], begin[order], end[order]
+    inner = begin > texts.starts[owner]
+    state, score = np.full(len(begin), machine.start, np.int64), np.zeros(len(begin))
+    for back in (2, 1):  # the two tokens before an inner segment lead to its state
+        if inner.any():
+            state[inner] = machine.step(state[inner] if back == 1 else np.zeros(int(inner.sum()), np.int64), texts.ids[begin[inner] - back])[0]
+    length = end - begin
+    for t in range(int(length.max(initial=0))):
+        n = int(np.searchsorted(-length, -t, "left"))  # segments that are longer than t
+        state[:n], gain = machine.step(state[:n], texts.ids[begin[:n] + t])
+        score[:n] += gain
+    return np.bincount(owner, weights=score, minlength=len(cuts))
 
 
 def training_totals(rows: DataFrame) -> tuple[int, int, int, int]:
     """Of the training tokens of text and held_out: all, distinct ones, those seen once and those seen twice."""
 
+    def out(found: Counter) -> pa.RecordBatch:
+        hashes = np.fromiter(map(token_hash, found), np.uint64, len(found)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
         for batch in batches:
-            found: Counter[bytes] = Counter()
             for text in batch.column(0).to_pylist():
                 found.update((text or b"").lower().split())
             found[END] += batch.num_rows
-            hashes = np.fromiter(map(token_hash, found), np.uint64, len(found)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+            if len(found) > HELD:
+                yield out(found)
+                found = Counter()
+        yield out(found)
 
     n = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "hash long, n long").where("n > 0").groupBy("hash").agg(F.sum("n").alias("n"))
     return tuple(n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).head())
 
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two hashes, in order."""
-    with np.errstate(over="ignore"):
-        x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by bucket and then hash, and where each bucket begins."""
-    bucket = hashes % np.uint64(buckets)
-    order = np.lexsort((hashes, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    """The order that sorts by bucket and then 32 more bits, and where each bucket begins."""
+    code = (hashes % np.uint64(buckets)) << np.uint64(32) | short(hashes, buckets)
+    order = np.argsort(code)
+    return order, np.searchsorted(code[order], np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
 
 def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """48 more bits of each hash, as three 16-bit columns, to tell hashes of one bucket apart."""
-    return ((hashes // np.uint64(buckets)) >> np.uint64(8)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
+    """32 more bits of each hash than its bucket has."""
+    return ((hashes // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
 
+def thin(rising: np.ndarray) -> bytes:
+    """Rising 32-bit numbers: the low bytes of each, and how many have each value of the high ones.
 
-def wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 4), "<u2")
-    out[:, :3] = np.frombuffer(data, "<u2").reshape(-1, 3)
-    return out.reshape(-1).view("<u8")
+    Two high bytes if there are many numbers, else one.
+    """
+    low = 2 if len(rising) >= 1 << 14 else 3
+    ends = np.searchsorted(rising, np.arange(1, (1 << 8 * (4 - low)) + 1, dtype=np.int64) << (8 * low))
+    lows = rising.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :low]
+    return bytes([low]) + squeeze(np.diff(ends, prepend=0)) + lows.T.tobytes()
+
+
+def thick(data: bytes) -> np.ndarray:
+    """What ``thin`` made small."""
+    low, width = data[0], data[1]
+    n_high = 1 << 8 * (4 - low)
+    counts = np.frombuffer(data, f"<u{width}", n_high, 2).astype(np.int64)
+    lows = np.frombuffer(data, np.uint8, offset=2 + width * n_high).reshape(low, -1)
+    out = np.zeros((lows.shape[1], 4), np.uint8)
+    out[:, :low] = lows.T
+    return out.reshape(-1).view("<u4") + np.repeat(np.arange(n_high, dtype=np.uint32) << np.uint32(8 * low), counts)
 
 
 def squeeze(counts: np.ndarray) -> bytes:
@@ -127,20 +241,7 @@ def loosen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def walk(texts: Texts, count: np.ndarray, pair_count: np.ndarray, total: int, distinct: int, discount: float, concentration: float) -> np.ndarray:
-    """log10 probability of each token as the automaton reads it."""
-    alone = np.where(count > 0, (count - discount) / max(total, 1), discount * distinct / total if total else 1.0)
-    with np.errstate(divide="ignore"):
-        arc = np.log10(alone)
-    failure = np.log10(concentration / (count + concentration))
-    # from every pair of this group to the arc or the failure arc it takes; an unknown state is the empty one
-    head, tail = texts.heads, texts.tails
-    seen = np.log10(np.maximum(pair_count + concentration * alone[tail], 1e-300) / (count[head] + concentration))
-    step = np.where(pair_count > 0, seen, failure[head] + arc[tail])
-    return step[texts.pair]
-
-
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: float = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: tuple[float, float] = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of whole texts by a model of those that aren't held out.
 
     ``held_out`` is a condition on columns doc_id and text. Returns doc_id, held_out,
@@ -157,52 +258,93 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     total, distinct, n1, n2 = training_totals(rows)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(groups)).cast("int"))
+    # a row's place in the input, which is the same whenever that is read, deals out copies as well
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+
+    def read(table: pa.Table) -> tuple[Texts, np.ndarray]:
+        return Texts([t or b"" for t in table.column("text").to_pylist()]), table.column("held_out").to_numpy()
 
-    def read(table: pa.Table) -> tuple[pa.Table, Texts, np.ndarray]:
-        # hashes don't depend on the rows' order, so both passes see the same
-        return table, Texts([t or b"" for t in table.column("text").to_pylist()]), table.column("held_out").to_numpy()
+    def messages(group: int, cuts: list[np.ndarray], content: list) -> pa.Table:
+        """A row for each bucket that any of ``cuts`` has something for; ``content`` makes its columns of the parts' ends."""
+        some = np.flatnonzero(sum(np.diff(c) for c in cuts)).tolist()
+        cols = [[make(b) for b in some] for make in content]
+        return pa.table([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "group", "a", "b", "c"][: 2 + len(cols)])
 
-    def ask(table: pa.Table) -> pa.Table:
-        table, texts, out = read(table)
+    def probe(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
-        cols: dict[str, list] = {"bucket": [], "group": [], "hashes": [], "counts": [], "pairs": [], "pair_counts": []}
-        one, two = texts.counts(out)
-        (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.pair_hash, buckets)
-        for b in np.flatnonzero(np.diff(at) + np.diff(at2)).tolist():
-            own, own2 = order[at[b] : at[b + 1]], order2[at2[b] : at2[b + 1]]
-            row = (b, group, texts.hash[own].astype("<u8").tobytes(), squeeze(one[own]), short(texts.pair_hash[own2], buckets).tobytes(), squeeze(two[own2]))
-            for k, v in zip(cols, row, strict=True):
-                cols[k].append(v)
-        return pa.table([pa.array(cols["bucket"], pa.int32()), pa.array(cols["group"], pa.int32()), *(pa.array(cols[k], pa.binary()) for k in ("hashes", "counts", "pairs", "pair_counts"))], names=list(cols))
+        texts, out = read(table)
+        one, _ = texts.counts(out)
+        (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.gram_hash, buckets)
+        tokens, one, grams = texts.hash[order].astype("<u8"), one[order], short(texts.gram_hash[order2], buckets)
+        return messages(group, [at, at2], [lambda b: tokens[at[b] : at[b + 1]].tobytes(), lambda b: squeeze(one[at[b] : at[b + 1]]), lambda b: thin(grams[at2[b] : at2[b + 1]])])
+
+    def added(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
+        """The counts of each message's keys, added up over all messages."""
+        found = [np.frombuffer(k, "<u8") for k in keys]
+        _, at = np.unique(np.concatenate(found), return_inverse=True)
+        whole = np.bincount(at, weights=np.concatenate([loosen(c) for c in counts])).astype(np.int64)  # exact below 2**53
+        return [squeeze(whole[i]) for i in np.split(at, np.cumsum([len(k) for k in found])[:-1])]
+
+    def compare(table: pa.Table) -> pa.Table:
+        grams = [thick(x) for x in table.column("c").to_pylist()]
+        rising = np.sort(np.concatenate(grams))
+        twice = np.append(rising[1:][rising[1:] == rising[:-1]], np.uint32(0))
+        found = [g == twice[np.minimum(np.searchsorted(twice[:-1], g), len(twice) - 1)] for g in grams]
+        shared = [np.packbits(f).tobytes() for f in found]
+        return pa.table([table.column("bucket"), table.column("group"), pa.array(added(table.column("a").to_pylist(), table.column("b").to_pylist()), pa.binary()), pa.array(shared, pa.binary())], names=["bucket", "group", "a", "b"])
+
+    def flags(told: list[dict], at2: np.ndarray) -> np.ndarray:
+        """Whether another group has them too, of pairs and triples in their order."""
+        shared = np.zeros(at2[-1], bool)
+        for r in told:
+            lo, hi = at2[r["bucket"]], at2[r["bucket"] + 1]
+            shared[lo:hi] = np.unpackbits(np.frombuffer(r["b"], np.uint8), count=hi - lo)
+        return shared
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, out = read(left)
+        group, told = left.column("group")[0].as_py(), right.to_pylist()
+        order2, at2 = dealt(texts.gram_hash, buckets)
+        some = flags(told, at2)
+        # the answers of the first exchange come back with those of the second
+        first = {r["bucket"]: len(r["a"]).to_bytes(8, "little") + r["a"] + r["b"] for r in told}
+        cuts = np.concatenate([[0], np.cumsum(some)])[at2]
+        keys, two = texts.gram_hash[order2][some].astype("<u8"), texts.counts(out)[1][order2][some]
+        every = np.zeros(buckets + 1, np.int64)
+        every[1:] = np.cumsum([b in first for b in range(buckets)])
+        return messages(group, [every], [lambda b: keys[cuts[b] : cuts[b + 1]].tobytes(), lambda b: squeeze(two[cuts[b] : cuts[b + 1]]), first.__getitem__])
 
     def answer(table: pa.Table) -> pa.Table:
-        def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[bytes]:
-            _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            whole = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)  # exact below 2**53
-            cuts = np.cumsum([len(k) for k in keys])[:-1]
-            return [squeeze(whole[i]) for i in np.split(at, cuts)]
-
-        singles = added([np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()], [loosen(x) for x in table.column("counts").to_pylist()])
-        pairs = added([wide(x) for x in table.column("pairs").to_pylist()], [loosen(x) for x in table.column("pair_counts").to_pylist()])
-        return pa.table([table.column("group"), table.column("bucket"), pa.array(singles, pa.binary()), pa.array(pairs, pa.binary())], names=["group", "bucket", "counts", "pair_counts"])
+        whole = added(table.column("a").to_pylist(), table.column("b").to_pylist())
+        return pa.table([table.column("bucket"), table.column("group"), pa.array(whole, pa.binary()), table.column("c")], names=["bucket", "group", "a", "c"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, texts, out = read(left)
-        count, pair_count = np.zeros(len(texts.hash), np.int64), np.zeros(len(texts.pair_hash), np.int64)
-        (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.pair_hash, buckets)
-        for r in right.to_pylist():
-            b = r["bucket"]
-            count[order[at[b] : at[b + 1]]] = loosen(r["counts"])
-            pair_count[order2[at2[b] : at2[b + 1]]] = loosen(r["pair_counts"])
-        steps = walk(texts, count, pair_count, total, distinct, discount, concentration)
-        base = np.log10((count + smooth) / (total + smooth * (distinct + 1)))[texts.ids]
-        starts = np.cumsum(texts.lengths) - texts.lengths
-        per = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        known = per((count[texts.ids] > 0).astype(np.int64)).astype(np.int64)
-        cols = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(texts.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), total)), "base_score": pa.array(per(base)), "score": pa.array(per(steps))}
+        texts, out = read(left)
+        told = right.to_pylist()
+        (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.gram_hash, buckets)
+        one, grams = texts.counts(out)
+        counts, placed = one[order], grams[order2]
+        for r in told:
+            size = 8 + int.from_bytes(r["c"][:8], "little")
+            counts[at[r["bucket"]] : at[r["bucket"] + 1]] = loosen(r["c"][8:size])
+            r["b"] = r["c"][size:]
+        some = flags(told, at2)
+        cuts = np.concatenate([[0], np.cumsum(some)])[at2]
+        asked = np.zeros(cuts[-1], np.int64)
+        for r in told:
+            asked[cuts[r["bucket"]] : cuts[r["bucket"] + 1]] = loosen(r["a"])
+        placed[some] = asked
+        one[order], grams[order2] = counts, placed
+        got = walk(Automaton(texts, one, grams, total, distinct, discount, concentration), texts)
+        base = np.log10((one + smooth) / (total + smooth * (distinct + 1)))[texts.ids]
+        per = lambda x: np.add.reduceat(x, texts.starts) if len(x) else np.zeros(0)
+        known = per((one[texts.ids] > 0).astype(np.int64)).astype(np.int64)
+        cols = {"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(texts.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), total)), "base_score": pa.array(per(base)), "score": pa.array(got)}
         return pa.table(cols)
 
-    asked = rows.groupBy("group").applyInArrow(ask, "bucket int, group int, hashes binary, counts binary, pairs binary, pair_counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "group int, bucket int, counts binary, pair_counts binary")
+    sent = "bucket int, group int, a binary, b binary"
+    probed = rows.groupBy("group").applyInArrow(probe, f"{sent}, c binary")
+    shared = probed.groupBy("bucket").applyInArrow(compare, sent)
+    asked = rows.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(ask, f"{sent}, c binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, group int, a binary, c binary")
     return rows.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
