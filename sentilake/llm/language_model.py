@@ -41,8 +41,8 @@ from .shared import only, parts, total_bytes
 
 #: Bytes of text in a group, and of text for a bucket of hashes.
 GROUP_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
-#: Weight of the shorter history beside the counts after one token, and after two.
-CONCENTRATION = (40.0, 4.0)
+#: Weight of the shorter history beside the counts after one token; after two that came once; after two that came more often.
+CONCENTRATION = (100.0, 400.0, 1.0)
 #: The end token, which isn't a word.
 END = b"\n"
 #: Tokens of a text that are walked in a row.
@@ -118,12 +118,13 @@ class Texts:
 class Automaton:
     """States: 0 is the empty one, then tokens, then pairs. Arcs are in the order of state and token."""
 
-    def __init__(self, texts: Texts, one: np.ndarray, grams: np.ndarray, total: int, distinct: int, discount: float, concentration: tuple[float, float]):
+    def __init__(self, texts: Texts, one: np.ndarray, grams: np.ndarray, total: int, distinct: int, discount: float, concentration: tuple[float, float, float]):
         n, m = len(texts.hash), len(texts.heads)
         two, three = grams[:m], grams[m:]
         alone = np.where(one > 0, (one - discount) / max(total, 1), discount * distinct / total if total else 1.0)
         after = (two + concentration[0] * alone[texts.tails]) / (one[texts.heads] + concentration[0])
-        after2 = (three + concentration[1] * after[texts.last_pair]) / (two[texts.first_pair] + concentration[1])
+        prior = np.where(two > 1, concentration[2], concentration[1])
+        after2 = (three + prior[texts.first_pair] * after[texts.last_pair]) / (two + prior)[texts.first_pair]
         token_state, pair_state = np.where(one > 0, 1 + np.arange(n), 0), 1 + n + np.arange(m)
         seen, seen2 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
         self.n = n
@@ -133,7 +134,7 @@ class Automaton:
         with np.errstate(divide="ignore"):
             self.weight = np.log10(np.concatenate([alone, after[seen], after2[seen2]]))
         self.failure = np.concatenate([[0], np.zeros(n, np.int64), token_state[texts.tails]])
-        self.backoff = np.concatenate([[0.0], np.log10(concentration[0] / (one + concentration[0])), np.log10(concentration[1] / (two + concentration[1]))])
+        self.backoff = np.concatenate([[0.0], np.log10(concentration[0] / (one + concentration[0])), np.log10(prior / (two + prior))])
         self.start = int(token_state[texts.end])
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +242,7 @@ def loosen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: tuple[float, float] = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: tuple[float, float, float] = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of whole texts by a model of those that aren't held out.
 
     ``held_out`` is a condition on columns doc_id and text. Returns doc_id, held_out,

@@ -1,7 +1,7 @@
 """First-fit-decreasing packing of documents into sequences.
 
-Pieces of documents are dealt into groups at random (by a hash of what they are),
-and each group is packed on its own, so groups are as many as the input needs and
+Pieces of documents are dealt into groups at random (by a hash of their place in the
+input), and each group is packed on its own, so groups are as many as the input needs and
 no task sees more than one. Within a group a tournament tree over the bins' free
 room finds the first bin that fits. Then the emptiest bins are cut up to top up
 bins whose gap exceeds a tolerance, and the last one is cut into powers of two,
@@ -96,8 +96,11 @@ def top_up(bins: list[list[tuple[int, int, int]]], capacity: int, tolerance: int
 
 
 def grouped(pieces: DataFrame, groups: int, seed: int) -> DataFrame:
-    """Pieces with their group; the hash takes in the ids, so null doc_ids spread too."""
-    return pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", "ids", F.lit(seed)), F.lit(groups)))
+    """Pieces with their group, by a hash of their place in the input, so that null ids and copies of a row spread too.
+
+    The place is the same whenever the input is read, so a lost task's pieces keep their groups.
+    """
+    return pieces.withColumn("pack", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", tolerance: int = 16, group_bytes: int = GROUP_BYTES, seed: int = 4) -> DataFrame:

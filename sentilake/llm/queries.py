@@ -26,8 +26,7 @@ def remainder(id_col: str, n: int):
 
 
 def token_output_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_output.token_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return rows.select("sequence_id", "n_tokens", F.size("doc_ids").cast("long").alias("n_segments"), "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+    return token_output.token_matrices(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,14 +135,14 @@ def add_column(df: DataFrame, text_col: str, name: str, kind: str, work: Callabl
     Small slices keep a worker's memory to a few texts beside Spark's own batch.
     """
 
+    at_text = [c.lower() for c in df.columns].index(text_col.lower())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 part = whole.slice(at, rows)
-                text = part.column(part.num_columns - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(text.cast(pa.binary()).to_pylist())], names=[*part.schema.names[:-1], name])
-            del whole
-        pa.default_memory_pool().release_unused()
+                text = part.column(at_text).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, work(text)], names=[*part.schema.names, name])
+            pa.default_memory_pool().release_unused()
 
-    read = df.select(*[df[f"`{c}`"] for c in df.columns], df[f"`{text_col}`"].alias(name))
-    return read.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields]))

@@ -128,24 +128,32 @@ def _kind(x: str) -> str:
     return f"regexp_replace({x}, '[0-9]+', '{{n}}', 'g')"
 
 
-def _urls(levels: int = 4) -> str:
-    keys = [f"k{i + 1}" for i in range(levels)]
-    all_keys = ", ".join(keys)
-    cut = [f"{_kind(f's[{i + 1}]')} AS {k}" for i, k in enumerate(keys[:-1])] + [f"{_kind(f'''CASE WHEN len(s) >= {levels} THEN array_to_string(s[{levels}:], '/') END''')} AS {keys[-1]}"]
+def _differs(n: str, bad: str, all_n: str, all_bad: str) -> str:
+    n, bad, all_n, all_bad = (f"{c}::DOUBLE" for c in (n, bad, all_n, all_bad))
+    return f"(({bad} * ({all_n} - {n}) - ({all_bad} - {bad}) * {n}) ** 2 > 9.0 * ({all_bad} * ({all_n} - {all_bad}) / greatest({all_n}, 1.0) * {n} * ({all_n} - {n})))"
+
+
+def _urls(levels: int = 6) -> str:
+    """The tree down to ``levels`` segments, which are more than any path of the test tables has."""
+    slots = " || '|' || ".join(f"coalesce(min(CASE WHEN md5(s[{{i}} + 1])[1] BETWEEN '{a}' AND '{b}' THEN md5(s[{{i}} + 1]) END), '-')" for a, b in ("03", "47", "8b", "cf"))
     steps = []
-    for i, key in enumerate(keys):
+    for i in range(1, levels + 1):
         steps.append(f"""child{i} AS (
-  SELECT host, template, {key}, sum(n) AS c_n, sum(labelled) AS c_l, sum(bad) AS c_b FROM leaves{i} WHERE {key} IS NOT NULL GROUP BY ALL
+  SELECT host, template, s[{i}] AS key, sum(n) AS c_n, sum(labelled) AS c_l, sum(bad) AS c_b, max(len(s) <= {i})::VARCHAR || '|' || {slots.format(i=i)} AS alike
+  FROM leaves{i - 1} WHERE going AND len(s) >= {i} GROUP BY host, template, s[{i}]
 ), node{i} AS (
-  SELECT host, template, count(*) AS m, sum(c_n) AS p_n, sum(c_l) AS p_l, sum(c_b) AS p_b FROM child{i} GROUP BY ALL
+  SELECT host, template, count(*) AS m, count(*) FILTER (WHERE c_n = 1) AS once, sum(c_n) AS p_n, sum(c_l) AS p_l, sum(c_b) AS p_b FROM child{i} GROUP BY ALL
+), wild{i} AS (
+  SELECT *, m >= 20 AND 2 * once >= m AND c_n * 20 < p_n AND NOT (c_l >= 10 AND {_differs("c_l", "c_b", "p_l", "p_b")}) AS wild FROM child{i} JOIN node{i} USING (host, template)
+), merged{i} AS (
+  SELECT host, template, alike, count(*) AS g, sum(c_l) AS g_l, sum(c_b) AS g_b, min(key) AS first, max(key) AS last FROM wild{i} WHERE NOT wild AND p_l >= 10 GROUP BY ALL
 ), branch{i} AS (
-  SELECT host, template, {key}, CASE WHEN (m >= 20 AND c_n * 20 < p_n)
-           OR NOT ((c_b * (p_l - c_l) - (p_b - c_b) * c_l)::DOUBLE ** 2 > 9.0 * (p_b::DOUBLE * (p_l - p_b)::DOUBLE / greatest(p_l, 1)::DOUBLE * c_l::DOUBLE * (p_l - c_l)::DOUBLE))
-         THEN '*' ELSE {key} END AS branch
-  FROM child{i} JOIN node{i} USING (host, template)
-), leaves{i + 1} AS (
-  SELECT l.host, {", ".join(f"l.{k}" for k in keys)}, n, labelled, bad, CASE WHEN branch IS NULL THEN l.template ELSE l.template || '/' || branch END AS template
-  FROM leaves{i} l LEFT JOIN branch{i} b ON l.host = b.host AND l.template = b.template AND l.{key} = b.{key}
+  SELECT host, template, key, CASE WHEN p_l < 10 THEN '**' WHEN wild THEN '*' WHEN g = 1 OR (c_l >= 10 AND {_differs("c_l", "c_b", "g_l", "g_b")}) THEN key
+         ELSE '(' || first || '..' || last || ')' END AS branch
+  FROM wild{i} LEFT JOIN merged{i} USING (host, template, alike)
+), leaves{i} AS (
+  SELECT l.host, l.kind, s, n, labelled, bad, CASE WHEN branch IS NULL THEN l.template ELSE l.template || '/' || branch END AS template, going AND coalesce(branch <> '**', false) AS going
+  FROM leaves{i - 1} l LEFT JOIN branch{i} b ON going AND l.host = b.host AND l.template = b.template AND l.s[{i}] = b.key
 )""")
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     rules.sort(key=lambda r: -len(r[1] + r[2]))
@@ -160,30 +168,29 @@ WITH x AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM x
-), s AS (
-  SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS s FROM h
 ), u AS (
-  SELECT page_id, host, path, {", ".join(cut)} FROM s
+  SELECT page_id, host, path, {_kind("path")} AS kind FROM h
 ), labelled AS (
   SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), leaves0 AS (
-  SELECT host, {all_keys}, count(*) AS n, count(quality) AS labelled, count(*) FILTER (WHERE quality <= 0) AS bad, '' AS template
-  FROM u LEFT JOIN labelled ON page_id = doc_id GROUP BY host, {all_keys}
+  SELECT host, kind, string_split(regexp_replace(kind, '^/', ''), '/') AS s, count(*) AS n, count(quality) AS labelled, count(*) FILTER (WHERE quality <= 0) AS bad, '' AS template, true AS going
+  FROM u LEFT JOIN labelled ON page_id = doc_id GROUP BY host, kind
 ), {", ".join(steps)}, own AS (
   SELECT host, template, sum(labelled - bad) AS good, sum(labelled) AS labelled FROM leaves{levels} GROUP BY ALL
 ), hosts AS (
   SELECT host, sum(good) AS good, sum(labelled) AS labelled FROM own GROUP BY host
 ), every AS (
   SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 1.0 END::DOUBLE AS p FROM hosts
+), priors AS (
+  SELECT host, p, (good + 20 * p) / (labelled + 20) AS h_purity FROM hosts, every
 ), pure AS (
-  SELECT own.host, template, (own.good + 10 * ((hosts.good + 20 * every.p) / (hosts.labelled + 20))) / (own.labelled + 10) AS purity
-  FROM own JOIN hosts ON own.host = hosts.host, every
+  SELECT own.host, template, labelled, p, h_purity, (good + 10 * h_purity) / (labelled + 10) AS purity FROM own JOIN priors ON own.host = priors.host
 ), judged AS (
-  SELECT l.host, {", ".join(f"l.{k}" for k in keys)}, purity FROM leaves{levels} l JOIN pure p ON l.host = p.host AND l.template = p.template
+  SELECT l.host, l.kind, purity + 2.0 * sqrt(purity * (1 - purity) / (p.labelled + 10)) < 0.75 * greatest(h_purity, p.p) AS bad
+  FROM leaves{levels} l JOIN pure p ON l.host = p.host AND l.template = p.template
 )
-SELECT page_id, u.host, path, {rule.replace("host", "u.host")} AS rule,
-       coalesce({ruled.replace("host", "u.host")}, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM u JOIN judged j ON u.host = j.host AND {" AND ".join(f"u.{k} IS NOT DISTINCT FROM j.{k}" for k in keys)}
+SELECT page_id, u.host, path, {rule.replace("host", "u.host")} AS rule, coalesce({ruled.replace("host", "u.host")}, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN judged j ON u.host = j.host AND u.kind = j.kind
 """
 
 

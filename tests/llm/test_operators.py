@@ -181,7 +181,22 @@ def test_a_rare_bad_branch_keeps_its_template(spark):
     assert len(got) == len(rows)
     for i, _ in rows:
         assert got[i].verdict == ("block" if i // 100 == 7 else "allow"), i
-    assert got[700].template.startswith("/sh/") and got[0].template.startswith("/*/") and got[9000].template.startswith("/*/")
+    assert got[700].template.startswith("/sh/") and got[0].template.startswith("/(sa..sy)/") and got[9000].template == "/lone/**"
+
+
+def test_templates_keep_static_segments_and_find_a_bad_deep_one(spark):
+    rng = random.Random(4)
+    slug = lambda: "".join(rng.choice("ghijklmnop") for _ in range(9))
+    urls = [f"http://h.org/blog/2024-01-0{i % 9 + 1}/{slug()}/post" for i in range(300)] + [f"http://h.org/a/b/c/d/e/f/{'cheap' if i % 3 == 0 else 'good'}/{slug()}/x.html" for i in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if "cheap" in u and i % 20 else 1) for i, u in enumerate(urls) if i % 2], "doc_id long, quality int")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, labels, ()).collect()}
+    for i, u in enumerate(urls):
+        assert got[i].verdict == ("block" if "cheap" in u else "allow"), u
+    assert {r.template for r in got.values()} == {"/blog/{date}/*/post", "/a/b/c/d/e/f/cheap/*/x.html", "/a/b/c/d/e/f/good/*/x.html"}
+    # the same labels at random reject nothing
+    noise = spark.createDataFrame([(i, int(rng.random() < 0.86)) for i in range(len(urls))], "doc_id long, quality int")
+    assert {r.verdict for r in url_filter.judge_urls(pages, noise, ()).collect()} == {"allow"}
 
 
 # --- 3 ---
@@ -301,10 +316,11 @@ def plain_scores(texts):
             three.update(zip([end, *ws], ws, ws[1:]))
     total, distinct = sum(one.values()), len(one)
     n1, n2 = sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
-    d, (k, k2) = n1 / (n1 + 2 * n2), language_model.CONCENTRATION
+    d, (k, once, often) = n1 / (n1 + 2 * n2), language_model.CONCENTRATION
+    k2 = lambda h: often if two[h] > 1 else once
     alone = lambda w: (one[w] - d) / total if one[w] else d * distinct / total
     after = lambda v, w: (two[v, w] + k * alone(w)) / (one[v] + k)
-    after2 = lambda u, v, w: (three[u, v, w] + k2 * after(v, w)) / (two[u, v] + k2)
+    after2 = lambda u, v, w: (three[u, v, w] + k2((u, v)) * after(v, w)) / (two[u, v] + k2((u, v)))
     assert abs(sum(alone(w) for w in one) + alone(None) - 1) < 1e-9
     assert all(abs(sum(after(v, w) for w in one) + after(v, None) - 1) < 1e-9 for v in list(one)[:5])
     assert all(abs(sum(after2(u, v, w) for w in one) + after2(u, v, None) - 1) < 1e-9 for u, v in [p for p in two if p[1] != end][:5])
@@ -319,7 +335,7 @@ def plain_scores(texts):
                 elif not state:
                     score += np.log10(alone(w))
                 else:
-                    score += np.log10(k2 / (two[state] + k2) if len(state) == 2 else k / (one[state[0]] + k))
+                    score += np.log10(k2(state) / (two[state] + k2(state)) if len(state) == 2 else k / (one[state[0]] + k))
                     state = state[1:]
                     continue
                 break
