@@ -374,19 +374,41 @@ def test_short_hashes_come_back(spark):
 def test_top_k_is_exact(spark, pivots, group, block):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))]
-    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (None, rows[1][1]), (420, [1.0, 2.0]), (421, [3.0, 1.0])]
+    rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (460, []), (405, [1e300, 0.0, 0.0, 0.0, 0.0, 0.0]), (None, rows[1][1]), (420, [1.0, 2.0]), (421, [3.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0))
-    usable = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    held = lambda x: max(-knn.MOST, min(knn.MOST, x))
+    usable = [(i, [int(np.floor(held(64 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
     for q, v in usable:
         if q % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in usable if c != q and len(w) == len(v))[:20]
+            dot = lambda w: max(knn.LEAST + 1, min(-knn.LEAST, sum(a * b for a, b in zip(v, w))))
+            found = sorted((-dot(w), c) for c, w in usable if c != q and len(w) == len(v))[:20]
             want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(found)}
     got = knn.top_k(frame, F.col("vec_id") % 20 == 0, pivots=pivots, group_queries=group, block=block).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert knn.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centres = 40 * rng.normal(size=(30, 8))
+    spread = {"clustered": centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 8)), "even": rng.normal(size=(6000, 8))}
+    share = {}
+    for name, x in spread.items():
+        rows = [(int(i), [float(y) for y in v]) for i, v in enumerate(x)]
+        computed = spark.sparkContext.accumulator(0)
+        got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, computed=computed, block=1000, group_queries=100).collect()
+        share[name] = computed.value / (300 * 6000)
+        z = np.floor(64 * x).astype(np.int64)
+        for q in range(0, 6000, 600):
+            s = z @ z[q]
+            s[q] = -(1 << 60)
+            order = np.lexsort((np.arange(6000), -s))[:20]
+            assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(int(i), int(s[i])) for i in order]
+    print("share of pairs computed", share)
+    assert share["clustered"] < 0.2 and share["clustered"] < share["even"] <= 1
+
+
 def plain_top_k(rows, k):
     want = set()
     for q, v in {(i, len(v)): min(w for j, w in rows if j == i and len(w) == len(v)) for i, v in rows if i % 20 == 0}.items():
