@@ -33,7 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ END = b"\n"
 SEGMENT = 1024
 #: Distinct tokens that a worker adds up before it passes them on.
 HELD = 500_000
+#: Bytes of text that are compressed together.
+BLOB_BYTES = 256 << 10
 
 
 def token_hash(token: bytes) -> int:
@@ -175,28 +179,6 @@ def walk(machine: Automaton, texts: Texts, segment: int = SEGMENT) -> np.ndarray
     return np.bincount(owner, weights=score, minlength=len(cuts))
 
 
-def training_totals(rows: DataFrame) -> tuple[int, int, int, int]:
-    """Of the training tokens of text and held_out: all, distinct ones, those seen once and those seen twice."""
-
-    def out(found: Counter) -> pa.RecordBatch:
-        hashes = np.fromiter(map(token_hash, found), np.uint64, len(found)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(found.values(), pa.int64())], names=["hash", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update((text or b"").lower().split())
-            found[END] += batch.num_rows
-            if len(found) > HELD:
-                yield out(found)
-                found = Counter()
-        yield out(found)
-
-    n = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "hash long, n long").where("n > 0").groupBy("hash").agg(F.sum("n").alias("n"))
-    return tuple(n.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).head())
-
-
 def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by bucket and then 32 more bits, and where each bucket begins."""
     code = (hashes % np.uint64(buckets)) << np.uint64(32) | short(hashes, buckets)
@@ -210,36 +192,105 @@ def short(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def thin(rising: np.ndarray) -> bytes:
-    """Rising 32-bit numbers: the low bytes of each, and how many have each value of the high ones.
-
-    Two high bytes if there are many numbers, else one.
-    """
-    low = 2 if len(rising) >= 1 << 14 else 3
-    ends = np.searchsorted(rising, np.arange(1, (1 << 8 * (4 - low)) + 1, dtype=np.int64) << (8 * low))
-    lows = rising.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :low]
-    return bytes([low]) + squeeze(np.diff(ends, prepend=0)) + lows.T.tobytes()
+    """Rising 32-bit numbers: how many, the low bytes of each, and the high ones as steps in a row of bits."""
+    n = len(rising)
+    low = 2 if n >= 1 << 14 else 3 if n >= 1 << 6 else 4
+    lows = rising.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :low].T.tobytes()
+    bits = np.zeros(n + (1 << 8 * (4 - low)), bool)
+    bits[(rising.astype(np.int64) >> 8 * low) + np.arange(n)] = True
+    return n.to_bytes(4, "little") + lows + (np.packbits(bits).tobytes() if low < 4 else b"")
 
 
 def thick(data: bytes) -> np.ndarray:
     """What ``thin`` made small."""
-    low, width = data[0], data[1]
-    n_high = 1 << 8 * (4 - low)
-    counts = np.frombuffer(data, f"<u{width}", n_high, 2).astype(np.int64)
-    lows = np.frombuffer(data, np.uint8, offset=2 + width * n_high).reshape(low, -1)
-    out = np.zeros((lows.shape[1], 4), np.uint8)
-    out[:, :low] = lows.T
-    return out.reshape(-1).view("<u4") + np.repeat(np.arange(n_high, dtype=np.uint32) << np.uint32(8 * low), counts)
+    n = int.from_bytes(data[:4], "little")
+    low = 2 if n >= 1 << 14 else 3 if n >= 1 << 6 else 4
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :low] = np.frombuffer(data, np.uint8, n * low, 4).reshape(low, n).T
+    found = out.reshape(-1).view("<u4").copy()
+    if low < 4:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + n * low))
+        found += ((np.flatnonzero(bits) - np.arange(n)) << 8 * low).astype(np.uint32)
+    return found
+
+
+def keys_out(hashes: np.ndarray, buckets: int) -> bytes:
+    """All bits of a bucket's hashes that their bucket doesn't tell, in the order of ``dealt``."""
+    rest = ((hashes // np.uint64(buckets)) >> np.uint64(32)).astype("<u4").tobytes()
+    return thin(short(hashes, buckets)) + rest
+
+
+def keys_in(data: bytes) -> np.ndarray:
+    """What ``keys_out`` wrote, as one number for each hash of the bucket."""
+    n = int.from_bytes(data[:4], "little")
+    rest = np.frombuffer(data, "<u4", offset=len(data) - 4 * n).astype(np.uint64)
+    return rest << np.uint64(32) | thick(data[: len(data) - 4 * n]).astype(np.uint64)
 
 
 def squeeze(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest, after one byte that says how many."""
-    top = int(counts.max()) if len(counts) else 0
-    n = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([n]) + counts.astype(f"<u{n}").tobytes()
+    """Counts in a byte each; those of 255 and more follow, in eight."""
+    large = counts[counts >= 255]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes() + len(large).to_bytes(4, "little")
 
 
 def loosen(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(data[-4:], "little")
+    large = np.frombuffer(data[len(data) - 4 - 8 * n : len(data) - 4], "<i8")
+    counts = np.frombuffer(data, np.uint8, len(data) - 4 - 8 * n).astype(np.int64)
+    counts[counts == 255] = large
+    return counts
+
+
+def training_totals(rows: DataFrame, buckets: int) -> tuple[int, int, int, int]:
+    """Of the training tokens of text and held_out: all, distinct ones, those seen once and those seen twice."""
+
+    def out(found: Counter) -> Iterator[pa.RecordBatch]:
+        hashes = np.fromiter(map(token_hash, found), np.uint64, len(found))
+        order, at = dealt(hashes, buckets)
+        hashes, n = hashes[order], np.fromiter(found.values(), np.int64, len(found))[order]
+        some = np.flatnonzero(np.diff(at)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys_out(hashes[at[b] : at[b + 1]], buckets) for b in some], pa.binary()), pa.array([squeeze(n[at[b] : at[b + 1]]) for b in some], pa.binary())], names=["bucket", "a", "b"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update((text or b"").lower().split())
+            found[END] += batch.num_rows
+            if len(found) > HELD:
+                yield from out(found)
+                found = Counter()
+        if found:
+            yield from out(found)
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, counts = [keys_in(x) for x in table.column("a").to_pylist()], [loosen(x) for x in table.column("b").to_pylist()]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        return pa.table({"n": [int(n.sum())], "distinct": [len(n)], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
+
+    told = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, a binary, b binary")
+    n = told.groupBy("bucket").applyInArrow(add, "n long, distinct long, once long, twice long")
+    return tuple(n.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in n.columns]).head())
+
+
+def in_blobs(rows: DataFrame, blob_bytes: int = BLOB_BYTES) -> DataFrame:
+    """Rows of doc_id, text and held_out, compressed some at a time: place and rows (an Arrow stream)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(sizes + 64) // blob_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(a, b))) for c in batch.columns], schema=batch.schema))
+                    yield pa.RecordBatch.from_arrays([pa.array([press.compress(sink.getvalue())], pa.binary())], names=["rows"])
+
+    return rows.mapInArrow(pack, "rows binary")
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: tuple[float, float, float] = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -257,13 +308,15 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     size = total_bytes(rows, "text")
     groups, buckets = max(parts(size, group_bytes), min(32, parts(size, group_bytes // 8))), parts(size, bucket_bytes)
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    total, distinct, n1, n2 = training_totals(rows)
+    total, distinct, n1, n2 = training_totals(rows, buckets)
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    # a row's place in the input, which is the same whenever that is read, deals out copies as well
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    # a place in the input, which is the same whenever that is read, deals out copies as well
+    blobs = in_blobs(rows, min(BLOB_BYTES, max(1, group_bytes // 8))).withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
-    def read(table: pa.Table) -> tuple[Texts, np.ndarray]:
-        return Texts([t or b"" for t in table.column("text").to_pylist()]), table.column("held_out").to_numpy()
+    def read(table: pa.Table) -> tuple[Texts, np.ndarray, pa.Array]:
+        open_ = zstandard.ZstdDecompressor()
+        found = pa.concat_tables([pa.ipc.open_stream(open_.decompress(x)).read_all() for x in table.column("rows").to_pylist()])
+        return Texts([t or b"" for t in found.column("text").to_pylist()]), found.column("held_out").to_numpy(), found.column("doc_id")
 
     def messages(group: int, cuts: list[np.ndarray], content: list) -> pa.Table:
         """A row for each bucket that any of ``cuts`` has something for; ``content`` makes its columns of the parts' ends."""
@@ -273,15 +326,15 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def probe(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
-        texts, out = read(table)
+        texts, out, _ = read(table)
         one, _ = texts.counts(out)
         (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.gram_hash, buckets)
-        tokens, one, grams = texts.hash[order].astype("<u8"), one[order], short(texts.gram_hash[order2], buckets)
-        return messages(group, [at, at2], [lambda b: tokens[at[b] : at[b + 1]].tobytes(), lambda b: squeeze(one[at[b] : at[b + 1]]), lambda b: thin(grams[at2[b] : at2[b + 1]])])
+        tokens, one, grams = texts.hash[order], one[order], short(texts.gram_hash[order2], buckets)
+        return messages(group, [at, at2], [lambda b: keys_out(tokens[at[b] : at[b + 1]], buckets), lambda b: squeeze(one[at[b] : at[b + 1]]), lambda b: thin(grams[at2[b] : at2[b + 1]])])
 
     def added(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
         """The counts of each message's keys, added up over all messages."""
-        found = [np.frombuffer(k, "<u8") for k in keys]
+        found = [keys_in(k) for k in keys]
         _, at = np.unique(np.concatenate(found), return_inverse=True)
         whole = np.bincount(at, weights=np.concatenate([loosen(c) for c in counts])).astype(np.int64)  # exact below 2**53
         return [squeeze(whole[i]) for i in np.split(at, np.cumsum([len(k) for k in found])[:-1])]
@@ -303,24 +356,24 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return shared
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, out = read(left)
+        texts, out, _ = read(left)
         group, told = left.column("group")[0].as_py(), right.to_pylist()
         order2, at2 = dealt(texts.gram_hash, buckets)
         some = flags(told, at2)
         # the answers of the first exchange come back with those of the second
         first = {r["bucket"]: len(r["a"]).to_bytes(8, "little") + r["a"] + r["b"] for r in told}
         cuts = np.concatenate([[0], np.cumsum(some)])[at2]
-        keys, two = texts.gram_hash[order2][some].astype("<u8"), texts.counts(out)[1][order2][some]
+        keys, two = texts.gram_hash[order2][some], texts.counts(out)[1][order2][some]
         every = np.zeros(buckets + 1, np.int64)
         every[1:] = np.cumsum([b in first for b in range(buckets)])
-        return messages(group, [every], [lambda b: keys[cuts[b] : cuts[b + 1]].tobytes(), lambda b: squeeze(two[cuts[b] : cuts[b + 1]]), first.__getitem__])
+        return messages(group, [every], [lambda b: keys_out(keys[cuts[b] : cuts[b + 1]], buckets), lambda b: squeeze(two[cuts[b] : cuts[b + 1]]), first.__getitem__])
 
     def answer(table: pa.Table) -> pa.Table:
         whole = added(table.column("a").to_pylist(), table.column("b").to_pylist())
         return pa.table([table.column("bucket"), table.column("group"), pa.array(whole, pa.binary()), table.column("c")], names=["bucket", "group", "a", "c"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, out = read(left)
+        texts, out, ids = read(left)
         told = right.to_pylist()
         (order, at), (order2, at2) = dealt(texts.hash, buckets), dealt(texts.gram_hash, buckets)
         one, grams = texts.counts(out)
@@ -340,12 +393,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         base = np.log10((one + smooth) / (total + smooth * (distinct + 1)))[texts.ids]
         per = lambda x: np.add.reduceat(x, texts.starts) if len(x) else np.zeros(0)
         known = per((one[texts.ids] > 0).astype(np.int64)).astype(np.int64)
-        cols = {"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(texts.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), total)), "base_score": pa.array(per(base)), "score": pa.array(got)}
+        cols = {"doc_id": ids, "held_out": pa.array(out), "n_tokens": pa.array(texts.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), total)), "base_score": pa.array(per(base)), "score": pa.array(got)}
         return pa.table(cols)
 
     sent = "bucket int, group int, a binary, b binary"
-    probed = rows.groupBy("group").applyInArrow(probe, f"{sent}, c binary")
+    probed = blobs.groupBy("group").applyInArrow(probe, f"{sent}, c binary")
     shared = probed.groupBy("bucket").applyInArrow(compare, sent)
-    asked = rows.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(ask, f"{sent}, c binary")
+    asked = blobs.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(ask, f"{sent}, c binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, group int, a binary, c binary")
-    return rows.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blobs.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
