@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,3 +16,21 @@ def once(df: DataFrame) -> DataFrame:
     out the columns' long expressions again for each mention.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row")).select("row.*")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; only in local mode may that be a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-stage-")
+    return f"{named.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there, for plans that need them twice."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

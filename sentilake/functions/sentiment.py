@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -15,10 +15,18 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
-def lexicon_score(text: Column) -> Column:
-    """A score from 0 to 1 by how many words of either list the text contains."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    pos, neg = count_terms(low, V.POSITIVE_WORDS), count_terms(low, V.NEGATIVE_WORDS)
+def lexicon_scored(rows: DataFrame, text: str, out: str = "score") -> DataFrame:
+    """``rows`` with a score from 0 to 1 by how many words of either list the text contains.
+
+    Lower case and counts are columns of their own on the way, so each is worked out once.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    low = rows.select(*kept, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__low"))
+    counts = low.select(*kept, count_terms(F.col("__low"), V.POSITIVE_WORDS).alias("__pos"), count_terms(F.col("__low"), V.NEGATIVE_WORDS).alias("__neg"))
+    return counts.select(*kept, lexicon_score(F.col("__pos"), F.col("__neg")).alias(out))
+
+
+def lexicon_score(pos: Column, neg: Column) -> Column:
     return clamp(F.when(pos > neg, 0.7 + pos * 0.05).when(neg > pos, 0.3 - neg * 0.05).otherwise(F.lit(0.5)))
 
 
@@ -43,7 +51,7 @@ def label3(score: Column) -> Column:
 
 
 def label5(c: Column) -> Column:
-    return F.when(c > 0.3, F.lit("very positive")).when(c > 0.1, F.lit("positive")).when(c > -0.1, F.lit("neutral")).when(c > -0.3, F.lit("negative")).otherwise(F.lit("very negative"))
+    return F.when(c > 0.3, F.lit("Positive")).when(c > 0.1, F.lit("Slightly Positive")).when(c > -0.1, F.lit("Neutral")).when(c > -0.3, F.lit("Slightly Negative")).otherwise(F.lit("Negative"))
 
 
 def tone(c: Column) -> Column:

@@ -28,19 +28,22 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\x0B\\f]+", " "))
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Counts and ratios of a text."""
+def features(text: Column, found: Column, low: Column) -> dict[str, Column]:
+    """Counts and ratios of a text, its tokens, and these in lower case."""
     body = F.coalesce(text, F.lit(""))
-    n, found = F.length(body), tokens(body)
+    n = F.length(body)
     part = lambda c: F.when(n > 0, c / n)
-    blank = F.length(F.regexp_replace(body, "[ \\t\\n\\r\\x0B\\f]", ""))
+    # runs of what doesn't count are taken out at once, and what counts is left
+    left = lambda p: F.length(F.regexp_replace(body, p, ""))
+    urls = F.when(F.lower(body).contains("http") | F.lower(body).contains("www."), n - left(URL)).otherwise(F.lit(0))
+    blank = F.length(F.translate(body, " \t\n\r\x0b\f", ""))
     return {
         "char_count": n.cast("long"),
         "token_count": F.size(found).cast("long"),
-        "alpha_ratio": F.coalesce(part(n - F.length(F.regexp_replace(body, "\\p{L}", ""))), F.lit(0.0)),
-        "url_ratio": F.coalesce(part(n - F.length(F.regexp_replace(body, URL, ""))), F.lit(1.0)),
-        "symbol_ratio": F.coalesce(part(blank - (n - F.length(F.regexp_replace(body, "[\\p{L}\\p{N}]", "")))), F.lit(1.0)),
-        "unique_token_ratio": F.size(F.array_distinct(F.transform(found, F.lower))) / F.greatest(F.size(found), F.lit(1)),
+        "alpha_ratio": F.coalesce(part(left("[^\\p{L}]+")), F.lit(0.0)),
+        "url_ratio": F.coalesce(part(urls), F.lit(1.0)),
+        "symbol_ratio": F.coalesce(part(blank - left("[^\\p{L}\\p{N}]+")), F.lit(1.0)),
+        "unique_token_ratio": F.size(F.array_distinct(low)) / F.greatest(F.size(found), F.lit(1)),
     }
 
 
@@ -55,7 +58,8 @@ def expand_contractions(text: Column) -> Column:
 
 def normalize(text: Column, noise: Iterable[str] = V.NOISE_PATTERNS) -> Column:
     """A text for scoring: contractions, mentions, hashtags, urls, noise, punctuation, spaces, case."""
-    t = expand_contractions(F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" ")))
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" "))
+    t = F.when(t.contains("'"), expand_contractions(t)).otherwise(t)
     t = F.regexp_replace(t, "(^|[^\\p{L}\\p{N}_])@[A-Za-z0-9_]{2,64}", "$1 @user ")
     t = F.regexp_replace(t, "#([A-Za-z0-9_]+)", " $1 ")
     t = F.regexp_replace(t, URL, " <url> ")

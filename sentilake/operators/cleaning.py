@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import texts as T
-from ..functions.plan import once
+from ..functions.plan import once, staged
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    out = docs.select("*", *[c.alias(k) for k, c in T.features(F.col(text)).items()])
+    found, low = "__tokens", "__found"
+    rows = docs.withColumn(found, T.tokens(F.coalesce(F.col(text), F.lit("")))).withColumn(low, F.transform(found, F.lower))
+    out = rows.select(*docs.columns, *[c.alias(k) for k, c in T.features(F.col(text), F.col(found), F.col(low)).items()])
     return out.withColumn("quality_score", T.quality(*[F.col(c) for c in ("char_count", "token_count", "alpha_ratio", "unique_token_ratio", "url_ratio", "symbol_ratio")]))
 
 
@@ -29,9 +31,14 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def mark_duplicates(cleaned: DataFrame) -> DataFrame:
     """Accepted documents that repeat an earlier one of their topic become duplicates. Blank texts never do."""
-    rows = cleaned.withColumn("hash", F.when((F.col("status") == "accepted") & (F.trim("cleaned") != ""), F.sha2("cleaned", 256)))
-    first = rows.where("hash is not null").groupBy("topic", "hash").agg(F.min("doc_id").alias("first_id"))
-    joined = rows.join(first, ["topic", "hash"], "left")
+    hash_ = F.when((F.col("status") == "accepted") & (F.trim("cleaned") != ""), F.sha2("cleaned", 256))
+    # written once without the texts; rows without a hash never meet in one key
+    rows = staged(cleaned.select("doc_id", "topic", "status", hash_.alias("hash")))
+    hashed = rows.where("hash is not null")
+    first = hashed.groupBy("topic", "hash").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("topic", "t")
+    same = hashed["topic"].eqNullSafe(first["t"]) & (hashed["hash"] == first["hash"])
+    met = hashed.join(first, same).select("doc_id", "topic", "status", "first_id")
+    joined = met.unionByName(rows.where("hash is null").select("doc_id", "topic", "status", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("first_id")))
     return joined.select("doc_id", "topic", F.when(F.col("first_id") < F.col("doc_id"), F.lit("duplicate")).otherwise(F.col("status")).alias("status"), F.when(F.col("first_id") < F.col("doc_id"), F.col("first_id")).alias("duplicate_of"))
 
 
@@ -48,7 +55,3 @@ def recoveries(scored: DataFrame, budget: int) -> DataFrame:
 def sample(docs: DataFrame, k: int, seed: str = "qa") -> DataFrame:
     """A reproducible uniform sample without replacement."""
     return docs.select("doc_id", F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))).alias("h")).orderBy("h", "doc_id").limit(k).select("doc_id")
-
-
-def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))

@@ -48,10 +48,10 @@ def file_name(topic: str, version: int, day: date, ending: str) -> str:
 
 
 def markdown(posts: DataFrame, topic: str) -> str:
-    """A report from a few aggregated rows; platforms beyond the first 1000 are left to the CSV."""
+    """A report from aggregated rows, one for each platform."""
     s = summary(posts).head()
     tone = "positive" if s.avg_sentiment > 0.1 else "negative" if s.avg_sentiment < -0.1 else "neutral"
     lines = [f"# {topic}", "", f"{s.post_count} posts, {tone} on the whole ({s.avg_sentiment:+.4f}).", "", "| platform | posts | mean | positive % | negative % | neutral % |", "| --- | --- | --- | --- | --- | --- |"]
-    lines += [f"| {r.platform} | {r.post_count} | {r.avg_sentiment} | {r.positive_pct} | {r.negative_pct} | {r.neutral_pct} |" for r in platform_breakdown(posts).limit(1000).collect()]
+    lines += [f"| {r.platform} | {r.post_count} | {r.avg_sentiment} | {r.positive_pct} | {r.negative_pct} | {r.neutral_pct} |" for r in platform_breakdown(posts).collect()]
     lines += ["", "Keywords: " + ", ".join(r.keyword for r in top_keywords(posts, 10).collect())]
     return "\n".join(lines) + "\n"

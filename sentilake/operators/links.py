@@ -16,6 +16,12 @@ from ..functions.plan import once
 from ..functions.texts import count_terms
 
 
+#: An anchor: its quoted address, and what it holds.
+ANCHOR = "(?is)<a\\s[^>]*href=(\"[^\"]*\"|'[^']*')[^>]*>(.*?)</a>"
+#: Anchors of a page that have a place in arrival order; more than a page of 64 MB can hold.
+PER_PAGE = 10_000_000
+
+
 @dataclass(frozen=True)
 class Brief:
     """What a topic is about."""
@@ -30,11 +36,15 @@ class Brief:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """A row for each anchor of each page: seq, page_id, url (absolute) and title."""
-    pattern = F.lit('<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("title"))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(pairs).alias("pos", "a"))
-    return rows.select((F.col("page_id") * 1000 + F.col("pos")).alias("seq"), "page_id", U.join_url(F.col("base"), F.col("a.href")).alias("url"), F.col("a.title").alias("title"))
+    """A row for each anchor of each page: seq, page_id, pos, url (absolute) and title, without inner tags."""
+    whole = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
+    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(whole).alias("pos", "a"))
+    href = F.regexp_extract("a", ANCHOR, 1)
+    title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a", ANCHOR, 2), "<[^>]*>", ""), "[ \\t\\n\\r]+", " "))
+    return rows.select(
+        (F.col("page_id") * PER_PAGE + F.col("pos")).alias("seq"), "page_id", F.col("pos").cast("long").alias("pos"),
+        U.join_url(F.col("base"), F.substring(href, F.lit(2), F.length(href) - 2)).alias("url"), title.alias("title"),
+    )
 
 
 def score(links: DataFrame, brief: Brief) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentiment as S
+from ..functions.plan import once
 
 
 def posts(documents: DataFrame) -> DataFrame:
     """Documents as posts, scored by the lexicon."""
-    score = S.lexicon_score(F.col("text"))
-    return documents.select(F.col("doc_id").alias("seq"), F.col("source").alias("platform"), F.col("lang").alias("author"), F.col("text").alias("content"), score.alias("score"), S.compound(score).alias("compound"))
+    named = documents.select(F.col("doc_id").alias("seq"), F.col("source").alias("platform"), F.col("lang").alias("author"), F.col("text").alias("content"))
+    return S.lexicon_scored(named, "content").select("*", S.compound(F.col("score")).alias("compound"))
 
 
 def shares(c: str = "compound") -> list[Column]:
@@ -26,11 +27,11 @@ def shares(c: str = "compound") -> list[Column]:
 
 
 def platform_breakdown(p: DataFrame) -> DataFrame:
-    return p.groupBy("platform").agg(*shares()).orderBy("platform")
+    return once(p.select("platform", "compound")).groupBy("platform").agg(*shares()).orderBy("platform")
 
 
 def summary(p: DataFrame) -> DataFrame:
-    return p.agg(*shares())
+    return once(p.select("compound")).agg(*shares())
 
 
 def timeline(facts: DataFrame, ts: str = "ts") -> DataFrame:
@@ -69,10 +70,11 @@ def top_keywords(p: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
 
 def extremes(p: DataFrame) -> DataFrame:
     """The most positive and the most negative post; on ties the first."""
-    return p.agg(F.max_by("seq", F.struct("compound", -F.col("seq"))).alias("most_positive"), F.min_by("seq", F.struct("compound", "seq")).alias("most_negative"))
+    return once(p.select("seq", "compound")).agg(F.max_by("seq", F.struct("compound", -F.col("seq"))).alias("most_positive"), F.min_by("seq", F.struct("compound", "seq")).alias("most_negative"))
 
 
 def label_counts(p: DataFrame) -> DataFrame:
+    p = once(p.select("score", "compound"))
     three = p.groupBy(S.label3(F.col("score")).alias("label")).agg(F.count("*").alias("n")).withColumn("scheme", F.lit("three"))
     five = p.groupBy(S.label5(F.col("compound")).alias("label")).agg(F.count("*").alias("n")).withColumn("scheme", F.lit("five"))
     return three.unionByName(five)
@@ -86,12 +88,13 @@ def dominant_class(breakdown: DataFrame) -> DataFrame:
 
 def dashboard_page(p: DataFrame, *, platforms: list[str] = (), low: float = -1.0, high: float = 1.0, search: str = "", page: int = 0, size: int = 20) -> DataFrame:
     """One page of the posts that pass the dashboard's filters, most positive first."""
-    ok = F.col("compound").between(low, high)
     if platforms:
-        ok = ok & F.col("platform").isin(*platforms)
+        p = p.where(F.col("platform").isin(*platforms))
     if search:
-        ok = ok & (F.lower("content").contains(search.lower()) | F.lower("author").contains(search.lower()))
-    return p.where(ok).select("seq", "platform", "compound").orderBy(F.desc("compound"), "seq").offset(page * size).limit(size)
+        p = p.where(F.lower("content").contains(search.lower()) | F.lower("author").contains(search.lower()))
+    # what is cheap comes before the scores, and these are worked out once
+    scored = once(p.select("seq", "platform", "compound"))
+    return scored.where(F.col("compound").between(low, high)).orderBy(F.desc("compound"), "seq").offset(page * size).limit(size)
 
 
 def quick_ranges(p: DataFrame) -> DataFrame:

@@ -142,9 +142,9 @@ def backend_plans(spark, d):
 
 
 def sightings(spark, d):
-    """Anchors as scored sightings; a page's language stands in for an author."""
+    """Anchors as scored sightings; the title of each third page stands in for an author."""
     a = links.anchors(table(spark, d, "pages"))
-    return links.score(a.withColumn("position", F.col("seq") % 1000 + 1), BRIEF).withColumn("author", F.when(F.col("page_id") % 3 == 0, F.col("title")))
+    return links.score(a.withColumn("position", F.col("pos") + 1), BRIEF).withColumn("author", F.when(F.col("page_id") % 3 == 0, F.col("title")))
 
 
 @query

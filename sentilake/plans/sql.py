@@ -52,14 +52,16 @@ def _low_value(source: str) -> str:
 
 
 FOLDER = f"regexp_replace({PATH}, '[^/]*$', '')"
-ANCHORS = f"""a0 AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS titles FROM pages),
-a1 AS (SELECT page_id, url, unnest(hrefs) AS href, unnest(titles) AS title, generate_subscripts(hrefs, 1) - 1 AS pos FROM a0),
-a AS (SELECT (page_id * 1000 + pos)::BIGINT AS seq, page_id, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN {SCHEME} || ':' || href
+_ANCHOR = """(?is)<a\\s[^>]*href=("[^"]*"|''[^'']*'')[^>]*>(.*?)</a>"""
+ANCHORS = f"""a0 AS (SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR}', 0) AS found FROM pages),
+a1 AS (SELECT page_id, url, unnest(found) AS x, generate_subscripts(found, 1) - 1 AS pos FROM a0),
+a2 AS (SELECT page_id, url, pos::BIGINT AS pos, regexp_extract(x, '{_ANCHOR}', 1)[2:-2] AS href, trim(regexp_replace(regexp_replace(regexp_extract(x, '{_ANCHOR}', 2), '<[^>]*>', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS title FROM a1),
+a AS (SELECT (page_id * 10000000 + pos)::BIGINT AS seq, page_id, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN {SCHEME} || ':' || href
   WHEN starts_with(href, '/') THEN {SCHEME} || '://' || {AUTHORITY} || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href
-  ELSE {SCHEME} || '://' || {AUTHORITY} || CASE WHEN {FOLDER} = '' THEN '/' ELSE {FOLDER} END || href END AS url, title FROM a1)"""
+  ELSE {SCHEME} || '://' || {AUTHORITY} || CASE WHEN {FOLDER} = '' THEN '/' ELSE {FOLDER} END || href END AS url, title FROM a2)"""
 _TITLE = "trim(coalesce(title, ''))"
 _REL = f"least(1.0::DOUBLE, 0.15::DOUBLE + {_count('lower(title)', ('the', 'and', 'tion', 'of'))} * 0.12::DOUBLE + {_count('lower(title)', V.EVIDENCE_TERMS)} * 0.04::DOUBLE)"
-SIGHTINGS = f"""{ANCHORS}, s0 AS (SELECT seq, page_id, title, seq % 1000 + 1 AS position, url AS raw, {NORMALIZED} AS url FROM a), {_low_value("s0")},
+SIGHTINGS = f"""{ANCHORS}, s0 AS (SELECT seq, page_id, title, pos + 1 AS position, url AS raw, {NORMALIZED} AS url FROM a), {_low_value("s0")},
 s1 AS (SELECT seq, page_id, title, position, url AS normalized_url, low_value, raw AS url, {_REL} AS rel, {_count('lower(title)', V.EVIDENCE_TERMS)} AS ev, {_count('lower(title)', V.NEUTRAL_TERMS)} AS ne FROM lv),
 s2 AS (SELECT *, {PLATFORM} AS platform, CASE WHEN normalized_url = '' THEN 'invalid_url' WHEN low_value THEN 'low_value_url' WHEN lower({_TITLE}) IN ({', '.join(repr(t) for t in V.LOW_SIGNAL_TITLES)}) THEN 'navigation_link' END AS reason FROM s1),
 s AS (SELECT seq, page_id, title, normalized_url, platform, reason, CASE WHEN page_id % 3 = 0 THEN title END AS author,
@@ -139,6 +141,8 @@ def _pages(templates: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{t}' || q" for t in templates) + "]"
 
 
+_WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{4,}')"
+
 SQL = {
     "platform_breakdown": f"WITH {POSTS} SELECT platform, {SHARES} FROM p GROUP BY platform",
     "sentiment_summary": f"WITH {POSTS} SELECT {SHARES} FROM p",
@@ -147,7 +151,7 @@ SQL = {
     "top_keywords_global": f"WITH {KEYWORDS} SELECT keyword, count(*) AS n FROM k GROUP BY keyword ORDER BY n DESC, min({{'s': seq, 'p': pos}}), keyword LIMIT 10",
     "top_keywords_per_platform": f"WITH {KEYWORDS}, g AS (SELECT platform, keyword, count(*) AS n, min({{'s': seq, 'p': pos}}) AS first FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, first, keyword)::INT AS rank FROM g) SELECT platform, rank, keyword, n FROM r WHERE rank <= 5",
     "extreme_posts": f"WITH {POSTS} SELECT arg_max(seq, {{'c': compound, 's': -seq}}) AS most_positive, arg_min(seq, {{'c': compound, 's': seq}}) AS most_negative FROM p",
-    "label_histograms": f"WITH {POSTS} SELECT {LABEL3} AS label, count(*) AS n, 'three' AS scheme FROM p GROUP BY 1 UNION ALL SELECT CASE WHEN compound > 0.3 THEN 'very positive' WHEN compound > 0.1 THEN 'positive' WHEN compound > -0.1 THEN 'neutral' WHEN compound > -0.3 THEN 'negative' ELSE 'very negative' END, count(*), 'five' FROM p GROUP BY 1",
+    "label_histograms": f"WITH {POSTS} SELECT {LABEL3} AS label, count(*) AS n, 'three' AS scheme FROM p GROUP BY 1 UNION ALL SELECT CASE WHEN compound > 0.3 THEN 'Positive' WHEN compound > 0.1 THEN 'Slightly Positive' WHEN compound > -0.1 THEN 'Neutral' WHEN compound > -0.3 THEN 'Slightly Negative' ELSE 'Negative' END, count(*), 'five' FROM p GROUP BY 1",
     "dominant_class": f"WITH {POSTS}, b AS (SELECT platform, {SHARES} FROM p GROUP BY platform) SELECT platform, CASE WHEN positive_pct > negative_pct AND positive_pct > neutral_pct THEN 'Positive' WHEN negative_pct >= positive_pct AND negative_pct > neutral_pct THEN 'Negative' ELSE 'Neutral' END AS dominant FROM b",
     "dashboard_filter_page": f"WITH {POSTS} SELECT seq, platform, compound FROM p WHERE platform IN ('src0', 'src1', 'src2') AND compound BETWEEN -0.5 AND 1 AND (contains(lower(content), 'the') OR contains(lower(author), 'the')) ORDER BY compound DESC, seq LIMIT 20 OFFSET 20",
     "quick_range_counts": f"WITH {FACTS} SELECT count(*) AS everything, count(*) FILTER (WHERE compound BETWEEN 0.2 AND 1) AS positive, count(*) FILTER (WHERE compound BETWEEN -0.2 AND 0.2) AS neutral, count(*) FILTER (WHERE compound BETWEEN -1 AND -0.2) AS negative FROM f",
@@ -183,7 +187,7 @@ SQL = {
     "qa_sample": "SELECT doc_id FROM documents ORDER BY md5('qa' || doc_id::VARCHAR), doc_id LIMIT 50",
     "ordered_distinct_terms": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ts FROM conversations), u AS (SELECT conv_id, turn, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM t), g AS (SELECT conv_id, term, min({'t': turn, 'p': pos}) AS f FROM u GROUP BY ALL) SELECT conv_id, term, f.t AS first_turn, f.p::INT AS first_pos FROM g",
     "slug_ids": f"WITH s AS (SELECT doc_id, CASE WHEN {_SLUG1} = '' THEN 'untitled-topic' ELSE {_SLUG1} END AS slug FROM documents) SELECT doc_id, slug, substring(md5(slug || '-' || doc_id::VARCHAR), 1, 12) AS post_id FROM s",
-    "export_csv_rows": f"WITH {POSTS} SELECT seq, platform, author, substring(content, 1, 80) AS content, round(greatest(compound, 0.0), 4) AS positive, round(greatest(-compound, 0.0), 4) AS negative, round(1 - abs(compound), 4) AS neutral, round(compound, 4) AS compound, CASE WHEN compound > 0.1 THEN 'positive' WHEN compound < -0.1 THEN 'negative' ELSE 'neutral' END AS tone FROM p",
+    "export_csv_rows": f"WITH {POSTS}, w AS (SELECT seq, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM p), f AS (SELECT seq, word, min(i) AS i FROM w GROUP BY ALL), k AS (SELECT seq, string_agg(word, '; ' ORDER BY i) AS keywords FROM f GROUP BY seq) SELECT seq AS id, platform, author, content, round(greatest(compound, 0.0), 4) AS positive, round(greatest(-compound, 0.0), 4) AS negative, round(1 - abs(compound), 4) AS neutral, round(compound, 4) AS compound, coalesce(keywords, '') AS keywords FROM p LEFT JOIN k USING (seq)",
     "published_dates": "SELECT * FROM (VALUES (0::BIGINT, '2024-01-05 00:00:00'), (1, '2024-01-05 00:00:00'), (2, '2024-01-15 00:00:00'), (3, '2024-03-09 00:00:00'), (4, '2024-02-05 00:00:00'), (5, '2023-03-17 00:00:00'), (6, '2024-01-05 00:00:00'), (7, NULL), (8, NULL), (9, NULL), (10, NULL)) v(id, published_at)",
     "reply_tree_depth": "WITH RECURSIVE r AS (SELECT conv_id, turn, NULL::BIGINT AS parent, 0::BIGINT AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, r.turn, r.depth + 1 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1) SELECT * FROM r",
     "html_metadata": f"""SELECT page_id, coalesce({_meta("og:title")}, {_meta("twitter:title")}, {_tag("(?is)<title[^>]*>(.*?)</title>")}, {_tag("(?is)<h1[^>]*>(.*?)</h1>")}) AS title, {_tag('(?is)<html[^>]*lang="([^"]*)"')} AS lang, coalesce({_meta("author")}, {_meta("article:author")}) AS author, coalesce({_meta("og:description")}, {_meta("description")}) AS description FROM pages""",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import shared_folder
+
 
 def daily_windows(stream: DataFrame) -> DataFrame:
     """Tumbling days of a stream of events; late events count for one day."""
@@ -18,12 +18,16 @@ def daily_windows(stream: DataFrame) -> DataFrame:
 def replayed_days(spark: SparkSession, path: str) -> DataFrame:
     """The stream's complete answer over the files that are there now."""
     schema = spark.read.parquet(path).schema
-    name = f"days_{uuid.uuid4().hex}"
     folder, _, file = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file if file.endswith(".parquet") else "*").parquet(folder if file.endswith(".parquet") else path)
-    query = daily_windows(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    answer = shared_folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{answer}/days")
+
+    days = daily_windows(stream)
+    days.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{answer}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(days.schema).parquet(f"{answer}/days")
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
