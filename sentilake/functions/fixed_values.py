@@ -23,6 +23,11 @@ PLATFORM_DOMAINS = (
 )
 NEWS_KEYWORDS = ("news", "post", "times", "herald", "journal", "tribune", "republic", "republica", "khabar", "kantipur", "himalayan", "aljazeera", "bbc", "npr", "livemint", "economictimes")
 
+# Sources that are browsers, ends of search engines' domains, beginnings of addresses that lead nowhere.
+BROWSER_SOURCES = ("camoufox_browser", "camoufox_agentic")
+SEARCH_ENGINES = ("google.com", "google.com.np", "accounts.google.com", "duckduckgo.com", "bing.com", "yahoo.com", "news.google.com")
+NO_ADDRESSES = ("mailto:", "tel:", "javascript:", "#")
+
 # Backends to fetch a platform's pages with, in order.
 BACKENDS = {
     "reddit": ("reddit_json", "generic_http", "firecrawl", "camoufox", "crawlbase"),

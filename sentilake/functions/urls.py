@@ -57,6 +57,16 @@ def infer_platform(url: Column) -> Column:
     return out.when(any_of(d.contains(k) for k in V.NEWS_KEYWORDS), F.lit("news_site")).otherwise(F.lit("web"))
 
 
+def is_search_engine(host: Column) -> Column:
+    """By the end of the domain, dot or not."""
+    return any_of(F.lower(F.coalesce(host, F.lit(""))).endswith(e) for e in V.SEARCH_ENGINES)
+
+
+def is_navigable(href: Column) -> Column:
+    low = F.lower(F.trim(F.coalesce(href, F.lit(""))))
+    return (low != "") & ~any_of(low.startswith(x) for x in V.NO_ADDRESSES) & (normalize_url(F.coalesce(href, F.lit(""))) != "")
+
+
 def is_low_value(url: Column) -> Column:
     u = normalize_url(url)
     d, low = authority(u), F.lower(u)

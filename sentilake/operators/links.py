@@ -47,20 +47,40 @@ def anchors(pages: DataFrame) -> DataFrame:
     )
 
 
+#: What a link may bring besides url and title, and what stands for it where it doesn't.
+OPTIONAL = {"description": "string", "author": "string", "published_at": "string", "discovery_query": "string", "anchor_text": "string", "source_name": "string", "position": "int", "quality_signal": "double", "relevance_signal": "double"}
+
+
 def score(links: DataFrame, brief: Brief) -> DataFrame:
-    """``links`` (url, title, position) with quality, relevance and reason."""
-    n, low, title = U.normalize_url(F.col("url")), F.lower(F.col("title")), F.trim(F.coalesce("title", F.lit("")))
-    evidence, neutral = count_terms(low, V.EVIDENCE_TERMS), count_terms(low, V.NEUTRAL_TERMS)
-    relevance = F.least(F.lit(1.0), 0.15 + count_terms(low, brief.terms()) * 0.12 + evidence * 0.04)
-    links = links.withColumn("normalized_url", n).withColumn("platform", U.infer_platform(F.col("url"))).withColumn("low_value", U.is_low_value(F.col("url")))
-    links = links.withColumn("rel", relevance).withColumn("ev", evidence).withColumn("ne", neutral)
-    quality = 0.2 + F.when(title != "", 0.12).otherwise(0.0) + (20 - F.least("position", F.lit(20))) * 0.01 + F.when(F.col("platform") != "web", 0.08).otherwise(0.0)
-    quality = quality + F.least(F.lit(0.18), F.col("ev") * 0.03) - F.least(F.lit(0.2), F.col("ne") * 0.05) + F.col("rel") * 0.35
-    reason = F.when(F.col("normalized_url") == "", F.lit("invalid_url")).when(F.col("low_value"), F.lit("low_value_url")).when(F.lower(title).isin(*V.LOW_SIGNAL_TITLES), F.lit("navigation_link"))
-    links = links.withColumn("reason", reason)
-    reason = F.col("reason")
-    fixed = F.when(reason == "invalid_url", F.lit(0.0)).when(reason.isNotNull(), F.lit(0.05))
-    return once(links.select("*", F.coalesce(fixed, F.least(F.lit(1.0), F.greatest(F.lit(0.0), quality))).alias("quality"), F.coalesce(fixed, F.col("rel")).alias("relevance")).drop("rel", "ev", "ne", "low_value"))
+    """``links`` (url, title and any of OPTIONAL) with quality, relevance and reason.
+
+    What fails before it is scored has fixed scores and a reason. Else relevance counts the
+    brief's and the telling terms in title, description, query and anchor text, and quality
+    adds up what is known of the link, its place and platform, and a part of the relevance.
+    Pages that a browser found on no known platform without a telling term lose a quarter.
+    """
+    had = links.columns
+    rows = links.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in OPTIONAL.items() if c not in had])
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    part = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
+    text = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "discovery_query", "anchor_text")]))
+    rows = rows.withColumn("normalized_url", U.normalize_url(F.col("url"))).withColumn("__text", text)
+    rows = once(rows.select("*", count_terms(F.col("__text"), brief.terms()).alias("__terms"), count_terms(F.col("__text"), V.EVIDENCE_TERMS).alias("__evidence"), count_terms(F.col("__text"), V.NEUTRAL_TERMS).alias("__neutral")))
+    rows = rows.withColumn("platform", U.infer_platform(F.col("url")))
+    title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
+    reason = F.when(F.col("normalized_url") == "", F.lit("invalid_url")).when(U.is_low_value(F.col("url")), F.lit("low_value_url")).when(title.isin(*V.LOW_SIGNAL_TITLES), F.lit("navigation_link"))
+    signal = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0.0)))
+    relevance = F.least(F.lit(1.0), 0.15 + F.col("__terms") * 0.12 + F.col("__evidence") * 0.04 + signal("relevance_signal"))
+    rows = once(rows.select("*", reason.alias("reason"), relevance.alias("__relevance")))
+    web = F.col("platform") == "web"
+    quality = 0.2 + part(given("title"), 0.12) + part(given("description"), 0.10) + part(given("author"), 0.05) + part(given("published_at"), 0.05)
+    quality = quality + F.coalesce((20 - F.least("position", F.lit(20))) * 0.01, F.lit(0.0)) + part(~web, 0.08)
+    quality = quality + F.least(F.lit(0.18), F.col("__evidence") * 0.03) - F.least(F.lit(0.2), F.col("__neutral") * 0.05)
+    quality = quality - part(F.col("source_name").isin(*V.BROWSER_SOURCES) & web & (F.col("__evidence") == 0), 0.25)
+    quality = quality + signal("quality_signal") + F.col("__relevance") * 0.35
+    fixed = F.when(F.col("reason") == "invalid_url", F.lit(0.0)).when(F.col("reason").isNotNull(), F.lit(0.05))
+    scores = F.coalesce(fixed, F.least(F.lit(1.0), F.greatest(F.lit(0.0), quality))).alias("quality"), F.coalesce(fixed, F.col("__relevance")).alias("relevance")
+    return rows.select(*had, "normalized_url", "platform", "reason", *scores)
 
 
 def accepted(scored: DataFrame, minimum: float = V.MIN_QUALITY) -> DataFrame:
@@ -85,6 +105,45 @@ def merge(sightings: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a stored link that the latest sighting sets, and those where the longest text stays.
+LATEST, LONGEST = ("platform", "source_name", "source_type", "discovery_query", "raw_payload"), ("title", "description")
+
+
+def upsert(stored: DataFrame, sightings: DataFrame) -> DataFrame:
+    """The stored links after all sightings in order of seq, and the links that these bring.
+
+    Both have normalized_url, LATEST, LONGEST, author, published_at, quality, relevance and
+    metadata (a map of texts); ``stored`` also first_seen, last_seen and duplicate_count,
+    ``sightings`` seq, which grows and lies beyond what is stored. Longest texts stay, of
+    equal ones the earlier; the first author and date stay; scores only rise; of a metadata
+    key the latest value counts. One grouped pass, and one over metadata entries.
+    """
+    texts = [*LATEST, *LONGEST, "author", "published_at", "quality", "relevance", "metadata"]
+    old = stored.select("normalized_url", F.col("last_seen").alias("seq"), *texts, F.col("first_seen").alias("since"), (F.col("duplicate_count") + 1).alias("times"))
+    new = sightings.select("normalized_url", "seq", *texts, F.col("seq").alias("since"), F.lit(1).cast("long").alias("times"))
+    rows = old.unionByName(new)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    links = rows.groupBy("normalized_url").agg(
+        F.min("since").alias("first_seen"), F.max("seq").alias("last_seen"), (F.sum("times") - 1).alias("duplicate_count"),
+        *[F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("seq"))).alias(c) for c in LONGEST], first("author"), first("published_at"),
+        F.max_by(F.struct(*LATEST), "seq").alias("latest"), F.max("quality").alias("quality"), F.max("relevance").alias("relevance"),
+    )
+    entries = rows.select("normalized_url", "seq", F.explode(F.map_entries("metadata")).alias("e")).groupBy("normalized_url", F.col("e.key").alias("k")).agg(F.max_by("e.value", "seq").alias("v"))
+    merged = entries.groupBy("normalized_url").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
+    return links.join(merged, "normalized_url", "left").select("normalized_url", "first_seen", "last_seen", "duplicate_count", *LONGEST, "author", "published_at", *[f"latest.{c}" for c in LATEST], "quality", "relevance", "metadata")
+
+
+def distinct_anchors(found: DataFrame) -> DataFrame:
+    """The first anchor of each address on each page, without empty addresses."""
+    rows = found.withColumn("normalized_url", U.normalize_url(F.col("url"))).where("normalized_url <> ''")
+    return rows.groupBy("page_id", "normalized_url").agg(F.min(F.struct("seq", "title")).alias("a")).select("page_id", "normalized_url", "a.seq", "a.title")
+
+
+def expansion_seeds(scored: DataFrame, n: int) -> DataFrame:
+    """The n strongest links that no rule rejected, by both scores together; of equal ones the first."""
+    return scored.where("reason is null").withColumn("strength", F.round(F.col("quality") + F.col("relevance"), 9)).orderBy(F.desc("strength"), "seq").limit(n)
+
+
 def queue(links: DataFrame, known: DataFrame) -> DataFrame:
     """Links that the scrape queue doesn't hold by either of its keys."""
     rows = links.withColumn("unique_id", U.unique_id(F.col("normalized_url")))

@@ -68,6 +68,13 @@ def top_keywords(p: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).select(*by, "rank", "keyword", "n")
 
 
+def keyword_weights(top: DataFrame) -> DataFrame:
+    """Of few keywords in order their weight: from 1 down in equal steps."""
+    ranked = top.coalesce(1).withColumn("i", F.monotonically_increasing_id())
+    whole = Window.partitionBy(F.lit(0))
+    return ranked.select("keyword", "n", F.round((F.count("*").over(whole) - F.col("i")) / F.count("*").over(whole), 6).alias("weight"))
+
+
 def extremes(p: DataFrame) -> DataFrame:
     """The most positive and the most negative post; on ties the first."""
     return once(p.select("seq", "compound")).agg(F.max_by("seq", F.struct("compound", -F.col("seq"))).alias("most_positive"), F.min_by("seq", F.struct("compound", "seq")).alias("most_negative"))
@@ -97,6 +104,12 @@ def dashboard_page(p: DataFrame, *, platforms: list[str] = (), low: float = -1.0
     return scored.where(F.col("compound").between(low, high)).orderBy(F.desc("compound"), "seq").offset(page * size).limit(size)
 
 
+def sorted_page(p: DataFrame, by: str, *, descending: bool = False, page: int = 0, size: int = 20) -> DataFrame:
+    """One page of posts in order of a column, either way; of equal ones the first comes first."""
+    order = F.desc(by) if descending else F.asc(by)
+    return p.orderBy(order, "seq").offset(page * size).limit(size)
+
+
 def quick_ranges(p: DataFrame) -> DataFrame:
     c = F.col("compound")
     return p.agg(F.count("*").alias("everything"), F.count_if(c.between(0.2, 1)).alias("positive"), F.count_if(c.between(-0.2, 0.2)).alias("neutral"), F.count_if(c.between(-1, -0.2)).alias("negative"))

@@ -14,11 +14,12 @@ from ..functions import urls as U
 from ..operators import cleaning, documents, export, links, reporting, runs
 from ..sources import pages as P
 from ..streaming import events as E
-from .sql import SQL
+from . import sql, states
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(states.QUERIES)
+SQL = sql.SQL | states.SQL
 BRIEF = links.Brief("the", ("and", "tion"), ("#of",))
 HINTS = ("reddit", "YouTube", "facebook", "instagram", "news", "web")
 POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS = ("the", "and", "tion"), ("of", "eau")
