@@ -17,6 +17,13 @@ def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and none if it is one itself."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    of = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return of.where((F.col("child") > 1) | (F.col("child") + F.col("root") > 1)).isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Each linked node with its component's smallest node: node, root.
 
@@ -36,10 +43,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = attach(large, _least(large), "a", ends)
         small = joined.select("a", F.col("least").alias("b")).unionByName(joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
         earlier, links = links, stage(small.distinct())
-        # both hold each pair once, so the same size and no new pair mean the same links
-        n = links.count()
-        if n == size and links.exceptAll(earlier).isEmpty():
-            unstage(earlier)
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         unstage(earlier)
-        size = n
+        size = links.count()
+        if _stars(links):
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

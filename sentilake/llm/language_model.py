@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, parts, total_bytes
+from .shared import only, parts, text_batches, total_bytes
 
 #: Bytes of text in a group, and of text for a bucket of hashes.
 GROUP_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
@@ -269,7 +269,7 @@ def training_totals(rows: DataFrame, buckets: int) -> tuple[int, int, int, int]:
         n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
         return pa.table({"n": [int(n.sum())], "distinct": [len(n)], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
 
-    told = rows.where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, a binary, b binary")
+    told = text_batches(rows).where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, a binary, b binary")
     n = told.groupBy("bucket").applyInArrow(add, "n long, distinct long, once long, twice long")
     return tuple(n.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in n.columns]).head())
 
@@ -290,7 +290,7 @@ def in_blobs(rows: DataFrame, blob_bytes: int = BLOB_BYTES) -> DataFrame:
                         out.write_batch(pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(a, b))) for c in batch.columns], schema=batch.schema))
                     yield pa.RecordBatch.from_arrays([pa.array([press.compress(sink.getvalue())], pa.binary())], names=["rows"])
 
-    return rows.mapInArrow(pack, "rows binary")
+    return text_batches(rows).mapInArrow(pack, "rows binary")
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", *, smooth: float = 0.1, concentration: tuple[float, float, float] = CONCENTRATION, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

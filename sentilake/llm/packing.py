@@ -96,11 +96,12 @@ def top_up(bins: list[list[tuple[int, int, int]]], capacity: int, tolerance: int
 
 
 def grouped(pieces: DataFrame, groups: int, seed: int) -> DataFrame:
-    """Pieces with their group, by a hash of their place in the input, so that null ids and copies of a row spread too.
+    """Pieces with their group, by a hash of what they are and of their place in the input, in runs of 64, so that null ids and copies of a row spread too.
 
     The place is the same whenever the input is read, so a lost task's pieces keep their groups.
     """
-    return pieces.withColumn("pack", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
+    run = F.shiftright(F.monotonically_increasing_id(), 6)
+    return pieces.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", run, F.lit(seed)), F.lit(groups)))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", tolerance: int = 16, group_bytes: int = GROUP_BYTES, seed: int = 4) -> DataFrame:

@@ -27,6 +27,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 HOT = 512
 #: Facts about keys up to this many rows are broadcast whole; they are a few numbers each.
 SMALL = 10_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -129,6 +130,16 @@ def parts(amount: int, each: int) -> int:
     return max(1, -(-int(amount) // each))
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, and Arrow batches of few rows for it, since a row may hold a long text.
+
+    Sets the session's batch size where it has Spark's default.
+    """
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, "500")
+    return df
+
+
 def add_column(df: DataFrame, text_col: str, name: str, kind: str, work: Callable[[list[bytes | None]], pa.Array], *, rows: int = 64) -> DataFrame:
     """``df`` and a column that Python works out from a text's UTF-8 bytes, a few rows at a time.
 
@@ -143,6 +154,6 @@ def add_column(df: DataFrame, text_col: str, name: str, kind: str, work: Callabl
                 part = whole.slice(at, rows)
                 text = part.column(at_text).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([*part.columns, work(text)], names=[*part.schema.names, name])
-            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields]))
+    return text_batches(df).mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields]))

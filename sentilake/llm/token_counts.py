@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import bucket
-from .shared import only, parts, stage
+from .shared import only, parts, stage, text_batches
 
 #: What stands for the white space before a word.
 MARK = "▁"
@@ -136,7 +136,7 @@ def distinct_pretokens(texts: DataFrame) -> DataFrame:
                     found = Counter()
         yield from out(found)
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return text_batches(texts).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _dealt(words: DataFrame, part: int, prefixes: tuple[int, ...]) -> DataFrame:

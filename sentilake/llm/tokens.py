@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import only, text_batches
 
 #: Words that a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 400_000, 64
@@ -106,6 +106,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int, end_id:
                     [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "doc_tokens", "start", "length", "ids"],
                 )
-            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
 
-    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(cut, f"doc_id {kind}, {PIECES}")
+    return text_batches(rows).withColumn("text", F.col("text").cast("binary")).mapInArrow(cut, f"doc_id {kind}, {PIECES}")
