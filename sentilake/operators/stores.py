@@ -51,8 +51,9 @@ def reply_depths(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFra
     level = staged(edges.where(F.col(parent).isNull()).withColumn("depth", F.lit(0).cast("long")))
     out = level
     while not level.isEmpty():
-        above = level.select(F.col(tree).alias("t"), F.col(node).alias("p"), "depth")
-        level = staged(edges.join(above, (F.col(tree) == F.col("t")) & (F.col(parent) == F.col("p"))).select(tree, node, parent, (F.col("depth") + 1).alias("depth")))
+        above = level.select(F.col(tree).alias("__tree"), F.col(node).alias("__node"), F.col("depth").alias("__depth"))
+        below = edges.join(above, (F.col(tree) == F.col("__tree")) & (F.col(parent) == F.col("__node")))
+        level = staged(below.select(tree, node, parent, (F.col("__depth") + 1).alias("depth")))
         out = out.unionByName(level)
     return out
 
