@@ -6,8 +6,8 @@ token, to the longest history that the token ends. Whatever has no arc takes the
 failure arc, with its backoff weight, to the state without the oldest token; the empty
 state has an arc for every token. One walk from left to right carries the state and adds
 log probabilities. It begins in the state of the end token. A state depends on the last
-two tokens alone, so a long text is walked as segments side by side, each begun by
-walking the two tokens before it.
+two tokens alone, so a long text is walked as segments side by side, each begun in the
+state that the two tokens before it lead to.
 
 Smoothing: a token alone has p(w) = (c(w) - D) / N, and D V / N goes to one class of
 unknown tokens, with D = n1 / (n1 + 2 n2). After a history h, with h' without its oldest
@@ -68,29 +68,35 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A-Z in lower case, as bytes one after another, and how many each text has; null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())))
+    words, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    # white space at either end of a text makes an empty piece
+    full = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full).view(pa.binary()), np.diff(upto[ends - ends[0]])
+
+
 class Texts:
     """The tokens of a group's texts: word numbers in a row, how the texts cut it, and the distinct n-grams."""
 
-    def __init__(self, texts: list[bytes]):
-        number: dict[bytes, int] = {END: 0}
-        lengths, rows = [], []
-        for text in texts:
-            words = text.lower().split()
-            for w in set(words).difference(number):
-                number[w] = len(number)
-            words.append(END)
-            lengths.append(len(words))
-            rows.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    def __init__(self, texts: pa.Array):
+        tokens, self.lengths = tokens_of(texts)
+        self.lengths += 1  # the end token
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        coded = tokens.dictionary_encode()
+        hashes = np.fromiter(map(token_hash, [END, *coded.dictionary.to_pylist()]), np.uint64, len(coded.dictionary) + 1)
+        number = np.zeros(int(self.lengths.sum()), np.int32)
+        inside = np.ones(len(number), bool)
+        inside[self.starts + self.lengths - 1] = False
+        number[inside] = coded.indices.to_numpy(zero_copy_only=False) + 1
         # in the order of their hashes, so that the rows' order makes no difference
-        hashes = np.fromiter(map(token_hash, number), np.uint64, len(number))
-        del number
         order = np.argsort(hashes)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.hash, self.end = hashes[order], int(place[0])
-        self.ids = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
-        self.lengths = np.asarray(lengths, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = place[number]
         n = len(self.hash)
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
@@ -120,7 +126,7 @@ class Texts:
 
 
 class Automaton:
-    """States: 0 is the empty one, then tokens, then pairs. Arcs are in the order of state and token."""
+    """States: 0 is the empty one, then tokens, then pairs. Arcs: of the empty state by token, of tokens by pair, of pairs by triple."""
 
     def __init__(self, texts: Texts, one: np.ndarray, grams: np.ndarray, total: int, distinct: int, discount: float, concentration: tuple[float, float, float]):
         n, m = len(texts.hash), len(texts.heads)
@@ -129,33 +135,30 @@ class Automaton:
         after = (two + concentration[0] * alone[texts.tails]) / (one[texts.heads] + concentration[0])
         prior = np.where(two > 1, concentration[2], concentration[1])
         after2 = (three + prior[texts.first_pair] * after[texts.last_pair]) / (two + prior)[texts.first_pair]
-        token_state, pair_state = np.where(one > 0, 1 + np.arange(n), 0), 1 + n + np.arange(m)
-        seen, seen2 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
         self.n = n
-        # already in order: tokens by number, pairs by head and tail, triples by pair and token
-        self.key = np.concatenate([np.arange(n), (1 + texts.heads[seen].astype(np.int64)) * n + texts.tails[seen], (1 + n + texts.first_pair[seen2].astype(np.int64)) * n + texts.last[seen2]])
-        self.target = np.concatenate([token_state, pair_state[seen], pair_state[texts.last_pair[seen2]]])
         with np.errstate(divide="ignore"):
-            self.weight = np.log10(np.concatenate([alone, after[seen], after2[seen2]]))
-        self.failure = np.concatenate([[0], np.zeros(n, np.int64), token_state[texts.tails]])
+            self.weight = [np.log10(x) for x in (alone, after, after2)]
+        #: whether the arc is there; the empty state has one for each token
+        self.arc = [np.ones(n, bool), two > 0, three > 0]
+        self.token_state = np.where(one > 0, 1 + np.arange(n), 0)
+        self.failure = np.concatenate([[0], np.zeros(n, np.int64), self.token_state[texts.tails]])
         self.backoff = np.concatenate([[0.0], np.log10(concentration[0] / (one + concentration[0])), np.log10(prior / (two + prior))])
-        self.start = int(token_state[texts.end])
-
-    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state that each token leads to from each state, and what it adds."""
-        state, gain = state.copy(), np.zeros(len(state))
-        open_ = np.arange(len(state))
-        while len(open_):
-            key = state[open_] * self.n + token[open_]
-            at = np.searchsorted(self.key, key)
-            hit = self.key[np.minimum(at, len(self.key) - 1)] == key
-            done, at = open_[hit], at[hit]
-            gain[done] += self.weight[at]
-            state[done] = self.target[at]
-            open_ = open_[~hit]
-            gain[open_] += self.backoff[state[open_]]
-            state[open_] = self.failure[state[open_]]
-        return state, gain
+
+    def step(self, state: np.ndarray, token: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state that each token leads to from each state, and what it adds; an arc's number is that of the n-gram read."""
+        gain, open_ = np.zeros(len(state)), np.ones(len(state), bool)
+        target = self.token_state[token]
+        for least, number, weight, arc in ((self.n + 1, triple, self.weight[2], self.arc[2]), (1, pair, self.weight[1], self.arc[1])):
+            here = np.flatnonzero(open_ & (state >= least))
+            hit = arc[number[here]]
+            done, fails = here[hit], here[~hit]
+            gain[done] += weight[number[done]]
+            target[done] = 1 + self.n + pair[done]
+            open_[done] = False
+            gain[fails] += self.backoff[state[fails]]
+            state[fails] = self.failure[state[fails]]
+        gain[open_] += self.weight[0][token[open_]]
+        return target, gain
 
 
 def walk(machine: Automaton, texts: Texts, segment: int = SEGMENT) -> np.ndarray:
@@ -166,15 +169,17 @@ def walk(machine: Automaton, texts: Texts, segment: int = SEGMENT) -> np.ndarray
     end = np.minimum(begin + segment, (texts.starts + texts.lengths)[owner])
     order = np.argsort(begin - end, kind="stable")  # the longest first
     owner, begin, end = owner[order], begin[order], end[order]
-    inner = begin > texts.starts[owner]
-    state, score = np.full(len(begin), machine.start, np.int64), np.zeros(len(begin))
-    for back in (2, 1):  # the two tokens before an inner segment lead to its state
-        if inner.any():
-            state[inner] = machine.step(state[inner] if back == 1 else np.zeros(int(inner.sum()), np.int64), texts.ids[begin[inner] - back])[0]
+    triple = np.zeros(len(texts.ids), np.int32)
+    triple[texts.later] = texts.triple
+    # the state that the tokens before a segment lead to; before a text that is the end token
+    last = np.where(begin > texts.starts[owner], begin - 1, 0)
+    inner = np.where(machine.arc[1][texts.pair[last]], 1 + machine.n + texts.pair[last], machine.token_state[texts.ids[last]]) if len(last) else last
+    state, score = np.where(begin > texts.starts[owner], inner, machine.token_state[texts.end]), np.zeros(len(begin))
     length = end - begin
     for t in range(int(length.max(initial=0))):
         n = int(np.searchsorted(-length, -t, "left"))  # segments that are longer than t
-        state[:n], gain = machine.step(state[:n], texts.ids[begin[:n] + t])
+        at = begin[:n] + t
+        state[:n], gain = machine.step(state[:n], texts.ids[at], texts.pair[at], triple[at])
         score[:n] += gain
     return np.bincount(owner, weights=score, minlength=len(cuts))
 
@@ -254,8 +259,9 @@ def training_totals(rows: DataFrame, buckets: int) -> tuple[int, int, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update((text or b"").lower().split())
+            values, n = pc.value_counts(tokens_of(batch.column(0))[0]).flatten()
+            for value, k in zip(values.to_pylist(), n.to_pylist(), strict=True):
+                found[value] += k
             found[END] += batch.num_rows
             if len(found) > HELD:
                 yield from out(found)
@@ -316,7 +322,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     def read(table: pa.Table) -> tuple[Texts, np.ndarray, pa.Array]:
         open_ = zstandard.ZstdDecompressor()
         found = pa.concat_tables([pa.ipc.open_stream(open_.decompress(x)).read_all() for x in table.column("rows").to_pylist()])
-        return Texts([t or b"" for t in found.column("text").to_pylist()]), found.column("held_out").to_numpy(), found.column("doc_id")
+        return Texts(found.column("text").combine_chunks()), found.column("held_out").to_numpy(), found.column("doc_id")
 
     def messages(group: int, cuts: list[np.ndarray], content: list) -> pa.Table:
         """A row for each bucket that any of ``cuts`` has something for; ``content`` makes its columns of the parts' ends."""
