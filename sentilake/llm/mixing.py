@@ -15,12 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, only, stage, words
+from .shared import SMALL, attach, fresh, key_of, only, parts, stage, words
 
 #: Bits of a document's hash, and how many of them a level of the histogram adds.
 BITS, LEVEL = 60, 12
-#: Sources up to this many are broadcast; more are joined by shuffle.
-SMALL = 10_000
 
 
 def unit_hash(id_col: Column, seed: str) -> Column:
@@ -37,18 +35,33 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float], share: float,
     the order of ceiling to weight, sources are capped up to the first whose share of
     what the capped ones leave is within its ceiling.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    budget = F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    cap = F.lit(float(ceiling)) * F.col("source_size")
-    ranked = sources.withColumn("weight", weight).withColumn("budget", budget).withColumn("cap", cap)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    leveled = ranked.withColumn("level", level)
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "level"))).over(Window.partitionBy(F.lit(0)))
-    return leveled.withColumn("water", first["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("water") * F.col("weight")), F.col("cap")).alias("target"))
+    sources = stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    by_name = F.col("source").asc_nulls_last()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = before(sources, [by_name], {"rank": F.lit(1).cast("long")}).select("source", "source_size", weight.alias("weight"), (F.lit(float(ceiling)) * F.col("source_size")).alias("cap"))
+    ordered = before(ranked, [F.col("cap") / F.col("weight"), by_name], {"caps": F.col("cap"), "weights": F.col("weight")})
+    words_, weight_ = ordered.agg(F.sum("source_size"), F.sum("weight")).head()  # one row
+    level = (F.lit(float(share) * float(words_ or 0)) - F.col("caps")) / (F.lit(weight_ or 0.0) - F.col("weights"))
+    leveled = ordered.withColumn("level", level)
+    first = leveled.agg(F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("ratio"), "level"))).alias("first")).head().first
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first.level) * F.col("weight"))
+    return leveled.select("source", "source_size", target.alias("target"))
+
+
+def before(rows: DataFrame, order: list[Column], sums: dict[str, Column], *, each: int = 100_000) -> DataFrame:
+    """``rows`` and, of each sum, what the rows that come earlier in an order add up to.
+
+    Ranges of the order are cut into parts of about ``each`` rows; a part adds up its own
+    rows, and what lies before it comes from one total for each part.
+    """
+    staged = stage(rows)
+    placed = stage(staged.repartitionByRange(parts(staged.count(), each), *order).withColumn("part", F.spark_partition_id()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are parts
+    totals = placed.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    ahead = totals.select("part", *[F.coalesce(F.sum(k).over(earlier), 0 * F.col(k)).alias(f"ahead_{k}") for k in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = [(F.col(f"ahead_{k}") + F.coalesce(F.sum(c).over(inside), 0 * F.col(f"ahead_{k}"))).alias(k) for k, c in sums.items()]
+    return placed.join(F.broadcast(ahead), "part").select(*rows.columns, *found)
 
 
 def _thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -87,6 +100,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def by_source(rows: DataFrame, source: Column, plan: DataFrame, of: str) -> DataFrame:
+    """``rows`` joined to the plan of their source, whose column is ``of``; beyond SMALL sources the rows of hot ones stay where they are."""
+    if plan.count() <= SMALL:
+        return rows.join(F.broadcast(plan), source.eqNullSafe(F.col(of)))
+    key, n = fresh(rows, "mix_key"), fresh(rows, "mix_n")
+    keyed = rows.withColumn(key, key_of(source))
+    counted = stage(plan.withColumn(key, key_of(F.col(of))).join(keyed.groupBy(key).agg(F.count("*").alias(n)), key))
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).head()[0]
+    return attach(keyed, counted, key, total, n).drop(key)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix:") -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of each document.
 
@@ -101,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     limits = _thresholds(sized, targets).withColumnRenamed("source", "of")
     plan = stage(targets.join(limits, targets["source"].eqNullSafe(limits["of"])).drop("of").withColumnRenamed("source", "of"))
     copies = F.col("copies") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
-    joined = sized.join(_small(plan), sized["source"].eqNullSafe(plan["of"]))
+    joined = by_source(sized, F.col("source"), plan, "of")
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
@@ -113,6 +137,6 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     targets = stage(source_targets(sized, weights=how.get("weights", (5, 2, 1)), share=how.get("share", 1.5), ceiling=how.get("ceiling", 2.0)))
     n = [fresh(docs, x) for x in ("mix_of", "mix_copies", "mix_threshold", "mix_copy")]
     plan = stage(_thresholds(sized, targets).select("source", "copies", "threshold").toDF(*n[:3]))
-    joined = docs.join(_small(plan), docs[f"`{source_col}`"].eqNullSafe(plan[n[0]]))
-    times = F.col(n[1]) + F.when(unit_hash(docs[f"`{id_col}`"], seed) <= F.col(n[2]), 1).otherwise(0)
-    return joined.where(times > 0).withColumn(n[3], F.explode(F.sequence(F.lit(1), times))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    joined = by_source(docs, F.col(f"`{source_col}`"), plan, n[0])
+    times = F.col(n[1]) + F.when(unit_hash(F.col(f"`{id_col}`"), seed) <= F.col(n[2]), 1).otherwise(0)
+    return joined.where(times > 0).withColumn(n[3], F.explode(F.sequence(F.lit(1), times))).select(*[f"`{c}`" for c in docs.columns])

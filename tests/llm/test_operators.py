@@ -514,3 +514,20 @@ def test_mixing(spark):
     assert sum(size(r.text) for r in mixed.collect()) == sum(taken.values())
     assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.apply_mix(empty(spark)).count() == 0
+
+
+def test_mixing_of_many_sources_is_the_same(spark, monkeypatch):
+    docs, _ = documents(spark, 200)
+    want = sorted(map(tuple, mixing.mix(docs).collect()), key=repr), sorted((repr(r) for r in mixing.apply_mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SMALL", 1)
+    assert (sorted(map(tuple, mixing.mix(docs).collect()), key=repr), sorted((repr(r) for r in mixing.apply_mix(docs).collect()))) == want
+
+
+def test_sums_of_what_comes_before(spark):
+    rng = random.Random(3)
+    rows = [(None if i == 7 else f"s{rng.randrange(1000):04d}-{i}", rng.randrange(100)) for i in range(500)]
+    got = mixing.before(spark.createDataFrame(rows, "k string, v long"), [F.col("k").asc_nulls_last()], {"n": F.lit(1).cast("long"), "s": F.col("v")}, each=40).collect()
+    total = 0
+    for i, r in enumerate(sorted(got, key=lambda r: (r.k is None, r.k or ""))):
+        assert (r.n, r.s) == (i, total)
+        total += r.v
