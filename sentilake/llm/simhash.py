@@ -227,4 +227,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     named = stage(classes(found.select("doc_id", "fingerprint"), **how))
     least = attach(found, named, "fingerprint", found.count()).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stage(least.groupBy("root").agg(F.min("row").alias(row)).select(row))
-    return marked.join(stays, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])
+    # a shuffle join at every size: what stays grows with the table
+    return marked.join(stays.hint("merge"), row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])
