@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import only, parts, text_batches, total_bytes
 
 #: Bytes of text in a group, and of text for a bucket of hashes.
-GROUP_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
+GROUP_BYTES, BUCKET_BYTES = 10 << 20, 24 << 20
 #: Weight of the shorter history beside the counts after one token; after two that came once; after two that came more often.
 CONCENTRATION = (100.0, 400.0, 1.0)
 #: The end token, which isn't a word.
