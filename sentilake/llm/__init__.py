@@ -1 +1 @@
-"""Training-data operators: ten corpus-scale jobs and the queries that apply them."""
+"""Training-data operators: corpus-scale jobs and the queries that apply them."""

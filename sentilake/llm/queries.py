@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, language_id, language_model, mixing, packing, quality, simhash, token_counts, token_output, url_filter
+from . import decontaminate, divergence, knn, language_id, language_model, mixing, packing, phrases, quality, simhash, token_counts, token_output, url_filter
 from .sql import SQL
 
 TOKENIZER, VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -70,6 +70,18 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output_query,
     "op2_url_filters": url_query,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": knn_query,
     "op9_quality_rules": quality_query,
     "op10_mixing": mixing_query,
+    "op11_phrases": phrase_query,
+    "op12_divergence": divergence_query,
+    "op13_decontamination": decontamination_query,
 }
 
 

@@ -194,4 +194,93 @@ FROM u JOIN judged j ON u.host = j.host AND u.kind = j.kind
 """
 
 
-SQL = {"op2_url_filters": _urls(), "op8_exact_topk": TOP_K, "op9_quality_rules": QUALITY, "op10_mixing": MIXING}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = f"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang
+), gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) r(k) WHERE len(w) >= k) GROUP BY ALL
+), candidate AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate)
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, j, h.f AS l, t.f AS r, n, (1000 * c.a * n) // (h.f * t.f) AS score
+  FROM cuts c JOIN gram h ON c.lang = h.lang AND c.head = h.phrase JOIN gram t ON c.lang = t.lang AND c.tail = t.phrase JOIN totals ON c.lang = totals.lang
+), best AS (
+  SELECT lang, phrase, a, l, r, n, score FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM candidate s JOIN (
+    SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidate))
+  ) b ON s.lang = b.lang AND s.phrase = b.phrase AND 100 * b.a >= 100 * s.a
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN inside USING (lang, phrase)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept WHERE rank <= 2000
+"""
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents
+), w AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0)::HUGEINT AS n
+  FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = kept.term
+), s AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM c JOIN v USING (lang)
+), base AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN v USING (lang)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM s JOIN base USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+DECONTAMINATION = f"""
+WITH i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS x
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM i WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT row, k, j, array_to_string(w[j:j + k - 1], ' ') AS x
+  FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), hit AS (
+  SELECT row, j, win.k, item FROM places JOIN win USING (k, x)
+), covered AS (
+  SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(j, j + k)) AS p FROM (SELECT DISTINCT row, j, k FROM hit)) GROUP BY row
+), items AS (
+  SELECT row, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
+"""
+
+
+SQL = {
+    "op2_url_filters": _urls(), "op8_exact_topk": TOP_K, "op9_quality_rules": QUALITY, "op10_mixing": MIXING,
+    "op11_phrases": PHRASES, "op12_divergence": DIVERGENCE, "op13_decontamination": DECONTAMINATION,
+}
