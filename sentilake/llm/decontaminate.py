@@ -33,12 +33,21 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, f"{GAP}+"), ""), F.array().cast("array<string>"))
 
 
+def run(i: Column, n: int) -> list[Column]:
+    """``n`` words of ``w`` from place ``i``, null beyond its end. (A slice would copy the whole array.)"""
+    return [F.get("w", i - 1 + j) for j in range(n)]
+
+
+def hashes_of(n: int, many: Column) -> Column:
+    """The hashes of the ``many`` windows of ``n`` words of ``w``."""
+    return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.xxhash64(*run(i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def item_windows(bench: DataFrame, size: int) -> DataFrame:
     """window, words, hash and item: each item's windows of ``size`` words, or the one window of a shorter item."""
     cut = bench.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
     each = F.least(F.size("w"), F.lit(size))
-    some = lambda i: F.slice("w", i, each)
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - each + 1), lambda i: F.struct(F.array_join(some(i), " ").alias("window"), each.alias("words"), F.xxhash64(some(i)).alias("hash")))
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - each + 1), lambda i: F.struct(F.concat_ws(" ", *run(i, size)).alias("window"), each.alias("words"), F.xxhash64(*run(i, size)).alias("hash")))
     return cut.select("item", F.explode(windows).alias("x")).select("item", "x.*").distinct()
 
 
@@ -49,7 +58,7 @@ def _looked_up(docs: DataFrame, owned: DataFrame, most: int) -> DataFrame:
     cut = docs.select("row", "id", words(F.col("text").cast("string")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
     hashes, where, before = [F.array().cast("array<bigint>")], F.when(F.lit(False), F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"))), F.lit(0)
     for n in lengths:  # one length after another
-        hashes.append(F.when(many(n) > 0, F.transform(F.sequence(F.lit(1), F.greatest(many(n), F.lit(1))), lambda i, n=n: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>")))
+        hashes.append(hashes_of(n, many(n)))
         where = where.when(F.col("pos") < before + many(n), F.struct((F.col("pos") - before + 1).alias("at"), F.lit(n).alias("words")))
         before = before + many(n)
     scan = cut.withColumn("hashes", F.concat(*hashes)).select("row", "id", "n_words", "w", F.posexplode_outer("hashes").alias("pos", "hash"))
