@@ -234,8 +234,8 @@ def _top_k(rows: DataFrame, width: int, is_query, k: int, most_pivots: int, grou
         return reach + 1e-6 * (1 + np.abs(reach)) >= least[:, None]
 
     def lacking(column: pa.Array) -> np.ndarray:
-        """Bounds as doubles; a query without one needs all."""
-        return column.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        """Bounds as doubles, rounded beyond 2**53, for which ``needs`` leaves room; a query without one needs all."""
+        return column.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
 
     def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.arange(len(numbers))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Each source may take a share of all words. Documents get a hash of their id; a
+Each source may take a share of all words. Documents get a hash of id and text; a
 histogram of words by source and hash bucket shows in which bucket a source's budget
 ends, and only that bucket is cut finer, level by level, until it holds one hash.
 Documents are then kept by comparing hashes with their source's threshold; nothing is
@@ -21,9 +21,10 @@ from .shared import SMALL, attach, fresh, key_of, only, parts, stage, words
 BITS, LEVEL = 60, 12
 
 
-def unit_hash(id_col: Column, seed: str) -> Column:
-    """A 60-bit hash, from the MD5 of seed and id; SQL engines can compute it too."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def unit_hash(id_col: Column, text_col: Column, seed: str) -> Column:
+    """A 60-bit hash, from the MD5 of seed, id and text; SQL engines can compute it too."""
+    given = [F.coalesce(c.cast("string"), F.lit("")) for c in (id_col, text_col)]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), given[0], F.lit(":"), given[1])), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, *, weights: Sequence[float], share: float, ceiling: float) -> DataFrame:
@@ -115,12 +116,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """doc_id, size, source_size, target, copies and taken of each document.
 
     Size is the number of words of a whole text, null 0. A document that is taken twice
-    counts twice. Documents with the same id are taken alike; reruns agree. The null
+    counts twice. Rows with the same id and text are taken alike; reruns agree. The null
     source is a source of its own. A source without words has target 0. An empty table
     gives no rows; other columns aren't read.
     """
     sized = only(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = stage(sized.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id"), seed).alias("hash")))
+    sized = stage(sized.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id"), F.col("text"), seed).alias("hash")))
     targets = stage(source_targets(sized, weights=weights, share=share, ceiling=ceiling))
     limits = _thresholds(sized, targets).withColumnRenamed("source", "of")
     plan = stage(targets.join(limits, targets["source"].eqNullSafe(limits["of"])).drop("of").withColumnRenamed("source", "of"))
@@ -133,10 +134,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The mixture itself: all columns of ``docs``, each document as often as it is taken."""
     seed = how.get("seed", "mix:")
     sized = only(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = stage(sized.select("source", F.size(words(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id"), seed).alias("hash")))
+    sized = stage(sized.select("source", F.size(words(F.col("text"))).cast("long").alias("size"), unit_hash(F.col("doc_id"), F.col("text"), seed).alias("hash")))
     targets = stage(source_targets(sized, weights=how.get("weights", (5, 2, 1)), share=how.get("share", 1.5), ceiling=how.get("ceiling", 2.0)))
     n = [fresh(docs, x) for x in ("mix_of", "mix_copies", "mix_threshold", "mix_copy")]
     plan = stage(_thresholds(sized, targets).select("source", "copies", "threshold").toDF(*n[:3]))
     joined = by_source(docs, F.col(f"`{source_col}`"), plan, n[0])
-    times = F.col(n[1]) + F.when(unit_hash(F.col(f"`{id_col}`"), seed) <= F.col(n[2]), 1).otherwise(0)
+    times = F.col(n[1]) + F.when(unit_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed) <= F.col(n[2]), 1).otherwise(0)
     return joined.where(times > 0).withColumn(n[3], F.explode(F.sequence(F.lit(1), times))).select(*[f"`{c}`" for c in docs.columns])

@@ -417,6 +417,17 @@ def plain_top_k(rows, k):
     return want
 
 
+@pytest.mark.parametrize("size", [1e6, 1e8, 3e12])
+def test_top_k_of_large_components(spark, size):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-size, size) for _ in range(4)]) for i in range(200)]
+    held = {i: [int(np.floor(64.0 * x)) for x in v] for i, v in rows}
+    dot = lambda a, b: max(knn.LEAST + 1, min(-knn.LEAST, sum(x * y for x, y in zip(held[a], held[b]))))
+    want = {(q, rank, v, -s) for q in range(0, 200, 20) for rank, (s, v) in enumerate(sorted((-dot(q, v), v) for v in held if v != q)[:20], 1)}
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+
+
 def test_top_k_of_many_lengths_and_repeated_ids(spark):
     many = [(20 * n + i, [(n * 7 + i * j) % 5 - 2 for j in range(n)]) for n in range(1, 1106) for i in range(3)]
     assert len({len(v) for _, v in many}) == 1105
@@ -516,6 +527,15 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.apply_mix(empty(spark)).count() == 0
 
 
+def test_null_and_repeated_ids_come_near_their_target(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 10), "en", "a", 0) for i in range(300)] + [(None, words(rng, 10), "en", "b", 0) for _ in range(300)] + [(1007, words(rng, 10), "en", "c", 0) for _ in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    for i, target in ((None, 5000), (1007, 2500)):
+        mine = [r for r in got if r.doc_id == i]
+        assert len(mine) == 300 and {r.target for r in mine} == {target} and abs(sum(r.taken for r in mine) - target) <= 10
+
+
 def test_mixing_of_many_sources_is_the_same(spark, monkeypatch):
     docs, _ = documents(spark, 200)
     want = sorted(map(tuple, mixing.mix(docs).collect()), key=repr), sorted((repr(r) for r in mixing.apply_mix(docs).collect()))
