@@ -73,6 +73,15 @@ SEARCH_PAGES = {
 ADDRESS_KEYS = ("url", "link", "permalink", "story_url")
 METRICS = ("score", "num_comments", "reply_count", "repost_count", "like_count", "quote_count", "descendants", "upvote_ratio")
 
+# Elements whose text is no part of a page's, those that may hold its main text, in order, and its paragraphs.
+DROPPED_TAGS = ("script", "style", "noscript", "svg", "nav", "footer", "header")
+CONTENT_TAGS = ("article", "main", "section", "body")
+BLOCK_TAGS = ("p", "li", "blockquote")
+MIN_MAIN_TEXT, MIN_PARAGRAPH, MAX_PARAGRAPHS = 200, 30, 80
+
+# Names of places, and the metas that have them.
+GEO_METAS = (("latitude", "place:location:latitude"), ("longitude", "place:location:longitude"), ("region", "geo.region"), ("placename", "geo.placename"), ("locale", "og:locale"))
+
 # Limits and thresholds.
 MIN_QUALITY, MAX_LINKS, REUSE_DAYS, MAX_TARGETS = 0.35, 1000, 7, 250
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MAX_URL, MAX_SYMBOL = 30, 12_000, 0.35, 0.3, 0.35

@@ -14,6 +14,7 @@ from ..functions import fixed_values as V
 from ..functions import urls as U
 from ..functions.plan import once
 from ..functions.texts import count_terms
+from . import merging
 
 
 #: An anchor: its quoted address, and what it holds.
@@ -107,30 +108,25 @@ def merge(sightings: DataFrame) -> DataFrame:
 
 #: Columns of a stored link that the latest sighting sets, and those where the longest text stays.
 LATEST, LONGEST = ("platform", "source_name", "source_type", "discovery_query", "raw_payload"), ("title", "description")
+LINK_RULES = {
+    "first_seen": merging.LEAST, "times": merging.ADD, **dict.fromkeys(LONGEST, merging.LONGEST), **dict.fromkeys(("author", "published_at"), merging.FIRST),
+    **dict.fromkeys(LATEST, merging.LATEST), **dict.fromkeys(("quality", "relevance"), merging.MOST), "metadata": merging.MAPPED,
+}
 
 
-def upsert(stored: DataFrame, sightings: DataFrame) -> DataFrame:
+def upsert(stored: DataFrame | None, sightings: DataFrame) -> DataFrame:
     """The stored links after all sightings in order of seq, and the links that these bring.
 
     Both have normalized_url, LATEST, LONGEST, author, published_at, quality, relevance and
     metadata (a map of texts); ``stored`` also first_seen, last_seen and duplicate_count,
     ``sightings`` seq, which grows and lies beyond what is stored. Longest texts stay, of
     equal ones the earlier; the first author and date stay; scores only rise; of a metadata
-    key the latest value counts. One grouped pass, and one over metadata entries.
+    key the latest value counts.
     """
-    texts = [*LATEST, *LONGEST, "author", "published_at", "quality", "relevance", "metadata"]
-    old = stored.select("normalized_url", F.col("last_seen").alias("seq"), *texts, F.col("first_seen").alias("since"), (F.col("duplicate_count") + 1).alias("times"))
-    new = sightings.select("normalized_url", "seq", *texts, F.col("seq").alias("since"), F.lit(1).cast("long").alias("times"))
-    rows = old.unionByName(new)
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    links = rows.groupBy("normalized_url").agg(
-        F.min("since").alias("first_seen"), F.max("seq").alias("last_seen"), (F.sum("times") - 1).alias("duplicate_count"),
-        *[F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -F.col("seq"))).alias(c) for c in LONGEST], first("author"), first("published_at"),
-        F.max_by(F.struct(*LATEST), "seq").alias("latest"), F.max("quality").alias("quality"), F.max("relevance").alias("relevance"),
-    )
-    entries = rows.select("normalized_url", "seq", F.explode(F.map_entries("metadata")).alias("e")).groupBy("normalized_url", F.col("e.key").alias("k")).agg(F.max_by("e.value", "seq").alias("v"))
-    merged = entries.groupBy("normalized_url").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("metadata"))
-    return links.join(merged, "normalized_url", "left").select("normalized_url", "first_seen", "last_seen", "duplicate_count", *LONGEST, "author", "published_at", *[f"latest.{c}" for c in LATEST], "quality", "relevance", "metadata")
+    new = sightings.withColumns({"last_seen": F.col("seq"), "first_seen": F.col("seq"), "times": F.lit(1).cast("long")})
+    old = new.limit(0) if stored is None else stored.withColumn("times", F.col("duplicate_count") + 1)
+    links = merging.merge(old, new, ["normalized_url"], "last_seen", LINK_RULES).withColumn("duplicate_count", F.col("times") - 1)
+    return links.select("normalized_url", "first_seen", "last_seen", "duplicate_count", *LONGEST, "author", "published_at", *LATEST, "quality", "relevance", "metadata")
 
 
 def distinct_anchors(found: DataFrame) -> DataFrame:

@@ -14,12 +14,12 @@ from ..functions import urls as U
 from ..operators import cleaning, documents, export, links, reporting, runs
 from ..sources import pages as P
 from ..streaming import events as E
-from . import sql, states
+from . import pages, sql, states, writers
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(states.QUERIES)
-SQL = sql.SQL | states.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = states.QUERIES | pages.QUERIES | writers.QUERIES
+SQL = sql.SQL | states.SQL | pages.SQL | writers.SQL
 BRIEF = links.Brief("the", ("and", "tion"), ("#of",))
 HINTS = ("reddit", "YouTube", "facebook", "instagram", "news", "web")
 POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS = ("the", "and", "tion"), ("of", "eau")
@@ -312,11 +312,6 @@ def html_metadata(spark, d):
     return P.metadata(table(spark, d, "pages"))
 
 
-@query
-def best_text_source(spark, d):
-    return P.best_text(table(spark, d, "pages"))
-
-
 @query
 def stream_daily_window(spark, d):
     return E.replayed_days(spark, f"{d}/events.parquet")

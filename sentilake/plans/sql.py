@@ -191,7 +191,6 @@ SQL = {
     "published_dates": "SELECT * FROM (VALUES (0::BIGINT, '2024-01-05 00:00:00'), (1, '2024-01-05 00:00:00'), (2, '2024-01-15 00:00:00'), (3, '2024-03-09 00:00:00'), (4, '2024-02-05 00:00:00'), (5, '2023-03-17 00:00:00'), (6, '2024-01-05 00:00:00'), (7, NULL), (8, NULL), (9, NULL), (10, NULL)) v(id, published_at)",
     "reply_tree_depth": "WITH RECURSIVE r AS (SELECT conv_id, turn, NULL::BIGINT AS parent, 0::BIGINT AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, r.turn, r.depth + 1 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1) SELECT * FROM r",
     "html_metadata": f"""SELECT page_id, coalesce({_meta("og:title")}, {_meta("twitter:title")}, {_tag("(?is)<title[^>]*>(.*?)</title>")}, {_tag("(?is)<h1[^>]*>(.*?)</h1>")}) AS title, {_tag('(?is)<html[^>]*lang="([^"]*)"')} AS lang, coalesce({_meta("author")}, {_meta("article:author")}) AS author, coalesce({_meta("og:description")}, {_meta("description")}) AS description FROM pages""",
-    "best_text_source": f"WITH t AS (SELECT page_id, {_strip('''regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)''')} AS article, {_strip('html')} AS body FROM pages) SELECT page_id, CASE WHEN length(article) > 200 THEN 'article' ELSE 'body' END AS origin, CASE WHEN length(article) > 200 THEN article ELSE body END AS text FROM t",
     "stream_daily_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "eval_confusion": f"WITH {POSTS} SELECT {LABEL3} AS label, quality, toxic, count(*) AS n FROM p JOIN labels ON seq = doc_id GROUP BY ALL",
     "search_phrases": f"WITH l AS (SELECT conv_id, turn, text, 'topic ' || conv_id::VARCHAR AS topic, list_filter(list_transform(string_split_regex(text, '[,;\\n]+'), lambda p: {_PHRASE}), lambda p: length(p) >= 8 AND lower(p) NOT IN {V.NO_PHRASES}) AS k FROM conversations), u AS (SELECT *, list_filter(k, lambda p, i: list_position(k, p) = i) AS once FROM l) SELECT conv_id, turn, CASE WHEN trim(coalesce(text, ''), {_SPACES}) = '' THEN topic WHEN len(once) > 0 THEN array_to_string(once, '|') ELSE {" || '|' || ".join(f"topic || '{e}'" for e in V.DEFAULT_ENDS)} END AS phrases FROM u",

@@ -55,8 +55,7 @@ def stored_sightings(spark, d):
 def link_upsert(spark, d):
     s = stored_sightings(spark, d)
     old, new = s.where(F.col("page_id") % 2 == 0), s.where(F.col("page_id") % 2 == 1).withColumn("seq", F.col("seq") + 10**15)
-    nothing = old.limit(0).withColumns({"first_seen": F.col("seq"), "last_seen": F.col("seq"), "duplicate_count": F.col("seq")})
-    out = links.upsert(links.upsert(nothing, old), new)
+    out = links.upsert(links.upsert(None, old), new)
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
     return out.withColumn("metadata", flat)
 

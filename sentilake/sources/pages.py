@@ -18,12 +18,6 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-def best_text(pages: DataFrame) -> DataFrame:
-    """The longer of the article's and the body's text, by quality; the article wins ties."""
-    rows = pages.select("page_id", T.strip_html(F.regexp_extract("html", "(?is)<article[^>]*>(.*?)</article>", 1)).alias("article"), T.strip_html(F.col("html")).alias("body"))
-    return rows.select("page_id", F.when(F.length("article") > 200, F.lit("article")).otherwise(F.lit("body")).alias("origin"), F.when(F.length("article") > 200, F.col("article")).otherwise(F.col("body")).alias("text"))
-
-
 def feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Items of RSS (row_tag item) or Atom (row_tag entry) files."""
     return spark.read.format("xml").option("rowTag", row_tag).load(path)

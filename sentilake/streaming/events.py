@@ -1,4 +1,4 @@
-"""Event streams: daily windows, append and merge by micro-batch."""
+"""Event streams: daily windows, and appends by micro-batch."""
 
 from __future__ import annotations
 
@@ -15,24 +15,31 @@ def daily_windows(stream: DataFrame) -> DataFrame:
     return days.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "total")
 
 
-def replayed_days(spark: SparkSession, path: str) -> DataFrame:
-    """The stream's complete answer over the files that are there now."""
+def parquet_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream of the files of a table: of a folder, or of a single file."""
     schema = spark.read.parquet(path).schema
-    folder, _, file = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", file if file.endswith(".parquet") else "*").parquet(folder if file.endswith(".parquet") else path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    reader = spark.readStream.schema(schema).options(**options)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0])
+
+
+def replayed_days(spark: SparkSession, path: str) -> DataFrame:
+    """The stream's complete answer over the files that are there now; of no events there are no days."""
     answer = shared_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{answer}/days")
 
-    days = daily_windows(stream)
+    days = daily_windows(parquet_stream(spark, path))
+    spark.createDataFrame([], days.schema).write.parquet(f"{answer}/days")
     days.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{answer}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(days.schema).parquet(f"{answer}/days")
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Append each micro-batch of events to a table, partitioned by day."""
+    """Append each micro-batch of events to a table, in a folder of its own by day; a batch that is delivered again replaces itself."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

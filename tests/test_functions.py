@@ -43,9 +43,11 @@ def test_dates_slugs_hashes(spark):
 
 
 def test_scores_and_labels(spark):
-    assert values(spark, S.lexicon_score, ["I love this great thing", "bad badge", "good and bad", None]) == [pytest.approx(0.8), pytest.approx(0.25), 0.5, 0.5]
+    given = ["I love this great thing", "bad badge", "good and bad", None, "good " * 3, "love great amazing excellent good wonderful fantastic awesome"]
+    rows = spark.createDataFrame(list(enumerate(given)), "id long, text string")
+    assert [r.score for r in S.lexicon_scored(rows, "text").orderBy("id").collect()] == pytest.approx([0.8, 0.25, 0.5, 0.5, 0.75, 1.0])
     assert values(spark, lambda c: S.label3(c.cast("double")), ["0.6", "0.5", "0.4"]) == ["positive", "neutral", "negative"]
-    assert values(spark, lambda c: S.label5(c.cast("double")), ["0.31", "0.3", "0.1", "-0.1", "-0.3"]) == ["very positive", "positive", "neutral", "negative", "very negative"]
+    assert values(spark, lambda c: S.label5(c.cast("double")), ["0.31", "0.3", "0.1", "-0.1", "-0.3"]) == ["Positive", "Slightly Positive", "Neutral", "Slightly Negative", "Negative"]
 
 
 def test_navigation_is_rejected_and_opinion_is_not(spark):
