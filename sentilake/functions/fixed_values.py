@@ -82,6 +82,11 @@ MIN_MAIN_TEXT, MIN_PARAGRAPH, MAX_PARAGRAPHS = 200, 30, 80
 # Names of places, and the metas that have them.
 GEO_METAS = (("latitude", "place:location:latitude"), ("longitude", "place:location:longitude"), ("region", "geo.region"), ("placename", "geo.placename"), ("locale", "og:locale"))
 
+# What a session can be, its phases in order, and from where it starts.
+IDLE, WAITING, COMPLETED, FAILED = "idle", "clarification_needed", "completed", "error"
+PHASES = ("planning", "searching", "scraping", "cleaning", "analysing")
+STARTS_FROM = ("idle", "error", "completed")
+
 # Limits and thresholds.
 MIN_QUALITY, MAX_LINKS, REUSE_DAYS, MAX_TARGETS = 0.35, 1000, 7, 250
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MAX_URL, MAX_SYMBOL = 30, 12_000, 0.35, 0.3, 0.35

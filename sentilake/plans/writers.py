@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import urls as U
 from ..functions.plan import shared_folder, staged
 from ..operators import links, merging
-from ..streaming import tables
+from ..streaming import sessions, tables
 from ..streaming.events import parquet_stream
 from . import sql as Q
 from . import states
@@ -167,6 +168,17 @@ def stream_status_sweep(spark, d):
     return states_.read(spark).select("document_id", "status", "attempts")
 
 
+ACTIONS = {"click": "advance", "view": "start", "purchase": "ask", "signup": "answer", "error": "fail"}
+
+
+@query
+def session_transitions(spark, d):
+    """Users as sessions, and what they do as steps that a session may or may not allow."""
+    actions = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    steps = parquet_stream(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.element_at(actions, F.col("event_type")).alias("action"))
+    return sessions.replayed(spark, steps).withColumn("at", F.unix_millis("at"))
+
+
 # --- SQL ---
 
 _LATER = "CASE WHEN {0} % 2 = 1 THEN {0} + 1000000000000 ELSE {0} END"
@@ -183,7 +195,27 @@ m AS (SELECT {keys}, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS me
 SELECT * FROM g LEFT JOIN m USING ({keys})"""
 
 
+_DAY, _LIVE = 24 * 3600 * 1000, "(" + ", ".join(map(repr, (*V.PHASES, V.WAITING))) + ")"
+_PHASES = "(" + ", ".join(map(repr, V.PHASES)) + ")"
+_NEXT = "CASE status " + " ".join(f"WHEN {a!r} THEN {b!r}" for a, b in zip(V.PHASES, [*V.PHASES[1:], V.COMPLETED])) + " END"
+_SESSIONS = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS session, event_id AS seq, epoch_us(ts) // 1000 AS ms, CASE event_type {" ".join(f"WHEN {a!r} THEN {b!r}" for a, b in ACTIONS.items())} END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT DISTINCT session, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS ms, '' AS action, NULL::BIGINT AS due, '' AS was, '' AS before, '{V.IDLE}' AS status, '' AS resume, 0::BIGINT AS since, false AS accepted FROM e
+  UNION ALL
+  SELECT session, i, seq, ms, action, due, was, status, coalesce(after, status), CASE WHEN after IS NULL THEN resume WHEN action = 'ask' THEN status ELSE '' END, CASE WHEN after IS NULL THEN since ELSE ms END, after IS NOT NULL FROM (
+    SELECT *, CASE WHEN action = 'start' AND status IN ('idle', 'error', 'completed') THEN '{V.PHASES[0]}' WHEN action = 'advance' AND status IN {_PHASES} THEN {_NEXT} WHEN action = 'ask' AND status IN {_PHASES} THEN '{V.WAITING}'
+      WHEN action = 'answer' AND status = '{V.WAITING}' THEN resume WHEN action = 'fail' AND status IN {_LIVE} THEN '{V.FAILED}' END AS after
+    FROM (SELECT session, i, seq, ms, action, due, was, CASE WHEN due IS NULL THEN was ELSE '{V.FAILED}' END AS status, CASE WHEN due IS NULL THEN resume ELSE '' END AS resume, coalesce(due, since) AS since
+      FROM (SELECT e.*, r.status AS was, r.resume, r.since, CASE WHEN r.status IN {_LIVE} AND r.since + {_DAY} < e.ms THEN r.since + {_DAY} END AS due FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1)))
+)
+SELECT session, ms AS "at", seq, action, before, status AS after, accepted FROM r WHERE i > 0
+UNION ALL SELECT session, due, NULL, 'timeout', was, '{V.FAILED}', true FROM r WHERE due IS NOT NULL
+UNION ALL SELECT session, since + {_DAY}, NULL, 'timeout', status, '{V.FAILED}', true FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session ORDER BY i DESC) = 1)
+  WHERE status IN {_LIVE} AND since + {_DAY} <= (SELECT max(ms) - 3600000 FROM e)"""
+
+
 SQL = {
+    "session_transitions": _SESSIONS,
     "target_upserts": f"""WITH p AS (SELECT page_id AS k, {_LATER.format("page_id")} AS "at", url, {_HOST} AS normalized_url, {Q.DOMAIN} AS domain, 't' || page_id % 3 AS slug, CASE WHEN page_id % 2 = 0 THEN 'failed' ELSE 'not_started' END AS status, CASE WHEN page_id % 4 = 2 THEN '2024-01-05' END AS published FROM pages),
 r AS (SELECT normalized_url, slug, arg_max(concat_ws('/', slug, upper(slug), 'r' || k % 4, status, "at"::VARCHAR, published), "at") AS ref FROM p GROUP BY ALL), f AS (SELECT normalized_url, string_agg(ref, ' ' ORDER BY ref) AS refs FROM r GROUP BY 1)
 SELECT normalized_url, max("at") AS "at", arg_max(url, "at") AS canonical_url, arg_max(domain, "at") AS domain, arg_max('title ' || k, "at") AS title, arg_max_null(CASE WHEN k % 3 = 0 THEN 'someone' END, "at") AS author, arg_max_null(CASE k % 4 WHEN 1 THEN '' WHEN 2 THEN '2024-01-05' END, "at") AS published_at,
