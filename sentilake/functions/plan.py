@@ -34,3 +34,24 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key with more than one of this many parts of a table's rows is hot; so fewer keys than this are.
+HOT = 512
+#: Tables of up to this many narrow rows are broadcast.
+SMALL = 10_000
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, a staged table that has each key once and the number of its rows in ``n``, which is dropped.
+
+    Few facts are broadcast whole, else those of hot keys are, whose rows then stay where
+    they are; only the rows of other keys are shuffled. A null key meets nothing.
+    """
+    count, total = facts.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).head()
+    if count <= SMALL:
+        return rows.join(F.broadcast(facts.drop(n)), key)
+    hot = F.col(n) * HOT > total
+    some, others = facts.where(hot).drop(n), facts.where(~hot).drop(n)
+    few = rows.join(F.broadcast(some), key)
+    return few.unionByName(rows.join(F.broadcast(some.select(key)), key, "left_anti").join(others, key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import texts as T
-from ..functions.plan import once, staged
+from ..functions.plan import met, once, staged
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -33,12 +33,11 @@ def mark_duplicates(cleaned: DataFrame) -> DataFrame:
     """Accepted documents that repeat an earlier one of their topic become duplicates. Blank texts never do."""
     hash_ = F.when((F.col("status") == "accepted") & (F.trim("cleaned") != ""), F.sha2("cleaned", 256))
     # written once without the texts; rows without a hash never meet in one key
-    rows = staged(cleaned.select("doc_id", "topic", "status", hash_.alias("hash")))
-    hashed = rows.where("hash is not null")
-    first = hashed.groupBy("topic", "hash").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("topic", "t")
-    same = hashed["topic"].eqNullSafe(first["t"]) & (hashed["hash"] == first["hash"])
-    met = hashed.join(first, same).select("doc_id", "topic", "status", "first_id")
-    joined = met.unionByName(rows.where("hash is null").select("doc_id", "topic", "status", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("first_id")))
+    key = F.concat_ws(":", F.coalesce(F.length("topic"), F.lit(-1)), "topic", "hash")
+    rows = staged(cleaned.select("doc_id", "topic", "status", hash_.alias("hash")).withColumn("key", F.when(F.col("hash").isNotNull(), key)))
+    first = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    joined = met(rows.where("key is not null"), first, "key", "n").select("doc_id", "topic", "status", "first_id")
+    joined = joined.unionByName(rows.where("key is null").select("doc_id", "topic", "status", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("first_id")))
     return joined.select("doc_id", "topic", F.when(F.col("first_id") < F.col("doc_id"), F.lit("duplicate")).otherwise(F.col("status")).alias("status"), F.when(F.col("first_id") < F.col("doc_id"), F.col("first_id")).alias("duplicate_of"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
-from ..functions.plan import staged
+from ..functions.plan import met, once, staged
 
 #: States from which a document is taken up again.
 OPEN_STATES = ("not_started", "failed")
@@ -24,22 +24,68 @@ def pending_sentiment(cleaned: DataFrame, topic: str, n: int) -> DataFrame:
     return cleaned.where(ok).orderBy(F.desc("updated_at"), "document_id").limit(max(1, n)).select("document_id", "text", "updated_at")
 
 
-def near_duplicates(cleaned: DataFrame, *, threshold: float = 93.0, candidates: int = 250) -> DataFrame:
+#: Rows of an index of rare words that are broadcast; larger ones are shuffled.
+INDEX_ROWS = 2_000_000
+
+
+def least_share(size: Column, share: float) -> Column:
+    """How many of a set's words any set must have for a Dice share of ``share``: the other has no fewer than these, and no more words are needed of a larger one."""
+    return F.ceil(F.round(size * share / (2.0 - share), 9)).cast("int")
+
+
+def word_matches(texts: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
+    """text and match_id of all pairs of a topic that may have a Dice share of ``share`` of their distinct words.
+
+    ``texts`` has text, topic and words, ``candidates`` match_id, topic and words; words are
+    distinct. A candidate stands in an index under its rarest words alone, as many as cannot
+    all be missing from a set that shares enough; texts look up their words, and of what
+    they find the sizes must allow the share. Nothing that has the share is missed.
+    """
+    listed = candidates.select("match_id", "topic", F.size("words").alias("theirs"), F.explode("words").alias("word"))
+    seen = listed.groupBy("topic", "word").agg(F.count("*").alias("n")).withColumnRenamed("topic", "of")
+    ranked = listed.join(seen.withColumnRenamed("word", "seen"), listed["topic"].eqNullSafe(F.col("of")) & (F.col("word") == F.col("seen")))
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy("n", "word"))
+    index = ranked.withColumn("place", place).where(F.col("place") <= F.col("theirs") - least_share(F.col("theirs"), share) + 1)
+    index = staged(index.select("match_id", F.col("topic").alias("of"), "theirs", F.col("word").alias("key")))
+    index = F.broadcast(index) if index.count() <= INDEX_ROWS else index
+    asked = texts.select("text", "topic", F.size("words").alias("ours"), F.explode("words").alias("word"))
+    found = asked.join(index, (F.col("word") == F.col("key")) & F.col("topic").eqNullSafe(F.col("of")))
+    fits = (F.col("ours") >= least_share(F.col("theirs"), share)) & (F.col("theirs") >= least_share(F.col("ours"), share))
+    return found.where(fits).select("text", "match_id").distinct()
+
+
+def near_duplicates(cleaned: DataFrame, *, threshold: float = 93.0, share: float = 0.8, candidates: int = 250) -> DataFrame:
     """For each accepted document the most similar of its topic's latest accepted ones, if similar enough.
 
-    ``cleaned`` has doc_id, topic, cleaned and status; later ids are later documents.
-    Similarity is 100 times the Dice share of the distinct words of two whole texts. A topic
-    has ``candidates`` candidates at most, as many as the reference looks at; of equally
-    similar ones the latest counts. Blank texts take no part.
+    ``cleaned`` has doc_id (unique), topic, cleaned and status; later ids are later documents. Two
+    texts are similar if their distinct words have a Dice share of ``share`` and their edit
+    ratio, 100 times what Levenshtein's distance leaves of the longer one's length, reaches
+    ``threshold``. A topic has ``candidates`` candidates at most, as many as the reference
+    looks at; of equally similar ones the latest counts. Blank texts take no part. Equal
+    texts of a topic are compared once, and a document never matches itself.
     """
-    rows = staged(cleaned.where("status = 'accepted' and trim(cleaned) <> ''").select("doc_id", "topic", F.array_distinct(F.split("cleaned", " ")).alias("words")))
+    rows = cleaned.where("status = 'accepted' and trim(cleaned) <> ''")
+    rows = staged(rows.select("doc_id", "topic", "cleaned", F.sha2(F.concat_ws(":", F.coalesce(F.length("topic"), F.lit(-1)), "topic", "cleaned"), 256).alias("text")))
+    words = F.array_distinct(F.split("cleaned", " "))
+    texts = staged(rows.groupBy("text").agg(F.first("topic").alias("topic"), F.first("cleaned").alias("cleaned"), F.count("*").alias("n")).withColumn("words", words))
     latest = Window.partitionBy("topic").orderBy(F.desc("doc_id"))
-    few = rows.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= candidates).select(F.col("doc_id").alias("match_id"), F.col("topic").alias("of"), F.col("words").alias("theirs"))
-    both = rows.join(few, rows["topic"].eqNullSafe(few["of"]) & (F.col("doc_id") != F.col("match_id")))
-    share = 200.0 * F.size(F.array_intersect("words", "theirs")) / (F.size("words") + F.size("theirs"))
-    found = both.select("doc_id", "match_id", share.alias("score")).where(F.col("score") >= threshold)
-    best = found.groupBy("doc_id").agg(F.max(F.struct("score", "match_id")).alias("b"))
-    return best.select("doc_id", "b.match_id", F.round("b.score", 4).alias("score"))
+    few = rows.withColumn("place", F.row_number().over(latest)).where(F.col("place") <= candidates)
+    few = staged(few.select(F.col("doc_id").alias("match_id"), "topic", F.col("cleaned").alias("other"), words.alias("words")))
+    pairs = word_matches(texts, few, share)
+    both = pairs.join(texts.select("text", "cleaned", F.col("words").alias("ours")), "text").join(few.select("match_id", "other", F.col("words").alias("theirs")), "match_id")
+    alike = 2.0 * F.size(F.array_intersect("ours", "theirs")) >= share * (F.size("ours") + F.size("theirs"))
+    sized = both.where(alike).withColumn("longest", F.greatest(F.length("cleaned"), F.length("other"))).withColumn("apart", F.abs(F.length("cleaned") - F.length("other")))
+    sized = sized.withColumn("most", F.floor(F.col("longest") * (100.0 - threshold) / 100.0).cast("int")).where("apart <= most")
+    # the distance is given up where it passes what the threshold allows
+    distance = F.when(F.col("cleaned") == F.col("other"), 0).otherwise(F.expr("levenshtein(cleaned, other, most)"))
+    near = once(sized.select("text", "match_id", "longest", distance.alias("distance"))).where("distance >= 0")
+    near = near.select("text", "match_id", (100.0 - 100.0 * F.col("distance") / F.col("longest")).alias("score"))
+    # the two best, as one may be the document itself
+    best = near.groupBy("text").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "match_id")), asc=False), 1, 2).alias("best"))
+    facts = staged(best.join(texts.select("text", "n"), "text"))
+    own = met(rows.select("doc_id", "text"), facts, "text", "n")
+    other = own.select("doc_id", F.get(F.filter("best", lambda b: b.match_id != F.col("doc_id")), F.lit(0)).alias("b")).where("b is not null")
+    return other.select("doc_id", "b.match_id", F.round("b.score", 4).alias("score"))
 
 
 def reply_depths(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:

@@ -220,6 +220,8 @@ def target_defaults(spark, d):
     return raw.select("page_id", blank("platform", "web"), blank("title", ""), F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"), blank("status", "not_started"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+#: DuckDB's distance counts bytes: letters beyond ASCII become capitals, which cleaned texts don't have.
+_ONE_BYTE = "translate({}, 'äöüßéèêëàâçôîïñíóúáûùœ', 'ABCDEFGHIJKLMNOPQRSTUV')"
 _COUNT = Q._count
 _GIVEN = lambda c: f"coalesce({c}, '') <> ''"
 INFORMED = f"""{Q.ANCHORS}, i0 AS (SELECT seq, page_id, pos, url AS raw, title, seq % 7 AS k FROM a), i1 AS (SELECT seq, page_id, raw, title, CASE WHEN k % 2 = 0 THEN 'A debate, and a reaction about ' || title END AS description, CASE WHEN k = 1 THEN 'someone' END AS author,
@@ -253,7 +255,11 @@ SQL = {
     "navigable_hrefs": f"WITH {Q.ANCHORS} SELECT seq, trim(url) <> '' AND NOT {Q._any(f'starts_with(lower(trim(url)), {x!r})' for x in V.NO_ADDRESSES)} AND {Q.NORMALIZED} <> '' AS navigable, {Q._any(f'ends_with({Q.DOMAIN}, {x!r})' for x in V.SEARCH_ENGINES)} AS search_engine FROM a",
     "pending_cleaning": f"WITH {_STATES} SELECT document_id, text, updated_at FROM st WHERE list_contains(topics, 'en') AND cleaning IN ('not_started', 'failed') ORDER BY updated_at DESC, document_id LIMIT 100",
     "pending_sentiment": f"WITH {_STATES} SELECT document_id, text, updated_at FROM st WHERE topic = 'en' AND status = 'accepted' AND (sentiment IS NULL OR sentiment IN ('not_started', 'failed')) ORDER BY updated_at DESC, document_id LIMIT 100",
-    "near_dup_pairs": f"WITH {Q.CLEAN}, r AS (SELECT doc_id, topic, list_distinct(string_split(cleaned, ' ')) AS w, row_number() OVER (PARTITION BY topic ORDER BY doc_id DESC) AS n FROM c WHERE status = 'accepted' AND trim(cleaned) <> ''), b AS (SELECT r.doc_id, x.doc_id AS match_id, 200.0::DOUBLE * len(list_intersect(r.w, x.w)) / (len(r.w) + len(x.w)) AS score FROM r JOIN r x ON x.n <= 250 AND r.topic IS NOT DISTINCT FROM x.topic AND r.doc_id <> x.doc_id) SELECT doc_id, arg_max(match_id, {{'s': score, 'm': match_id}}) AS match_id, round(max(score), 4) AS score FROM b WHERE score >= 93 GROUP BY doc_id",
+    "near_dup_pairs": f"""WITH {Q.CLEAN}, r AS (SELECT doc_id, topic, cleaned, list_distinct(string_split(cleaned, ' ')) AS w, row_number() OVER (PARTITION BY topic ORDER BY doc_id DESC) AS n FROM c WHERE status = 'accepted' AND trim(cleaned) <> ''),
+p AS (SELECT r.doc_id, x.doc_id AS match_id, r.cleaned AS a, x.cleaned AS b FROM r JOIN r x ON x.n <= 250 AND r.topic IS NOT DISTINCT FROM x.topic AND r.doc_id <> x.doc_id AND len(r.w) <= 1.5 * len(x.w) AND len(x.w) <= 1.5 * len(r.w)
+  WHERE 2.0::DOUBLE * len(list_intersect(r.w, x.w)) >= 0.8::DOUBLE * (len(r.w) + len(x.w))),
+b AS (SELECT doc_id, match_id, 100.0::DOUBLE - 100.0::DOUBLE * CASE WHEN a = b THEN 0 ELSE levenshtein({_ONE_BYTE.format('a')}, {_ONE_BYTE.format('b')}) END / greatest(length(a), length(b)) AS score FROM p WHERE abs(length(a) - length(b)) <= 0.07 * greatest(length(a), length(b)))
+SELECT doc_id, arg_max(match_id, {{'s': score, 'm': match_id}}) AS match_id, round(max(score), 4) AS score FROM b WHERE score >= 93 GROUP BY doc_id""",
     "reply_trees": "WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent FROM conversations), r AS (SELECT conv_id, turn, parent, 0::BIGINT AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.conv_id, e.turn, e.parent, r.depth + 1 FROM e JOIN r ON e.conv_id = r.conv_id AND e.parent = r.turn) SELECT * FROM r",
     "author_rollup": "WITH x AS (SELECT conv_id, -1::BIGINT AS ord, CASE conv_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN ' ' ELSE 'editor' END AS name, 'document' AS origin FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, turn, role, 'item' FROM conversations), f AS (SELECT conv_id, name, min(ord) AS ord, arg_min(origin, ord) AS origin FROM x WHERE trim(coalesce(name, '')) <> '' GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, name)::INT AS position, name, origin FROM f",
     "reference_rollup": f"WITH {Q.ANCHORS}, x AS (SELECT page_id, -1::BIGINT AS ord, url, 'canonical' AS kind FROM pages UNION ALL SELECT page_id, pos, url, 'anchor' FROM a), f AS (SELECT page_id, url, min(ord) AS ord, arg_min(kind, ord) AS kind FROM x WHERE trim(coalesce(url, '')) <> '' GROUP BY 1, 2) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord, url)::INT AS position, url, kind FROM f",
