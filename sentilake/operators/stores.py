@@ -88,45 +88,6 @@ def near_duplicates(cleaned: DataFrame, *, threshold: float = 93.0, share: float
     return other.select("doc_id", "b.match_id", F.round("b.score", 4).alias("score"))
 
 
-def reply_depths(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
-    """Tree, node, parent and depth of all nodes that hang on a root (whose parent is null), level by level.
-
-    One join for each level of the deepest tree. A parent that isn't there leaves its branch out.
-    """
-    edges = staged(nodes.select(tree, node, parent))
-    level = staged(edges.where(F.col(parent).isNull()).withColumn("depth", F.lit(0).cast("long")))
-    out = level
-    while not level.isEmpty():
-        above = level.select(F.col(tree).alias("__tree"), F.col(node).alias("__node"), F.col("depth").alias("__depth"))
-        below = edges.join(above, (F.col(tree) == F.col("__tree")) & (F.col(parent) == F.col("__node")))
-        level = staged(below.select(tree, node, parent, (F.col("__depth") + 1).alias("depth")))
-        out = out.unionByName(level)
-    return out
-
-
-#: A thread's node as services write it: its kind, its own data and, in these, the replies.
-THREAD = "struct<kind:string,data:struct<body:string,author:string,score:bigint,replies:string>>"
-
-
-def flatten_thread(threads: DataFrame, json: str = "json") -> DataFrame:
-    """id, path, depth, author, text and score of each comment in nested JSON listings, in their order by path.
-
-    ``json`` is an array of nodes; a node's replies are a listing with such an array in
-    data.children. Nodes that aren't comments (t1) are left out with all below them, blank
-    comments are left out alone. Levels are read one after another, each once.
-    """
-    level = staged(threads.select("id", F.posexplode(F.from_json(json, f"array<{THREAD}>")).alias("pos", "n"), F.lit("").alias("above"), F.lit(0).alias("depth")))
-    out = None
-    while not level.isEmpty():
-        here = level.where("n.kind = 't1'").withColumn("path", F.concat("above", F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("/")))
-        body = T.squeeze(F.coalesce("n.data.body", F.lit("")))
-        rows = here.where(body != "").select("id", "path", "depth", F.col("n.data.author").alias("author"), body.alias("text"), F.col("n.data.score").alias("score"))
-        out = rows if out is None else out.unionByName(rows)
-        below = F.from_json("n.data.replies", f"struct<data:struct<children:array<{THREAD}>>>")["data"]["children"]
-        level = staged(here.select("id", F.posexplode(below).alias("pos", "n"), F.col("path").alias("above"), (F.col("depth") + 1).alias("depth")))
-    return out if out is not None else threads.limit(0).select("id", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("author"), F.lit("").alias("text"), F.lit(0).cast("long").alias("score"))
-
-
 def unique_first(rows: DataFrame, of: str, key: str, order: str, columns: list[str]) -> DataFrame:
     """Of each ``of`` the first row of each key, without blank keys, numbered in that order: authors, references."""
     named = rows.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").groupBy(of, key).agg(F.min_by(F.struct(order, *columns), order).alias("r"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import urls as U
-from ..operators import cleaning, links, reporting, stores
+from ..operators import cleaning, links, reporting, stores, trees
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +107,31 @@ def near_dup_pairs(spark, d):
 @query
 def reply_trees(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent"))
-    return stores.reply_depths(turns, "conv_id", "turn", "parent")
+    return trees.depths(turns, "conv_id", "turn", "parent")
+
+
+@query
+def reply_preorder(spark, d):
+    """Turns that answer one of the two before them, the later answers first."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1 - F.col("conv_id") % 2 * (F.col("turn") > 1).cast("long")).alias("parent"))
+    return trees.preorder(turns.withColumn("o", -F.col("turn")), "conv_id", "turn", "parent", "o")
+
+
+def nested(spark, d):
+    """Conversations as listings: each third turn stands alone, with the next below it and the one after below that."""
+    turn = F.col("turn")
+    node = lambda i, below: F.struct(F.when(F.col("t")[i]["turn"] % 7 == 6, F.lit("more")).otherwise(F.lit("t1")).alias("kind"), F.struct(F.col("t")[i]["role"].alias("author"), F.col("t")[i]["text"].alias("body"), F.col("t")[i]["turn"].alias("score"), below.alias("replies")).alias("data"))
+    listing = lambda i, below: F.when(F.size("t") > i, F.struct(F.struct(F.array(node(i, below)).alias("children")).alias("data")))
+    three = table(spark, d, "conversations").groupBy("conv_id", F.floor(turn / 3).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    tops = three.select("conv_id", "part", node(0, listing(1, listing(2, F.lit("")))).alias("node"))
+    return tops.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("part", F.to_json("node").alias("node")))), lambda x: x.node)).alias("strings"))
+
+
+@query
+def thread_comments(spark, d):
+    # the nodes are JSON already, and stand between brackets
+    threads = nested(spark, d).select("conv_id", F.concat(F.lit("["), F.array_join(F.from_json("strings", "array<string>"), ","), F.lit("]")).alias("json"))
+    return trees.flatten_threads(threads, "json", "listing").select("conv_id", "position", "depth", "author", F.md5("text").alias("text"), "score")
 
 
 @query
@@ -261,6 +285,11 @@ p AS (SELECT r.doc_id, x.doc_id AS match_id, r.cleaned AS a, x.cleaned AS b FROM
 b AS (SELECT doc_id, match_id, 100.0::DOUBLE - 100.0::DOUBLE * CASE WHEN a = b THEN 0 ELSE levenshtein({_ONE_BYTE.format('a')}, {_ONE_BYTE.format('b')}) END / greatest(length(a), length(b)) AS score FROM p WHERE abs(length(a) - length(b)) <= 0.07 * greatest(length(a), length(b)))
 SELECT doc_id, arg_max(match_id, {{'s': score, 'm': match_id}}) AS match_id, round(max(score), 4) AS score FROM b WHERE score >= 93 GROUP BY doc_id""",
     "reply_trees": "WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent FROM conversations), r AS (SELECT conv_id, turn, parent, 0::BIGINT AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.conv_id, e.turn, e.parent, r.depth + 1 FROM e JOIN r ON e.conv_id = r.conv_id AND e.parent = r.turn) SELECT * FROM r",
+    "reply_preorder": """WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn - 1 - conv_id % 2 * (turn > 1)::BIGINT END AS parent FROM conversations),
+r AS (SELECT conv_id, turn, parent, 0::BIGINT AS depth, [-turn] AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.conv_id, e.turn, e.parent, r.depth + 1, list_append(r.path, -e.turn) FROM e JOIN r ON e.conv_id = r.conv_id AND e.parent = r.turn)
+SELECT conv_id, turn, parent, depth, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM r""",
+    "thread_comments": """WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, turn % 3 AS depth, turn % 7 = 6 OR (turn % 3 > 0 AND (turn - 1) % 7 = 6) OR (turn % 3 > 1 AND (turn - 2) % 7 = 6) AS gone FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, depth, role AS author, md5(t) AS text, turn AS score FROM c WHERE NOT gone AND t <> ''""",
     "author_rollup": "WITH x AS (SELECT conv_id, -1::BIGINT AS ord, CASE conv_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN ' ' ELSE 'editor' END AS name, 'document' AS origin FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, turn, role, 'item' FROM conversations), f AS (SELECT conv_id, name, min(ord) AS ord, arg_min(origin, ord) AS origin FROM x WHERE trim(coalesce(name, '')) <> '' GROUP BY 1, 2) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, name)::INT AS position, name, origin FROM f",
     "reference_rollup": f"WITH {Q.ANCHORS}, x AS (SELECT page_id, -1::BIGINT AS ord, url, 'canonical' AS kind FROM pages UNION ALL SELECT page_id, pos, url, 'anchor' FROM a), f AS (SELECT page_id, url, min(ord) AS ord, arg_min(kind, ord) AS kind FROM x WHERE trim(coalesce(url, '')) <> '' GROUP BY 1, 2) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord, url)::INT AS position, url, kind FROM f",
     "keyword_weights": f"WITH {Q.POSTS}, w AS (SELECT seq, unnest({Q._WORDS}) AS keyword, generate_subscripts({Q._WORDS}, 1) AS i FROM p), t AS (SELECT keyword, count(*) AS n, min({{'s': seq, 'i': i}}) AS f FROM w GROUP BY 1 ORDER BY n DESC, f, keyword LIMIT 20) SELECT keyword, n, round((count(*) OVER () - row_number() OVER (ORDER BY n DESC, f, keyword) + 1) / count(*) OVER (), 6) AS weight FROM t",

@@ -1,7 +1,5 @@
 """Stored documents and links: near duplicates, reply trees, upserts and versions on small inline tables."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 from sentilake.functions import urls as U
@@ -43,20 +41,6 @@ def test_upsert_keeps_the_longest_and_the_first(spark):
     assert links.upsert(stored.limit(0), new.limit(0)).count() == 0
 
 
-def test_threads_are_flattened(spark):
-    node = lambda body, *below, kind="t1": {"kind": kind, "data": {"body": body, "author": "a", "score": 3, "replies": {"data": {"children": list(below)}} if below else ""}}
-    thread = [node("one", node("two", node("three")), node(" ")), node("gone", node("with it"), kind="more"), node("four")]
-    rows = spark.createDataFrame([(1, json.dumps(thread)), (2, "[]"), (3, None), (4, "not json")], "id long, json string")
-    got = [(r.id, r.depth, r.text) for r in stores.flatten_thread(rows).orderBy("id", "path").collect()]
-    assert got == [(1, 0, "one"), (1, 1, "two"), (1, 2, "three"), (1, 0, "four")]
-    assert stores.flatten_thread(rows.limit(0)).count() == 0
-
-
-def test_reply_depths_leave_out_what_hangs_on_nothing(spark):
-    rows = spark.createDataFrame([(1, 0, None), (1, 1, 0), (1, 2, 1), (1, 5, 4), (2, 9, None)], "c long, n long, p long")
-    assert {(r.c, r.n, r.depth) for r in stores.reply_depths(rows, "c", "n", "p").collect()} == {(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 9, 0)}
-
-
 def test_near_duplicates_are_found_once(spark):
     words = [f"w{i}" for i in range(50)]
     rows = [(1, "t", " ".join(words), "accepted"), (2, "t", " ".join(words[1:]), "accepted"), (3, "t", "quite another text", "accepted"), (4, "u", " ".join(words), "accepted"), (5, "t", " ".join(words), "failed"), (6, None, "x", "accepted"), (7, None, "x", "accepted"), (8, "t", "  ", "accepted")]
