@@ -28,6 +28,13 @@ BROWSER_SOURCES = ("camoufox_browser", "camoufox_agentic")
 SEARCH_ENGINES = ("google.com", "google.com.np", "accounts.google.com", "duckduckgo.com", "bing.com", "yahoo.com", "news.google.com")
 NO_ADDRESSES = ("mailto:", "tel:", "javascript:", "#")
 
+# What makes a link of a browser's page low in signal, and what a page says that shows opinion.
+BROWSER_KEYS, SEARCH_HOSTS = ("&ia=", "&iax=", "&iaxm=", "assist="), ("duckduckgo.com", "google.com/search", "bing.com/search")
+SIGN_IN_PATHS = ("/servicelogin", "/signin", "/sign-in", "/accounts/")
+BROWSER_TITLES = ("all", "images", "videos", "news", "maps", "home", "sign in")
+BROWSER_EVIDENCE = ("opinion", "reaction", "debate", "support", "oppose", "concern", "praise", "critic", "comment", "discussion", "review")
+CRAWL_PAGES, CRAWL_HOPS, CRAWL_LINKS, CRAWL_QUALITY, CRAWL_RELEVANCE = 10, 2, 12, 0.5, 0.35
+
 # Backends to fetch a platform's pages with, in order.
 BACKENDS = {
     "reddit": ("reddit_json", "generic_http", "firecrawl", "camoufox", "crawlbase"),

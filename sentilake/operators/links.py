@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import urls as U
-from ..functions.plan import once
+from ..functions.plan import once, staged
 from ..functions.texts import count_terms
 from . import merging
 
@@ -39,12 +39,13 @@ class Brief:
 def anchors(pages: DataFrame) -> DataFrame:
     """A row for each anchor of each page: seq, page_id, pos, url (absolute) and title, without inner tags."""
     whole = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(whole).alias("pos", "a"))
-    href = F.regexp_extract("a", ANCHOR, 1)
+    rows = pages.select("page_id", F.col("url").alias("base"), U.parts(F.col("url")).alias("b"), F.posexplode(whole).alias("pos", "a"))
+    rows = once(rows.select("*", F.regexp_extract("a", ANCHOR, 1).alias("href")))
+    rows = once(rows.withColumn("h", F.substring("href", F.lit(2), F.length("href") - 2)))
     title = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("a", ANCHOR, 2), "<[^>]*>", ""), "[ \\t\\n\\r]+", " "))
     return rows.select(
         (F.col("page_id") * PER_PAGE + F.col("pos")).alias("seq"), "page_id", F.col("pos").cast("long").alias("pos"),
-        U.join_url(F.col("base"), F.substring(href, F.lit(2), F.length(href) - 2)).alias("url"), title.alias("title"),
+        U.join_parts(F.col("base"), F.col("b"), F.col("h")).alias("url"), title.alias("title"),
     )
 
 
@@ -65,11 +66,14 @@ def score(links: DataFrame, brief: Brief) -> DataFrame:
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     part = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
     text = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "discovery_query", "anchor_text")]))
-    rows = rows.withColumn("normalized_url", U.normalize_url(F.col("url"))).withColumn("__text", text)
-    rows = once(rows.select("*", count_terms(F.col("__text"), brief.terms()).alias("__terms"), count_terms(F.col("__text"), V.EVIDENCE_TERMS).alias("__evidence"), count_terms(F.col("__text"), V.NEUTRAL_TERMS).alias("__neutral")))
-    rows = rows.withColumn("platform", U.infer_platform(F.col("url")))
+    # a url is taken apart once, and so are its text and terms
+    rows = once(rows.withColumn("__parts", U.parts(F.col("url"))).withColumn("__text", text))
+    counts = [count_terms(F.col("__text"), terms).alias(c) for c, terms in (("__terms", brief.terms()), ("__evidence", V.EVIDENCE_TERMS), ("__neutral", V.NEUTRAL_TERMS))]
+    rows = once(rows.select("*", U.normalized_parts(F.col("__parts")).alias("__n"), F.regexp_replace("__parts.authority", "^www\\.", "").alias("__domain"), *counts))
+    rows = once(rows.select("*", U.joined(F.col("__n")).alias("normalized_url"), U.platform_of(F.col("__domain")).alias("platform"), U.query_keys(F.col("__n.query")).alias("__keys")))
     title = F.lower(F.trim(F.coalesce("title", F.lit(""))))
-    reason = F.when(F.col("normalized_url") == "", F.lit("invalid_url")).when(U.is_low_value(F.col("url")), F.lit("low_value_url")).when(title.isin(*V.LOW_SIGNAL_TITLES), F.lit("navigation_link"))
+    low = U.low_value(F.col("normalized_url"), F.col("__n.authority"), F.concat(F.col("__n.path"), F.when(F.col("__n.path") == "", F.lit("/")).otherwise(F.lit(""))), F.col("__keys"))
+    reason = F.when(F.col("normalized_url") == "", F.lit("invalid_url")).when(low, F.lit("low_value_url")).when(title.isin(*V.LOW_SIGNAL_TITLES), F.lit("navigation_link"))
     signal = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0.0)))
     relevance = F.least(F.lit(1.0), 0.15 + F.col("__terms") * 0.12 + F.col("__evidence") * 0.04 + signal("relevance_signal"))
     rows = once(rows.select("*", reason.alias("reason"), relevance.alias("__relevance")))
@@ -90,6 +94,7 @@ def accepted(scored: DataFrame, minimum: float = V.MIN_QUALITY) -> DataFrame:
 
 def cap(links: DataFrame, most: int = V.MAX_LINKS) -> DataFrame:
     """Sightings up to the moment when ``most`` distinct links have come."""
+    links = staged(links)
     firsts = links.groupBy("normalized_url").agg(F.min("seq").alias("first"))
     last = firsts.orderBy("first").limit(most).agg(F.max("first").alias("last"), F.count("*").alias("n"))
     # fewer links than the cap: everything stays

@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+from ..functions import urls as U
+from ..functions.plan import staged
+from ..operators import crawl, links
 from ..sources import html as H
+from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,6 +69,24 @@ def best_text_source(spark, d):
     return H.best_text(table(spark, d, "pages"))
 
 
+CRAWL = links.Brief("the", ("and", "tion"), ("#of",))
+
+
+@query
+def crawl_frontier(spark, d):
+    """Pages as a small web: each leads to five others, a third of all links to one hub; ten tasks begin at pages of their own."""
+    texts = staged(H.parsed(table(spark, d, "pages")).select("page_id", U.normalize_url(F.col("url")).alias("url"), "title", F.concat(F.lit("a debate and a reaction, "), "body").alias("text")))
+    texts = texts.where("url <> ''").groupBy("url").agg(F.min_by(F.struct("page_id", "title", "text"), "page_id").alias("p")).select("url", "p.*")
+    n = table(spark, d, "pages").count()
+    leads = table(spark, d, "pages").select("page_id", U.normalize_url(F.col("url")).alias("page_url"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("pos"))
+    target = F.when((F.col("page_id") + F.col("pos")) % 3 == 0, F.lit(0)).otherwise((F.col("page_id") * (F.col("pos") + 2) + F.col("pos") + 1) % n).alias("to")
+    where = table(spark, d, "pages").select(F.col("page_id").alias("to"), F.col("url").alias("href"))
+    title = F.when(F.col("pos") == 4, F.lit(" Sign in")).otherwise(F.lit("more"))
+    anchors = leads.select("page_url", "pos", target).join(where, "to").select("page_url", "pos", "href", title.alias("title"))
+    seeds = table(spark, d, "pages").where("page_id % 10 < 3").select((F.floor(F.col("page_id") / 10) % 10).alias("task"), F.col("page_id").alias("ord"), "url")
+    return crawl.crawl(texts.select("url", "title", "text"), anchors, seeds, CRAWL, hops=3, per_hop=4).select("task", "hop", "place", "url", F.round("quality", 6).alias("quality"), F.round("relevance", 6).alias("relevance"))
+
+
 _SQUEEZE = "trim(regexp_replace({}, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g'))"
 
 
@@ -100,8 +123,30 @@ def _quality(c: str) -> str:
     return f"CASE WHEN {n} > 0 THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {parts})), 9) ELSE -1 END"
 
 
+def _crawl(hops: int, per_hop: int) -> str:
+    low = "lower(title || ' ' || description)"
+    terms, ev, ne = Q._count(low, CRAWL.terms()), Q._count(low, V.EVIDENCE_TERMS), Q._count(low, V.NEUTRAL_TERMS)
+    bonus = f"least(0.2::DOUBLE, {Q._count("lower(title || ' ' || text)", V.BROWSER_EVIDENCE)} * 0.02::DOUBLE)"
+    low_signal = lambda t: f"(contains(lower(url), 'assist=') OR contains(lower(url), '/signin') OR contains(lower(url), '/sign-in') OR contains(lower(url), '/accounts/') OR lower(trim({t})) IN ({', '.join(map(repr, V.BROWSER_TITLES))}))"
+    out = f"""WITH {_PAGES}, n0 AS (SELECT page_id, url AS raw, {Q.NORMALIZED} AS url FROM pages), n1 AS (SELECT n0.page_id, n0.raw, n0.url, title, 'a debate and a reaction, ' || body AS text FROM n0 JOIN t USING (page_id)),
+w0 AS (SELECT url, arg_min(title, page_id) AS title, arg_min(text, page_id) AS text FROM n1 WHERE url <> '' GROUP BY url), w1 AS (SELECT *, substring(text, 1, 220) AS description FROM w0), {Q._low_value("w1")},
+w2 AS (SELECT url, title, text, description, low_value, {Q.PLATFORM} AS platform, {terms} AS terms, {ev} AS ev, {ne} AS ne, {bonus} AS bonus FROM lv),
+w AS (SELECT *, least(1.0::DOUBLE, 0.15::DOUBLE + terms * 0.12::DOUBLE + ev * 0.04::DOUBLE + 0.08::DOUBLE + bonus) AS rel, low_value OR lower(trim(title)) IN ({', '.join(map(repr, V.LOW_SIGNAL_TITLES))}) OR {low_signal("title")} AS bad FROM w2),
+l AS (SELECT a.url AS page_url, pos, b.url, CASE WHEN pos = 4 THEN ' Sign in' ELSE 'more' END AS title FROM (SELECT url, pos, CASE WHEN (page_id + pos) % 3 = 0 THEN 0 ELSE (page_id * (pos + 2) + pos + 1) % (SELECT count(*) FROM pages) END AS to_ FROM n0, range(5) r(pos)) a JOIN n0 b ON a.to_ = b.page_id),
+e AS (SELECT page_url, pos, url FROM l WHERE url <> '' AND NOT {low_signal("title")}),
+f1 AS (SELECT page_id // 10 % 10 AS task, url, min(page_id) AS ord, 0 AS from_ FROM n0 WHERE page_id % 10 < 3 AND url <> '' GROUP BY ALL), v1 AS (SELECT task, url FROM f1)"""
+    for h in range(1, hops + 1):
+        quality = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.2::DOUBLE + CASE WHEN title <> '' THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE + CASE WHEN platform <> 'web' THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END + least(0.18::DOUBLE, ev * 0.03::DOUBLE) - least(0.2::DOUBLE, ne * 0.05::DOUBLE)
+  - CASE WHEN platform = 'web' AND ev = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + {0.1 + max(0.0, 0.03 * (hops - h))!r}::DOUBLE + rel * 0.35::DOUBLE))"""
+        out += f""", p{h} AS (SELECT task, url, row_number() OVER (PARTITION BY task ORDER BY from_, ord, url) AS place FROM f{h} QUALIFY place <= {per_hop}),
+g{h} AS (SELECT task, {h} AS hop, place, url, {quality} AS quality, rel AS relevance FROM p{h} JOIN w USING (url) WHERE NOT bad), t{h} AS (SELECT * FROM g{h} WHERE quality >= 0.5 AND relevance >= 0.35),
+f{h + 1} AS (SELECT task, e.url, min({{'p': place, 'o': pos}}).o AS ord, min({{'p': place, 'o': pos}}).p AS from_ FROM t{h} JOIN e ON t{h}.url = e.page_url ANTI JOIN v{h} ON v{h}.task = t{h}.task AND v{h}.url = e.url GROUP BY task, e.url), v{h + 1} AS (SELECT * FROM v{h} UNION ALL SELECT task, url FROM f{h + 1})"""
+    return out + " " + " UNION ALL ".join(f"SELECT task, hop, place, url, round(quality, 6) AS quality, round(relevance, 6) AS relevance FROM t{h}" for h in range(1, hops + 1))
+
+
 _T = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 SQL = {
+    "crawl_frontier": _crawl(3, 4),
     "html_document": f"""WITH {_PAGES}, m AS (SELECT *, CASE WHEN length(article) > 200 THEN article WHEN length(body) > 200 THEN body ELSE {_PARAGRAPHS} END AS main_text FROM t)
 SELECT page_id, title, language, main_text, substring(main_text, 1, 400) AS excerpt, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain, 0::BIGINT AS json_ld_count FROM m""",
     "html_document_fields": f"""SELECT doc_id, 'About ' || source || ' & "' || lang || '"' AS title, CASE WHEN doc_id % 4 < 3 THEN 'Author ' || source END AS author,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import urls as U
+from ..functions.plan import staged
 from ..operators import cleaning, links, reporting, stores, trees
 from . import sql as Q
 
@@ -53,7 +54,7 @@ def stored_sightings(spark, d):
 
 @query
 def link_upsert(spark, d):
-    s = stored_sightings(spark, d)
+    s = staged(stored_sightings(spark, d))
     old, new = s.where(F.col("page_id") % 2 == 0), s.where(F.col("page_id") % 2 == 1).withColumn("seq", F.col("seq") + 10**15)
     out = links.upsert(links.upsert(None, old), new)
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
