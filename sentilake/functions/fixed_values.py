@@ -63,6 +63,15 @@ NOISE_PATTERNS = ("cookie(s)?\\s+policy", "accept\\s+all\\s+cookies", "sign\\s+i
 # Keys under which a payload may hold its date, in order.
 DATE_KEYS = ("published_at", "publishedAt", "published", "date", "datetime", "pubDate", "publication_date", "published_date", "article_date", "created_at", "createdAt", "created", "timestamp", "unix_timestamp", "epoch", "time")
 
+# What a key holds that speaks of a time.
+DATE_TOKENS = ("date", "time", "published", "created", "timestamp")
+
+# Names of pictures that differ from the characters' own.
+PICTURE_NAMES = {
+    "\U0001f621": "enraged face", "\U0001f620": "angry face", "\U0001f602": "face with tears of joy", "\u2764": "red heart", "\U0001f44d": "thumbs up", "\U0001f44e": "thumbs down",
+    "\U0001f60a": "smiling face with smiling eyes", "\U0001f622": "crying face", "\U0001f62d": "loudly crying face", "\U0001f525": "fire", "\U0001f64f": "folded hands", "\U0001f44f": "clapping hands",
+}
+
 # Words that are no phrase to search for, and what follows a topic in the default ones.
 NO_PHRASES = ("here", "are", "useful", "search", "queries", "query")
 DEFAULT_ENDS = ("", " public sentiment", " Nepal reactions")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentiment as S
-from ..functions.plan import once
+from ..functions.plan import once, staged
 
 
 def posts(documents: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def keyword_list(content: Column) -> Column:
 
 def keywords(p: DataFrame) -> DataFrame:
     """A row for each keyword a post holds, and where they come."""
-    return p.select("platform", "seq", F.posexplode(keyword_list(F.col("content"))).alias("pos", "keyword"))
+    return p.select(*[c for c in p.columns if c not in ("seq", "content", "compound", "score", "author", "ts")], "seq", F.posexplode(keyword_list(F.col("content"))).alias("pos", "keyword"))
 
 
 def top_keywords(p: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -68,6 +68,36 @@ def top_keywords(p: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k).select(*by, "rank", "keyword", "n")
 
 
+def keyword_lists(p: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The k top keywords of each group as a list, in order."""
+    ranked = top_keywords(p, k, by)
+    return ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x.keyword).alias("top_keywords"))
+
+
+def breakdown_report(p: DataFrame, k: int = 5) -> DataFrame:
+    """Each platform's counts and shares with its top keywords, by platform."""
+    words = keyword_lists(p, k, ["platform"]).withColumnRenamed("platform", "of")
+    b = platform_breakdown(p)
+    return b.join(words, b["platform"].eqNullSafe(F.col("of")), "left").select(*b.columns, F.coalesce("top_keywords", F.array().cast("array<string>")).alias("top_keywords")).orderBy("platform")
+
+
+def summary_report(p: DataFrame, ts: str = "ts", k: int = 10) -> DataFrame:
+    """One row: counts and shares of all posts, the contents of the most positive and the most negative, the top keywords, and each day's counts in order.
+
+    Days without a date are left out; of equally extreme posts the first counts.
+    """
+    facts = staged(p.select("seq", "compound", ts))  # narrow, and scored once
+    ends = extremes(facts)
+    contents = p.select("seq", "content").join(F.broadcast(ends), F.col("seq").isin(F.col("most_positive"), F.col("most_negative")))
+    content = lambda c: F.max(F.when(F.col("seq") == F.col(c), F.col("content")))
+    said = contents.agg(F.coalesce(content("most_positive"), F.lit("")).alias("most_positive_post"), F.coalesce(content("most_negative"), F.lit("")).alias("most_negative_post"))
+    words = keyword_lists(p.withColumn("all", F.lit(1)), k, ["all"]).agg(F.coalesce(F.first("top_keywords"), F.array().cast("array<string>")).alias("top_keywords"))
+    days = timeline(facts.where(F.col(ts).isNotNull()), ts).agg(F.array_sort(F.collect_list(F.struct("day", "avg_sentiment", "post_count", "positive", "negative", "neutral"))).alias("sentiment_over_time"))
+    # each is one row
+    whole = summary(facts).withColumnsRenamed({"post_count": "total_posts", "avg_sentiment": "avg_compound"})
+    return whole.crossJoin(said).crossJoin(words).crossJoin(days)
+
+
 def keyword_weights(top: DataFrame) -> DataFrame:
     """Of few keywords in order their weight: from 1 down in equal steps."""
     ranked = top.coalesce(1).withColumn("i", F.monotonically_increasing_id())

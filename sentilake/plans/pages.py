@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions import payloads as X
+from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.plan import staged
-from ..operators import crawl, links
+from ..operators import crawl, links, reporting
 from ..sources import html as H
 from . import sql as Q
 
@@ -69,6 +71,61 @@ def best_text_source(spark, d):
     return H.best_text(table(spark, d, "pages"))
 
 
+@query
+def deep_dates(spark, d):
+    """Payloads made of an event's own, with a date now under a named key, now deep inside, now in a spelt form, now nowhere."""
+    k, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    inner = F.to_json(F.struct(F.lit("x").alias("name"), F.when(k % 5 == 0, F.lit("soon")).otherwise(day).alias("firstSeenDate")))
+    first = F.concat(F.lit('{"a": {"list": [{"update_time": '), F.when(k % 4 == 1, F.lit("1700000000")).otherwise(F.lit("-5")), F.lit('}]}, "own": '), inner, F.lit(', "z": [1, "t", null], "props": '), F.col("props"), F.lit("}"))
+    named = F.concat(F.lit('{"deep": '), first, F.lit(', "created": "'), F.date_format("ts", "MMM d, yyyy"), F.lit('"}'))
+    payload = F.when(k % 6 == 0, named).when(k % 6 == 5, F.lit("no json")).otherwise(first)
+    rows = table(spark, d, "events").select("event_id", F.when(k % 7 == 0, day).when(k % 7 == 1, F.lit("unknown")).alias("own"), payload.alias("payload"))
+    return rows.select("event_id", F.date_format(X.published_at(F.col("own"), F.col("payload")), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query
+def nested_strings(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    json = F.to_json(F.struct(F.struct(F.transform("t", lambda x: F.concat(x.role, F.lit(" "))).alias("roles"), F.struct(F.size("t").alias("n")).alias("deep")).alias("a"), F.lit("  ").alias("blank"), F.col("conv_id").alias("id")))
+    return c.select("conv_id", F.array_join(X.nested_values(json), "|").alias("found"))
+
+
+@query
+def json_in_prose(spark, d):
+    k = F.col("turn")
+    json = F.concat(F.lit('{"turn": '), k.cast("string"), F.lit(', "more": {"role": "'), F.col("role"), F.lit('"}}'))
+    said = F.when(k % 3 == 0, F.concat(F.lit("  Here it is: ```json\n"), json, F.lit("\n``` and {no json} too "))).when(k % 3 == 1, F.concat(F.lit(" "), json, F.lit("\n"))).otherwise(F.lit("nothing } here"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", said.alias("said"))
+    return rows.select("conv_id", "turn", F.array_join(X.json_candidates(F.col("said")), "~").alias("candidates"), X.first_json(F.col("said")).alias("json"))
+
+
+@query
+def clean_text_prepared(spark, d):
+    """Texts with entities, mangled letters, pictures and marks, before and after they are normalised."""
+    k = F.col("doc_id")
+    more = F.when(k % 4 == 0, F.lit(" I&#39;m \U0001f621\U0001f621 at caf\u00c3\u00a9_x")).when(k % 4 == 1, F.lit(" it\u00e2\u20ac\u2122s *fine* \U0001f44d\U0001f3fd and \U0001f680")).when(k % 4 == 2, F.lit(" `code` [label](http://a.example/b) - # end")).otherwise(F.lit(""))
+    text = F.concat(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "&_", "  "), "\\s+", " "), more)
+    rows = table(spark, d, "documents").select("doc_id", X.prepared(F.when(k % 4 == 2, X.without_markdown(text)).otherwise(text)).alias("prepared"))
+    return rows.select("doc_id", "prepared", T.normalize(F.col("prepared")).alias("cleaned"))
+
+
+def dated_posts(spark, d):
+    at = F.make_date(F.lit(2024), F.lit(1), (F.col("seq") % 28 + 1).cast("int"))
+    return reporting.posts(table(spark, d, "documents")).withColumn("ts", F.when(F.col("seq") % 9 > 0, at))
+
+
+@query
+def breakdown_report(spark, d):
+    return reporting.breakdown_report(dated_posts(spark, d)).withColumn("top_keywords", F.array_join("top_keywords", ","))
+
+
+@query
+def summary_report(spark, d):
+    out = reporting.summary_report(dated_posts(spark, d)).withColumn("top_keywords", F.array_join("top_keywords", ","))
+    day = lambda x: F.concat_ws("/", x.day, F.format_string("%.4f", x.avg_sentiment), x.post_count.cast("string"), x.positive.cast("string"), x.negative.cast("string"), x.neutral.cast("string"))
+    return out.withColumn("sentiment_over_time", F.array_join(F.transform("sentiment_over_time", day), " "))
+
+
 CRAWL = links.Brief("the", ("and", "tion"), ("#of",))
 
 
@@ -145,7 +202,25 @@ f{h + 1} AS (SELECT task, e.url, min({{'p': place, 'o': pos}}).o AS ord, min({{'
 
 
 _T = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
+_DAYS = f"{Q.POSTS}, q AS (SELECT *, CASE WHEN seq % 9 > 0 THEN make_date(2024, 1, (seq % 28 + 1)::INT) END AS day FROM p)"
+_KEYS = "k0 AS (SELECT platform, seq, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{4,}') AS ks FROM p), k AS (SELECT platform, seq, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS pos FROM k0)"
+_PREPARED = """CASE doc_id % 4 WHEN 0 THEN trim(t) || ' I''m enraged face enraged face at café x' WHEN 1 THEN trim(t) || ' it’s *fine* thumbs up and rocket'
+  WHEN 2 THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t || ' `code` [label](http://a.example/b) - # end', '`{1,3}[^`]*`{1,3}', ' ', 'g'), '\\[(.*?)\\]\\((.*?)\\)', ' \\1 ', 'g'), '[*_~#>-]', ' ', 'g'), '\\s+', ' ', 'g')) ELSE trim(t) END"""
 SQL = {
+    "deep_dates": """WITH e AS (SELECT event_id, event_id AS k, strftime(ts, '%Y-%m-%d') AS day FROM events)
+SELECT event_id, CASE WHEN k % 7 = 0 OR k % 6 = 0 THEN day || ' 00:00:00' WHEN k % 6 = 5 THEN NULL WHEN k % 5 > 0 THEN day || ' 00:00:00' WHEN k % 4 = 1 THEN '2023-11-14 22:13:20' END AS published_at FROM e""",
+    "nested_strings": "SELECT conv_id, string_agg(trim(role), '|' ORDER BY turn) || '|' || count(*) || '|' || conv_id AS found FROM conversations GROUP BY conv_id",
+    "json_in_prose": """WITH j AS (SELECT conv_id, turn, '{"turn": ' || turn || ', "more": {"role": "' || role || '"}}' AS j FROM conversations)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Here it is: ```json' || chr(10) || j || chr(10) || '``` and {no json} too' || '~' || j || '~' || j || chr(10) || '``` and {no json}' || '~' || '{no json}' WHEN 1 THEN j ELSE 'nothing } here' END AS candidates,
+  CASE WHEN turn % 3 < 2 THEN j END AS json FROM j""",
+    "clean_text_prepared": f"""WITH d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '&_', '  '), '\\s+', ' ', 'g') AS t FROM documents), r AS (SELECT doc_id, {_PREPARED} AS prepared FROM d) SELECT doc_id, prepared, {Q._normalized("prepared")} AS cleaned FROM r""",
+    "breakdown_report": f"""WITH {Q.POSTS}, {_KEYS}, c AS (SELECT platform, keyword, count(*) AS n, min({{'s': seq, 'p': pos}}) AS f FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY n DESC, f, keyword) AS rank FROM c),
+l AS (SELECT platform, string_agg(keyword, ',' ORDER BY rank) AS top_keywords FROM r WHERE rank <= 5 GROUP BY platform), b AS (SELECT platform, {Q.SHARES} FROM p GROUP BY platform) SELECT b.*, coalesce(top_keywords, '') AS top_keywords FROM b LEFT JOIN l ON b.platform IS NOT DISTINCT FROM l.platform""",
+    "summary_report": f"""WITH {_DAYS}, {_KEYS}, c AS (SELECT keyword, count(*) AS n, min({{'s': seq, 'p': pos}}) AS f FROM k GROUP BY ALL), w AS (SELECT string_agg(keyword, ',' ORDER BY n DESC, f, keyword) AS top_keywords FROM (SELECT * FROM c ORDER BY n DESC, f, keyword LIMIT 10)),
+t AS (SELECT day, printf('%.4f', round(avg(compound), 4)) AS a, count(*) AS n, count(*) FILTER (WHERE compound > 0.2) AS pos, count(*) FILTER (WHERE compound < -0.2) AS neg, count(*) FILTER (WHERE compound BETWEEN -0.2 AND 0.2) AS neu FROM q WHERE day IS NOT NULL GROUP BY day),
+s AS (SELECT string_agg(concat_ws('/', day::VARCHAR, a, n, pos, neg, neu), ' ' ORDER BY day) AS sentiment_over_time FROM t), b AS (SELECT {Q.SHARES} FROM p),
+x AS (SELECT arg_max(content, {{'c': compound, 's': -seq}}) AS most_positive_post, arg_min(content, {{'c': compound, 's': seq}}) AS most_negative_post FROM p)
+SELECT post_count AS total_posts, avg_sentiment AS avg_compound, positive_pct, negative_pct, neutral_pct, most_positive_post, most_negative_post, top_keywords, sentiment_over_time FROM b, x, w, s""",
     "crawl_frontier": _crawl(3, 4),
     "html_document": f"""WITH {_PAGES}, m AS (SELECT *, CASE WHEN length(article) > 200 THEN article WHEN length(body) > 200 THEN body ELSE {_PARAGRAPHS} END AS main_text FROM t)
 SELECT page_id, title, language, main_text, substring(main_text, 1, 400) AS excerpt, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain, 0::BIGINT AS json_ld_count FROM m""",

@@ -7,6 +7,7 @@ first element of each content tag. What wins over what is decided by columns.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +27,23 @@ from ..functions.plan import once
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
 SPACE = re.compile(r"\s+")
-FIELDS = "metas map<string,string>, title string, lang string, json_ld array<string>, article string, main string, section string, body string, paragraphs string, raw_text string"
+FIELDS = "metas map<string,string>, title string, lang string, items array<string>, article string, main string, section string, body string, paragraphs string, raw_text string"
 
 
 def squeezed(strings: list[str]) -> str:
     return SPACE.sub(" ", " ".join(s for x in strings if (s := x.strip()))).strip()
 
 
+def items(scripts: list[list[str]]) -> Iterator[str]:
+    """The objects of JSON-LD scripts, alone or in lists; what can't be read has none."""
+    for parts in scripts:
+        try:
+            whole = json.loads("".join(parts))
+        except (ValueError, RecursionError):
+            continue
+        yield from (json.dumps(x) for x in (whole if isinstance(whole, list) else [whole]) if isinstance(x, dict))
+
+
 class Reader(HTMLParser):
     """One page: its strings in order, and which of them lie in what element."""
 
@@ -120,7 +131,7 @@ class Reader(HTMLParser):
         texts = {t: squeezed(self.kept[slice(*self.first[t])]) if t in self.first else None for t in V.CONTENT_TAGS}
         some = any(len(x or "") > V.MIN_MAIN_TEXT for x in texts.values())
         return texts | {
-            "metas": list((self.named | self.properties).items()), "title": "".join(self.title), "lang": self.lang, "json_ld": ["".join(x) for x in self.json_ld],
+            "metas": list((self.named | self.properties).items()), "title": "".join(self.title), "lang": self.lang, "items": list(items(self.json_ld)),
             "paragraphs": None if some else self.paragraphs(), "raw_text": squeezed(self.every),
         }
 
@@ -165,9 +176,6 @@ def documents(pages: DataFrame) -> DataFrame:
     had = [c for c in pages.columns if c != "html"]
     rows = parsed(pages)
     meta = lambda *names: F.coalesce(*[given(T.squeeze(F.try_element_at("metas", F.lit(n)))) for n in names])
-    readable = F.filter("json_ld", lambda s: F.try_parse_json(s).isNotNull())
-    items = F.flatten(F.transform(readable, lambda s: F.when(F.ltrim(s).startswith("["), F.from_json(s, "array<string>")).otherwise(F.array(s))))
-    rows = once(rows.withColumn("items", F.filter(items, lambda s: F.ltrim(s).startswith("{"))))
     get = lambda *paths: lambda i: F.coalesce(*[given(F.get_json_object(i, p)) for p in paths])
     main = F.coalesce(*[F.when(F.length(c) > V.MIN_MAIN_TEXT, F.col(c)) for c in V.CONTENT_TAGS], given(F.col("paragraphs")))
     geo = F.map_filter(F.create_map(*[x for k, n in V.GEO_METAS for x in (F.lit(k), meta(n))]), lambda k, v: v.isNotNull())
