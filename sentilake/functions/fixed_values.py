@@ -23,6 +23,25 @@ PLATFORM_DOMAINS = (
 )
 NEWS_KEYWORDS = ("news", "post", "times", "herald", "journal", "tribune", "republic", "republica", "khabar", "kantipur", "himalayan", "aljazeera", "bbc", "npr", "livemint", "economictimes")
 
+# What a hint may call a platform, and a target's platform by what its host contains, in order.
+PLATFORM_ALIASES = (
+    ("reddit", ("reddit", "subreddit", "r/")), ("x", ("twitter", "x", "tweet", "hashtag")), ("facebook", ("facebook", "fb")), ("instagram", ("instagram", "insta")), ("youtube", ("youtube", "yt", "video")),
+    ("tiktok", ("tiktok",)), ("wiki", ("wikipedia", "wiki", "wikidata")), ("news_site", ("news site", "news", "editorial", "article", "newspaper")),
+)
+TARGET_DOMAINS = (
+    ("reddit", ("reddit.com",)), ("bluesky", ("bsky.app", "bsky.social")), ("x", ("x.com", "twitter.com")), ("facebook", ("facebook.com", "fb.com")), ("instagram", ("instagram.com",)),
+    ("youtube", ("youtube.com", "youtu.be")), ("hackernews", ("news.ycombinator.com",)), ("tiktok", ("tiktok.com",)),
+)
+
+# Names of sources and what else they are called, those that need a key, and the most results of a query.
+SOURCE_ALIASES = (
+    ("serper", ("serper", "search", "web", "news", "social", "reddit", "twitter", "x", "facebook", "youtube")), ("firecrawl_search", ("firecrawl_search", "firecrawl", "firecrawl-news")),
+    ("firecrawl_browser", ("firecrawl_browser", "browser", "rendered_browser")), ("camoufox_browser", ("camoufox_browser", "camoufox", "camoufox_rendered")),
+    ("camoufox_agentic", ("camoufox_agentic", "agentic_browser", "agentic_camoufox")), ("serpapi", ("serpapi",)),
+)
+KEYED_SOURCES = ("firecrawl", "firecrawl_search", "crawlbase", "serpapi")
+PER_QUERY = 25
+
 # Sources that are browsers, ends of search engines' domains, beginnings of addresses that lead nowhere.
 BROWSER_SOURCES = ("camoufox_browser", "camoufox_agentic")
 SEARCH_ENGINES = ("google.com", "google.com.np", "accounts.google.com", "duckduckgo.com", "bing.com", "yahoo.com", "news.google.com")
@@ -104,6 +123,7 @@ PHASES = ("planning", "searching", "scraping", "cleaning", "analysing")
 STARTS_FROM = ("idle", "error", "completed")
 
 # Limits and thresholds.
+SCORED_CHARS = 4000
 MIN_QUALITY, MAX_LINKS, REUSE_DAYS, MAX_TARGETS = 0.35, 1000, 7, 250
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MAX_URL, MAX_SYMBOL = 30, 12_000, 0.35, 0.3, 0.35
 POSITIVE_FROM, NEGATIVE_TO, CONTEXT_WEIGHT, RECOVERY_BUDGET = 0.6, 0.4, 0.3, 10

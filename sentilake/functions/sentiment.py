@@ -67,3 +67,21 @@ def model_score(label: Column, raw: Column) -> Column:
     low = F.lower(label)
     stars = F.regexp_extract(low, "([1-5]) *star", 1)
     return F.when(stars != "", (F.try_to_number(stars, F.lit("9")).cast("double") - 1) / 4).when(low.contains("positive"), F.lit(1.0)).when(low.contains("negative"), F.lit(0.0)).when(low.contains("neutral"), F.lit(0.5)).otherwise(clamp(raw))
+
+
+def shown_delta(delta: Column) -> Column:
+    """A change as it is shown: two digits and a sign beyond 0.01, else that there is none."""
+    return F.when(delta > 0.01, F.concat(F.lit("+"), F.format_string("%.2f", delta))).when(delta < -0.01, F.format_string("%.2f", delta)).otherwise(F.lit("No change"))
+
+
+def best_result(results: Column) -> Column:
+    """Of a classifier's results (label, score) the first with the highest score; of none a neutral half."""
+    placed = F.transform(results, lambda r, i: F.struct(F.coalesce(r.score, F.lit(0.0)).alias("score"), (-i).alias("place"), r.label.alias("label")))
+    best = F.array_max(placed)
+    return F.named_struct(F.lit("label"), F.when(best.isNull(), F.lit("neutral")).otherwise(best["label"]), F.lit("score"), F.coalesce(best["score"], F.lit(0.5)))
+
+
+def text_to_score(sentiment_text: Column, cleaned_text: Column, text: Column, longest: int = V.SCORED_CHARS) -> Column:
+    """The first of three texts that isn't empty, without outer white space, up to ``longest`` characters."""
+    first = F.coalesce(F.nullif(sentiment_text, F.lit("")), F.nullif(cleaned_text, F.lit("")), text, F.lit(""))
+    return F.substring(F.btrim(first, F.lit(" \t\n\r\x0b\x0c")), 1, longest)

@@ -64,6 +64,10 @@ def unique_id(normalized: Column) -> Column:
     return F.substring(F.sha2(normalized, 256), 1, 24)
 
 
+def document_id(normalized: Column) -> Column:
+    return F.concat(F.lit("doc_"), unique_id(normalized))
+
+
 def domain(url: Column) -> Column:
     return F.regexp_replace(authority(url), "^www\\.", "")
 

@@ -14,12 +14,12 @@ from ..functions import urls as U
 from ..operators import cleaning, documents, export, links, reporting, runs
 from ..sources import pages as P
 from ..streaming import events as E
-from . import pages, sql, states, writers
+from . import captured, pages, sql, states, writers
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = states.QUERIES | pages.QUERIES | writers.QUERIES
-SQL = sql.SQL | states.SQL | pages.SQL | writers.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = states.QUERIES | pages.QUERIES | writers.QUERIES | captured.QUERIES
+SQL = sql.SQL | states.SQL | pages.SQL | writers.SQL | captured.SQL
 BRIEF = links.Brief("the", ("and", "tion"), ("#of",))
 HINTS = ("reddit", "YouTube", "facebook", "instagram", "news", "web")
 POSITIVE_KEYWORDS, NEGATIVE_KEYWORDS = ("the", "and", "tion"), ("of", "eau")
@@ -228,8 +228,9 @@ def sentiment_run_stats(spark, d):
 
 @query
 def model_label_normalize(spark, d):
-    rows = spark.createDataFrame([(1, "5 stars", 0.9), (2, "1 star", 0.4), (3, "POSITIVE", 0.7), (4, "negative", 0.7), (5, "Neutral", 0.1), (6, "LABEL_1", 1.4)], "id long, label string, raw double")
-    return rows.select("id", S.model_score(F.col("label"), F.col("raw")).alias("score"))
+    labels = F.array(*map(F.lit, ("5 stars", "1 star", "POSITIVE", "negative", "Neutral", "LABEL_1", "3 Stars")))
+    rows = table(spark, d, "events").select("event_id", F.element_at(labels, (F.col("event_id") % 7 + 1).cast("int")).alias("label"), (F.col("value") / 60).alias("raw"))
+    return rows.select("event_id", F.round(S.model_score(F.col("label"), F.col("raw")), 6).alias("score"))
 
 
 @query
@@ -297,9 +298,11 @@ def export_csv_rows(spark, d):
 
 @query
 def published_dates(spark, d):
-    given = ["2024-01-05", "Jan 5, 2024", "January 15, 2024", "2024/03/09", "5 Feb 2024", "17 March 2023", "1704412800", "0", "soon", "", None]
-    rows = spark.createDataFrame(list(enumerate(given)), "id long, v string")
-    return rows.select("id", F.date_format(T.parse_date(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    """Dates of orders, each spelt in one of several ways or not at all."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    spelt = [F.date_format(at, f) for f in ("yyyy-MM-dd", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss")]
+    given = F.element_at(F.array(*spelt, F.unix_timestamp(at).cast("string"), F.lit("soon"), F.lit("0"), F.lit(" ")), (k % 11 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(T.parse_date(given), "yyyy-MM-dd HH:mm:ss").alias("published_at"))
 
 
 @query

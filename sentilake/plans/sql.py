@@ -176,7 +176,7 @@ SQL = {
     "keyword_adjustment": f"WITH {POSTS} SELECT seq, round(CASE WHEN {_DELTA} = 0 THEN score ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, score + {_DELTA} * 0.3::DOUBLE)) END, 6) AS adjusted FROM p",
     "recovery_budget": f"SELECT doc_id AS seq, CASE WHEN length({_LOW}) <= 10 THEN 0.5::DOUBLE WHEN {_count(_LOW, V.RECOVERY_POSITIVE)} > {_count(_LOW, V.RECOVERY_NEGATIVE)} THEN 0.75::DOUBLE WHEN {_count(_LOW, V.RECOVERY_NEGATIVE)} > {_count(_LOW, V.RECOVERY_POSITIVE)} THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS score FROM documents WHERE length(text) % 3 = 0 ORDER BY doc_id LIMIT 10",
     "sentiment_run_stats": f"WITH {POSTS}, l AS (SELECT score, {LABEL3} AS label FROM p) SELECT count(*) AS analyzed, round(avg(score), 6) AS avg_score, {', '.join(f'''count(*) FILTER (WHERE label = '{x}') AS {x}''' for x in ('positive', 'neutral', 'negative'))} FROM l",
-    "model_label_normalize": "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.0), (3, 1.0), (4, 0.0), (5, 0.5), (6, 1.0)) v(id, score)",
+    "model_label_normalize": "SELECT event_id, round(CASE event_id % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 4 THEN 0.5 WHEN 6 THEN 0.5 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 60)) END::DOUBLE, 6) AS score FROM events",
     "queue_status_counts": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1",
     "latest_run_per_topic": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "status_state_fold": "SELECT user_id, min(ts) AS started_at, arg_max(event_type, {'t': ts, 'e': event_id}) AS status, arg_max(value, {'t': ts, 'e': event_id}) AS last_value, count(*) AS attempts, arg_min(value, {'t': ts, 'e': event_id}) FILTER (WHERE value IS NOT NULL) AS first_value FROM events GROUP BY user_id",
@@ -188,7 +188,7 @@ SQL = {
     "ordered_distinct_terms": "WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ts FROM conversations), u AS (SELECT conv_id, turn, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM t), g AS (SELECT conv_id, term, min({'t': turn, 'p': pos}) AS f FROM u GROUP BY ALL) SELECT conv_id, term, f.t AS first_turn, f.p::INT AS first_pos FROM g",
     "slug_ids": f"WITH s AS (SELECT doc_id, CASE WHEN {_SLUG1} = '' THEN 'untitled-topic' ELSE {_SLUG1} END AS slug FROM documents) SELECT doc_id, slug, substring(md5(slug || '-' || doc_id::VARCHAR), 1, 12) AS post_id FROM s",
     "export_csv_rows": f"WITH {POSTS}, w AS (SELECT seq, unnest({_WORDS}) AS word, generate_subscripts({_WORDS}, 1) AS i FROM p), f AS (SELECT seq, word, min(i) AS i FROM w GROUP BY ALL), k AS (SELECT seq, string_agg(word, '; ' ORDER BY i) AS keywords FROM f GROUP BY seq) SELECT seq AS id, platform, author, content, round(greatest(compound, 0.0), 4) AS positive, round(greatest(-compound, 0.0), 4) AS negative, round(1 - abs(compound), 4) AS neutral, round(compound, 4) AS compound, coalesce(keywords, '') AS keywords FROM p LEFT JOIN k USING (seq)",
-    "published_dates": "SELECT * FROM (VALUES (0::BIGINT, '2024-01-05 00:00:00'), (1, '2024-01-05 00:00:00'), (2, '2024-01-15 00:00:00'), (3, '2024-03-09 00:00:00'), (4, '2024-02-05 00:00:00'), (5, '2023-03-17 00:00:00'), (6, '2024-01-05 00:00:00'), (7, NULL), (8, NULL), (9, NULL), (10, NULL)) v(id, published_at)",
+    "published_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 < 8 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS published_at FROM orders",
     "reply_tree_depth": "WITH RECURSIVE r AS (SELECT conv_id, turn, NULL::BIGINT AS parent, 0::BIGINT AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, r.turn, r.depth + 1 FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1) SELECT * FROM r",
     "html_metadata": f"""SELECT page_id, coalesce({_meta("og:title")}, {_meta("twitter:title")}, {_tag("(?is)<title[^>]*>(.*?)</title>")}, {_tag("(?is)<h1[^>]*>(.*?)</h1>")}) AS title, {_tag('(?is)<html[^>]*lang="([^"]*)"')} AS lang, coalesce({_meta("author")}, {_meta("article:author")}) AS author, coalesce({_meta("og:description")}, {_meta("description")}) AS description FROM pages""",
     "stream_daily_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
