@@ -28,8 +28,8 @@ beforehand; they reach the driver as one row.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import gathered
+from .cuts import one as one_array
 from .shared import only, parts, text_batches, total_bytes
 
 #: Bytes of text in a group, and of text for a bucket of hashes.
@@ -49,14 +51,41 @@ CONCENTRATION = (100.0, 400.0, 1.0)
 END = b"\n"
 #: Tokens of a text that are walked in a row.
 SEGMENT = 1024
-#: Distinct tokens that a worker adds up before it passes them on.
-HELD = 500_000
+#: Bytes of text whose tokens are counted together before they are passed on.
+COUNTED_BYTES = 16 << 20
 #: Bytes of text that are compressed together.
 BLOB_BYTES = 256 << 10
 
 
-def token_hash(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token, 7)
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(7)), np.uint64, len(tokens))
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, none negative, and the place of each value among them. Places travel in the low bits of one plain sort where they fit."""
+    bits = len(values).bit_length()
+    if not len(values) or int(values.max()).bit_length() + bits > 63:
+        found, at = np.unique(values, return_inverse=True)
+        return found, at.astype(np.int32)
+    keys = np.sort(values << bits | np.arange(len(values)))
+    rising = keys >> bits
+    first = np.ones(len(keys), bool)
+    first[1:] = rising[1:] != rising[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[keys & ((1 << bits) - 1)] = np.cumsum(first, dtype=np.int32) - 1
+    return rising[first], at
+
+
+def sorted_order(codes: np.ndarray) -> np.ndarray:
+    """What sorts numbers: places travel in the low bits of one plain sort; bits of the numbers that this pushes out only tell neighbours apart, which are put right then."""
+    bits = len(codes).bit_length()
+    out = max(0, int(codes.max(initial=0)).bit_length() + bits - 64)
+    order = (np.sort((codes >> np.uint64(out)) << np.uint64(bits) | np.arange(len(codes), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    high = codes[order] >> np.uint64(out) if out else codes[:0]
+    for begin in np.flatnonzero(high[1:] == high[:-1]).tolist():
+        end = begin + int(np.searchsorted(high[begin:], high[begin], side="right"))
+        order[begin:end] = order[begin:end][np.argsort(codes[order[begin:end]], kind="stable")]
+    return order
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,7 +115,7 @@ class Texts:
         self.lengths += 1  # the end token
         self.starts = np.cumsum(self.lengths) - self.lengths
         coded = tokens.dictionary_encode()
-        hashes = np.fromiter(map(token_hash, [END, *coded.dictionary.to_pylist()]), np.uint64, len(coded.dictionary) + 1)
+        hashes = token_hashes([END, *coded.dictionary.to_pylist()])
         number = np.zeros(int(self.lengths.sum()), np.int32)
         inside = np.ones(len(number), bool)
         inside[self.starts + self.lengths - 1] = False
@@ -101,14 +130,12 @@ class Texts:
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[self.starts] = self.end  # the end token comes before a text
-        pairs, self.pair = np.unique(before.astype(np.int64) * n + self.ids, return_inverse=True)
-        self.pair = self.pair.astype(np.int32)
+        pairs, self.pair = distinct(before.astype(np.int64) * n + self.ids)
         self.heads, self.tails = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         self.later = np.ones(len(self.ids), bool)  # all but the first token of each text follow a pair
         self.later[self.starts] = False
         at = np.flatnonzero(self.later)
-        triples, self.triple = np.unique(self.pair[at - 1].astype(np.int64) * n + self.ids[at], return_inverse=True)
-        self.triple = self.triple.astype(np.int32)
+        triples, self.triple = distinct(self.pair[at - 1].astype(np.int64) * n + self.ids[at])
         self.first_pair, self.last = (triples // n).astype(np.int32), (triples % n).astype(np.int32)
         # the pair that a triple ends in: the one at any place where the triple is
         self.last_pair = np.zeros(len(triples), np.int32)
@@ -187,7 +214,7 @@ def walk(machine: Automaton, texts: Texts, segment: int = SEGMENT) -> np.ndarray
 def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by bucket and then 32 more bits, and where each bucket begins."""
     code = (hashes % np.uint64(buckets)) << np.uint64(32) | short(hashes, buckets)
-    order = np.argsort(code)
+    order = sorted_order(code)
     return order, np.searchsorted(code[order], np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
 
 
@@ -249,25 +276,16 @@ def loosen(data: bytes) -> np.ndarray:
 def training_totals(rows: DataFrame, buckets: int) -> tuple[int, int, int, int]:
     """Of the training tokens of text and held_out: all, distinct ones, those seen once and those seen twice."""
 
-    def out(found: Counter) -> Iterator[pa.RecordBatch]:
-        hashes = np.fromiter(map(token_hash, found), np.uint64, len(found))
-        order, at = dealt(hashes, buckets)
-        hashes, n = hashes[order], np.fromiter(found.values(), np.int64, len(found))[order]
-        some = np.flatnonzero(np.diff(at)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys_out(hashes[at[b] : at[b + 1]], buckets) for b in some], pa.binary()), pa.array([squeeze(n[at[b] : at[b + 1]]) for b in some], pa.binary())], names=["bucket", "a", "b"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            values, n = pc.value_counts(tokens_of(batch.column(0))[0]).flatten()
-            for value, k in zip(values.to_pylist(), n.to_pylist(), strict=True):
-                found[value] += k
-            found[END] += batch.num_rows
-            if len(found) > HELD:
-                yield from out(found)
-                found = Counter()
-        if found:
-            yield from out(found)
+        for some in gathered(batches, "text", COUNTED_BYTES):
+            coded = tokens_of(one_array(some["text"]))[0].dictionary_encode()
+            hashes = token_hashes([*coded.dictionary.to_pylist(), END])
+            n = np.append(np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)), some.num_rows)
+            order, at = dealt(hashes, buckets)
+            hashes, n = hashes[order], n[order]
+            full = np.flatnonzero(np.diff(at)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([keys_out(hashes[at[b] : at[b + 1]], buckets) for b in full], pa.binary()), pa.array([squeeze(n[at[b] : at[b + 1]]) for b in full], pa.binary())], names=["bucket", "a", "b"])
+        pa.default_memory_pool().release_unused()
 
     def add(table: pa.Table) -> pa.Table:
         keys, counts = [keys_in(x) for x in table.column("a").to_pylist()], [loosen(x) for x in table.column("b").to_pylist()]
@@ -371,8 +389,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         cuts = np.concatenate([[0], np.cumsum(some)])[at2]
         keys, two = texts.gram_hash[order2][some], texts.counts(out)[1][order2][some]
         every = np.zeros(buckets + 1, np.int64)
-        every[1:] = np.cumsum([b in first for b in range(buckets)])
-        return messages(group, [every], [lambda b: keys_out(keys[cuts[b] : cuts[b + 1]], buckets), lambda b: squeeze(two[cuts[b] : cuts[b + 1]]), first.__getitem__])
+        every[1 + np.fromiter(first, np.int64, len(first))] = 1
+        return messages(group, [np.cumsum(every)], [lambda b: keys_out(keys[cuts[b] : cuts[b + 1]], buckets), lambda b: squeeze(two[cuts[b] : cuts[b + 1]]), first.__getitem__])
 
     def answer(table: pa.Table) -> pa.Table:
         whole = added(table.column("a").to_pylist(), table.column("b").to_pylist())
