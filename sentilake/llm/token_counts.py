@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import bucket
-from .shared import only, parts, stage, text_batches
+from .shared import SMALL, only, parts, stage, text_batches
 
 #: What stands for the white space before a word.
 MARK = "▁"
 #: Pre-tokens that are broadcast at most, and the bytes of the longest of them; these bound the broadcast by 20 MB.
 HEAD, LONGEST = 200_000, 64
 #: Distinct pre-tokens that a worker adds up before it passes them on.
-HELD = 200_000
+HELD = 500_000
 #: Distinct pre-tokens in a part of the trie, and the lengths of prefix by which they are dealt out.
 PART, PREFIXES = 200_000, (2, 4, 8, 16, 32)
 
@@ -146,7 +146,12 @@ def _dealt(words: DataFrame, part: int, prefixes: tuple[int, ...]) -> DataFrame:
     """
     out = words.withColumn("branch", F.substring("word", 1, prefixes[0]))
     for longer in (*prefixes[1:], None):
-        large = out.groupBy("branch").count().where(F.col("count") > part).select("branch", F.ceil(F.col("count") / part).cast("int").alias("dealt"))
+        # one row at most for each ``part`` words of the corpus
+        large = stage(out.groupBy("branch").count().where(F.col("count") > part).select("branch", F.ceil(F.col("count") / part).cast("int").alias("dealt")))
+        n = large.count()
+        if not n:
+            return out
+        large = F.broadcast(large) if n <= SMALL else large
         finer = F.substring("word", 1, longer) if longer else F.concat("branch", F.pmod(F.xxhash64("word"), F.col("dealt")).cast("string").cast("binary"))
         out = out.join(large, "branch", "left").withColumn("branch", F.when(F.col("dealt").isNotNull(), finer).otherwise(F.col("branch"))).drop("dealt")
     return out
