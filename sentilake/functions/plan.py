@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Delete what was staged."""
+    for spark, path in _staged:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has gone, and its folder with it
+            return
+
+
 def once(df: DataFrame) -> DataFrame:
     """The same rows, with each column computed once.
 
@@ -33,6 +48,7 @@ def staged(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there, for plans that need them twice."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    _staged.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

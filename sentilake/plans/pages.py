@@ -153,16 +153,16 @@ def _unescaped(x: str) -> str:
     return x
 
 
-def _text(html: str) -> str:
+def _text(html: str, dropped: tuple[str, ...] = H.V.DROPPED_TAGS) -> str:
     """What stands in an element, without what is dropped."""
-    for tag in H.V.DROPPED_TAGS:
+    for tag in dropped:
         html = f"regexp_replace({html}, '(?is)<{tag}[^>]*>.*?(</{tag}>|$)', ' ', 'g')"
     return _SQUEEZE.format(_unescaped(f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))
 
 
 _inside = lambda tag: f"regexp_extract(html, '(?is)<{tag}[ >][^>]*>?(.*)</{tag}>', 1)"
 _PAGES = f"""x AS (SELECT page_id, url, html, regexp_extract(html, '(?is)<article[^>]*>(.*?)(</article>|</body>|$)', 1) AS a, regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1) AS b FROM pages),
-t AS (SELECT page_id, url, {_SQUEEZE.format(_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS language, {_text("a")} AS article, {_text("b")} AS body, string_split(b, '<p>') AS ps FROM x)"""
+t AS (SELECT page_id, url, {_SQUEEZE.format(_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, regexp_extract(html, '(?is)<html[^>]*lang="([^"]*)"', 1) AS language, {_text("a")} AS article, {_text("b")} AS body, string_split(b, '<p>') AS ps, html FROM x)"""
 #: The first paragraph of these pages is never closed, and so holds the others.
 _PARAGRAPHS = f"""array_to_string(list_filter(list_concat([CASE WHEN contains(ps[2], '</p>') THEN {_text("split_part(ps[2], '</p>', 1)")} ELSE {_text("array_to_string(ps[2:], '<p>')")} END],
   list_transform(ps[3:], lambda x: {_text("split_part(x, '</p>', 1)")})), lambda x: length(x) > 30)[:80], chr(10) || chr(10))"""
@@ -223,7 +223,7 @@ x AS (SELECT arg_max(content, {{'c': compound, 's': -seq}}) AS most_positive_pos
 SELECT post_count AS total_posts, avg_sentiment AS avg_compound, positive_pct, negative_pct, neutral_pct, most_positive_post, most_negative_post, top_keywords, sentiment_over_time FROM b, x, w, s""",
     "crawl_frontier": _crawl(3, 4),
     "html_document": f"""WITH {_PAGES}, m AS (SELECT *, CASE WHEN length(article) > 200 THEN article WHEN length(body) > 200 THEN body ELSE {_PARAGRAPHS} END AS main_text FROM t)
-SELECT page_id, title, language, main_text, substring(main_text, 1, 400) AS excerpt, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain, 0::BIGINT AS json_ld_count FROM m""",
+SELECT page_id, title, language, main_text, substring(CASE WHEN main_text = '' THEN {_text('html', ('script', 'style', 'template'))} ELSE main_text END, 1, 400) AS excerpt, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain, 0::BIGINT AS json_ld_count FROM m""",
     "html_document_fields": f"""SELECT doc_id, 'About ' || source || ' & "' || lang || '"' AS title, CASE WHEN doc_id % 4 < 3 THEN 'Author ' || source END AS author,
   CASE WHEN doc_id % 2 = 0 THEN '2024-01-05' ELSE '2024-02-03T04:05:06' END AS published_at, lang || CASE WHEN doc_id % 5 >= 3 THEN '_XX' ELSE '' END AS language,
   sha256(CASE WHEN doc_id % 6 = 5 OR length({_T}) > 30 THEN {_T} ELSE '' END) AS main_text_hash, 2::BIGINT AS json_ld_count FROM documents""",
