@@ -165,6 +165,23 @@ def compare_keywords(base: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, "keyword", "full_outer").select("keyword", change.alias("change"))
 
 
+def narrative(rows: DataFrame, out: str = "narrative") -> DataFrame:
+    """``rows`` with a comparison in words: of base and target their topic, version, posts and avg, and delta, direction, added and removed (keywords in order, of which five are named)."""
+    two = lambda c: F.format_string("%.2f", c)
+    bold = lambda prefix, c: F.concat(F.lit(f"**{prefix}"), F.col(c).cast("string"), F.lit("**"))
+    quoted = lambda c: F.concat(F.lit('**"'), F.col(c), F.lit('"**'))
+    same = F.concat(F.lit("Comparing "), bold("v", "base_version"), F.lit(" vs "), bold("v", "target_version"), F.lit(" for "), quoted("base_topic"), F.lit("."))
+    unlike = F.concat(F.lit("Comparing "), quoted("base_topic"), F.lit(" (v"), F.col("base_version").cast("string"), F.lit(") vs "), quoted("target_topic"), F.lit(" (v"), F.col("target_version").cast("string"), F.lit(")."))
+    avgs = F.concat(two("base_avg"), F.lit(" → "), two("target_avg"))
+    moved = F.concat(F.lit("Overall sentiment **"), F.col("direction"), F.lit("** by "), two(F.abs("delta")), F.lit(" (from "), avgs, F.lit(")."))
+    shift = F.when(F.col("direction") == "stable", F.concat(F.lit("Overall sentiment remained **stable** ("), avgs, F.lit(")."))).otherwise(moved)
+    more = F.col("target_posts") - F.col("base_posts")
+    volume = lambda word: F.concat(F.lit(f"Data volume {word} by "), F.abs(more).cast("string"), F.lit(" posts ("), F.col("base_posts").cast("string"), F.lit(" → "), F.col("target_posts").cast("string"), F.lit(")."))
+    listed = lambda said, c: F.when(F.size(c) > 0, F.concat(F.lit(said), F.array_join(F.slice(c, 1, 5), ", "), F.lit(".")))
+    parts = [F.when(F.col("base_topic") == F.col("target_topic"), same).otherwise(unlike), shift, F.when(more > 0, volume("increased")).when(more < 0, volume("decreased")), listed("New keywords emerged: ", "added"), listed("Keywords dropped out: ", "removed")]
+    return rows.withColumn(out, F.concat_ws(" ", *parts))
+
+
 def confusion(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """How a scorer's labels meet the true ones (an extension)."""
     return scored.join(labels, scored["seq"] == labels["doc_id"]).groupBy(S.label3(F.col("score")).alias("label"), "quality", "toxic").agg(F.count("*").alias("n"))

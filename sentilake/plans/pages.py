@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import payloads as X
+from ..functions import sentiment as S
 from ..functions import texts as T
 from ..functions import urls as U
 from ..functions.plan import staged
@@ -126,6 +127,20 @@ def summary_report(spark, d):
     return out.withColumn("sentiment_over_time", F.array_join(F.transform("sentiment_over_time", day), " "))
 
 
+@query
+def comparison_narratives(spark, d):
+    """Each user's events of the first half of the month against those of the second, in words."""
+    e, early = table(spark, d, "events"), F.dayofmonth("ts") <= 15
+    avg = lambda c: F.coalesce(F.round(F.avg(F.when(c, (F.col("value") - 50) / 50)), 4), F.lit(0.0)) + 0.00003
+    kinds = lambda c: F.array_sort(F.collect_set(F.when(c & (F.col("value") > 95), F.col("event_type"))))
+    sides = e.groupBy("user_id").agg(F.count_if(early).alias("base_posts"), F.count_if(~early).alias("target_posts"), avg(early).alias("base_avg"), avg(~early).alias("target_avg"), kinds(early).alias("was"), kinds(~early).alias("is"))
+    name = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    rows = sides.withColumn("delta", F.round(F.col("target_avg") - F.col("base_avg"), 4) + 0.00001).select(
+        "user_id", name.alias("base_topic"), F.when(F.col("user_id") % 3 == 0, F.lit("another")).otherwise(name).alias("target_topic"), F.lit(1).alias("base_version"), F.lit(2).alias("target_version"),
+        "base_posts", "target_posts", "base_avg", "target_avg", "delta", S.direction(F.col("delta")).alias("direction"), F.array_except("is", "was").alias("added"), F.array_except("was", "is").alias("removed"))
+    return reporting.narrative(rows).select("user_id", "narrative")
+
+
 CRAWL = links.Brief("the", ("and", "tion"), ("#of",))
 
 
@@ -206,7 +221,15 @@ _DAYS = f"{Q.POSTS}, q AS (SELECT *, CASE WHEN seq % 9 > 0 THEN make_date(2024,
 _KEYS = "k0 AS (SELECT platform, seq, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]{4,}') AS ks FROM p), k AS (SELECT platform, seq, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS pos FROM k0)"
 _PREPARED = """CASE doc_id % 4 WHEN 0 THEN trim(t) || ' I''m enraged face enraged face at café x' WHEN 1 THEN trim(t) || ' it’s *fine* thumbs up and rocket'
   WHEN 2 THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t || ' `code` [label](http://a.example/b) - # end', '`{1,3}[^`]*`{1,3}', ' ', 'g'), '\\[(.*?)\\]\\((.*?)\\)', ' \\1 ', 'g'), '[*_~#>-]', ' ', 'g'), '\\s+', ' ', 'g')) ELSE trim(t) END"""
+_SAID = "string_agg(DISTINCT event_type, ', ' ORDER BY event_type) FILTER (WHERE {} AND value > 95 AND NOT list_contains({}, event_type))"
 SQL = {
+    "comparison_narratives": f"""WITH e AS (SELECT user_id, event_type, value, day(ts) <= 15 AS early FROM events),
+k AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (WHERE early AND value > 95), []) AS was, coalesce(list(DISTINCT event_type) FILTER (WHERE NOT early AND value > 95), []) AS now FROM e GROUP BY user_id),
+g AS (SELECT user_id, count(*) FILTER (WHERE early) AS n, count(*) FILTER (WHERE NOT early) AS m, coalesce(round(avg((value - 50) / 50) FILTER (WHERE early), 4), 0.0) + 0.00003::DOUBLE AS a, coalesce(round(avg((value - 50) / 50) FILTER (WHERE NOT early), 4), 0.0) + 0.00003::DOUBLE AS b,
+  {_SAID.format("NOT early", "was")} AS added, {_SAID.format("early", "now")} AS removed FROM e JOIN k USING (user_id) GROUP BY user_id), x AS (SELECT *, round(b - a, 4) + 0.00001::DOUBLE AS delta FROM g)
+SELECT user_id, concat_ws(' ', CASE WHEN user_id % 3 = 0 THEN 'Comparing **"user ' || user_id || '"** (v1) vs **"another"** (v2).' ELSE 'Comparing **v1** vs **v2** for **"user ' || user_id || '"**.' END,
+  CASE WHEN delta > 0.05 THEN printf('Overall sentiment **improved** by %.2f (from %.2f → %.2f).', delta, a, b) WHEN delta < -0.05 THEN printf('Overall sentiment **declined** by %.2f (from %.2f → %.2f).', -delta, a, b) ELSE printf('Overall sentiment remained **stable** (%.2f → %.2f).', a, b) END,
+  CASE WHEN m > n THEN printf('Data volume increased by %d posts (%d → %d).', m - n, n, m) WHEN m < n THEN printf('Data volume decreased by %d posts (%d → %d).', n - m, n, m) END, 'New keywords emerged: ' || added || '.', 'Keywords dropped out: ' || removed || '.') AS narrative FROM x""",
     "deep_dates": """WITH e AS (SELECT event_id, event_id AS k, strftime(ts, '%Y-%m-%d') AS day FROM events)
 SELECT event_id, CASE WHEN k % 7 = 0 OR k % 6 = 0 THEN day || ' 00:00:00' WHEN k % 6 = 5 THEN NULL WHEN k % 5 > 0 THEN day || ' 00:00:00' WHEN k % 4 = 1 THEN '2023-11-14 22:13:20' END AS published_at FROM e""",
     "nested_strings": "SELECT conv_id, string_agg(trim(role), '|' ORDER BY turn) || '|' || count(*) || '|' || conv_id AS found FROM conversations GROUP BY conv_id",

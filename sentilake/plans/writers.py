@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..functions.plan import shared_folder, staged
 from ..operators import links, merging
 from ..streaming import sessions, tables
-from ..streaming.events import parquet_stream
+from ..streaming.events import parquet_stream, replay_then_follow
 from . import sql as Q
 from . import states
 
@@ -168,6 +168,19 @@ def stream_status_sweep(spark, d):
     return states_.read(spark).select("document_id", "status", "attempts")
 
 
+@query
+def late_joiner(spark, d):
+    """Half of the events are there when someone joins, the others come then: what each way brought, by type."""
+    folder = shared_folder(spark)
+    rows = table(spark, d, "events")
+    rows.where("event_id % 2 = 0").write.parquet(f"{folder}/events")
+    history, live = replay_then_follow(spark, f"{folder}/events")
+    rows.where("event_id % 2 = 1").write.mode("append").parquet(f"{folder}/events")
+    live.writeStream.format("parquet").option("path", f"{folder}/live").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    both = history.withColumn("came", F.lit("history")).unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/live").withColumn("came", F.lit("live")))
+    return both.groupBy("came", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 ACTIONS = {"click": "advance", "view": "start", "purchase": "ask", "signup": "answer", "error": "fail"}
 
 
@@ -215,6 +228,7 @@ UNION ALL SELECT session, since + {_DAY}, NULL, 'timeout', status, '{V.FAILED}',
 
 
 SQL = {
+    "late_joiner": "SELECT CASE WHEN event_id % 2 = 0 THEN 'history' ELSE 'live' END AS came, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL",
     "session_transitions": _SESSIONS,
     "target_upserts": f"""WITH p AS (SELECT page_id AS k, {_LATER.format("page_id")} AS "at", url, {_HOST} AS normalized_url, {Q.DOMAIN} AS domain, 't' || page_id % 3 AS slug, CASE WHEN page_id % 2 = 0 THEN 'failed' ELSE 'not_started' END AS status, CASE WHEN page_id % 4 = 2 THEN '2024-01-05' END AS published FROM pages),
 r AS (SELECT normalized_url, slug, arg_max(concat_ws('/', slug, upper(slug), 'r' || k % 4, status, "at"::VARCHAR, published), "at") AS ref FROM p GROUP BY ALL), f AS (SELECT normalized_url, string_agg(ref, ' ' ORDER BY ref) AS refs FROM r GROUP BY 1)

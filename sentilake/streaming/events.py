@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan import shared_folder
+from ..functions.plan import shared_folder, staged
 
 
 def daily_windows(stream: DataFrame) -> DataFrame:
@@ -37,6 +37,20 @@ def replayed_days(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(days.schema).parquet(f"{answer}/days")
 
 
+def replay_then_follow(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What a folder of events holds now, as a table, and as a stream all that comes after, for one who joins late.
+
+    The cut is the set of files that are there, written down before either is read. Files
+    that come while the history is still being read are in the stream alone; no row is in
+    both or in neither.
+    """
+    stream = parquet_stream(spark, path)
+    file = F.col("_metadata.file_path").alias("__file")
+    history = spark.read.schema(stream.schema).parquet(path).select("*", file)
+    cut = staged(history.select("__file").distinct())
+    return history.join(cut, "__file", "left_semi").drop("__file"), stream.select("*", file).join(cut, "__file", "left_anti").drop("__file")
+
+
 def append_batches(stream: DataFrame, path: str, checkpoint: str):
     """Append each micro-batch of events to a table, in a folder of its own by day; a batch that is delivered again replaces itself."""
     def write(batch: DataFrame, number: int) -> None:

@@ -112,3 +112,16 @@ def test_streams_of_folders_and_of_no_events(spark, tmp_path):
     for state in ("one", "two"):  # all again, under the same batch numbers
         events.append_batches(stream(), str(tmp_path / "out"), str(tmp_path / state)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_a_late_joiner_misses_nothing_and_sees_nothing_twice(spark, tmp_path):
+    source = str(tmp_path / "source")
+    rows = lambda a, z: spark.range(a, z).select("id", F.current_timestamp().alias("ts"))
+    rows(0, 10).repartition(2).write.parquet(source)
+    history, live = events.replay_then_follow(spark, source)
+    rows(10, 15).write.mode("append").parquet(source)  # comes before the history is read
+    assert sorted(r.id for r in history.collect()) == list(range(10))
+    for lot in (15, 20):
+        live.writeStream.format("parquet").option("path", str(tmp_path / "live")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "live")).collect()) == list(range(10, lot))
+        rows(lot, lot + 5).write.mode("append").parquet(source)
