@@ -220,3 +220,19 @@ def test_hit_words_or_documents_are_removed(spark):
     spans = decontaminate.decontaminate(docs, bench)
     assert collections.Counter((r.doc_id, r.text) for r in spans.collect()) == want and spans.columns == docs.columns
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
+
+
+def test_sorts_with_places_in_low_bits():
+    from sentilake.llm import language_model
+
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 5), (1, 5), (1000, 10), (1000, 1 << 62), (200_000, 1 << 63), (5000, 3)):
+        codes = rng.integers(0, top, n).astype(np.uint64)
+        if top > 1 << 60:  # some share all but their lowest bits
+            codes[: n // 3] = codes[: n // 3] & np.uint64(1023) | np.uint64(1 << 63)
+        order = language_model.sorted_order(codes)
+        assert (codes[order] == np.sort(codes)).all() and sorted(order.tolist()) == list(range(n))
+        values = codes.astype(np.int64) & ((1 << 62) - 1)
+        found, at = language_model.distinct(values)
+        want, places = np.unique(values, return_inverse=True)
+        assert (found == want).all() and (at == places).all()
