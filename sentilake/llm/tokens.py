@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import only, text_batches
 
 #: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 
 PIECES = "doc_tokens long, start long, length long, ids binary"
 
