@@ -11,6 +11,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,6 +28,10 @@ from ..functions.plan import once
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
 SPACE = re.compile(r"\s+")
+#: An ampersand, with the reference it begins if that has its semicolon.
+REFERENCE = re.compile(r"&(?:#[0-9]+;|#[xX][0-9a-fA-F]+;|([0-9A-Za-z]+;))?")
+#: Characters that no text has.
+NO_CHARACTERS = tuple(map(chr, range(0xFDD0, 0xFDF0)))
 FIELDS = "metas map<string,string>, title string, lang string, items array<string>, article string, main string, section string, body string, paragraphs string, raw_text string"
 
 
@@ -45,10 +50,19 @@ def items(scripts: list[list[str]]) -> Iterator[str]:
 
 
 class Reader(HTMLParser):
-    """One page: its strings in order, and which of them lie in what element."""
+    """One page: its strings in order, and which of them lie in what element.
 
-    def __init__(self, html: str):
+    Without ``bare`` a reference counts only with its semicolon: other ampersands pass the
+    parser as a character that the page doesn't have.
+    """
+
+    def __init__(self, html: str, bare: bool = True):
         super().__init__(convert_charrefs=True)
+        self.stands: str | None = None
+        if not bare and "&" in html:
+            self.stands = next((c for c in NO_CHARACTERS if c not in html), None)
+        if self.stands:
+            html = REFERENCE.sub(lambda m: m[0] if len(m[0]) > 1 and (m[1] is None or m[1] in html5) else self.stands + m[0][1:], html)
         self.stack: list[tuple[str, int | None]] = []
         self.open: Counter[str] = Counter()
         self.named: dict[str, str] = {}
@@ -67,6 +81,8 @@ class Reader(HTMLParser):
             self._pop()
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
+        if self.stands:
+            attributes = [(k, v and v.replace(self.stands, "&")) for k, v in attributes]
         given = dict(reversed(attributes))
         if tag == "meta":
             for key, found in (("property", self.properties), ("name", self.named)):
@@ -107,6 +123,8 @@ class Reader(HTMLParser):
         return tag
 
     def handle_data(self, data: str) -> None:
+        if self.stands:
+            data = data.replace(self.stands, "&")
         tag, span = self.stack[-1] if self.stack else ("", None)
         if tag == "script" and span is not None:
             span.append(data)
@@ -136,8 +154,11 @@ class Reader(HTMLParser):
         }
 
 
-def parsed(pages: DataFrame, html: str = "html", *, rows: int = 64) -> DataFrame:
-    """``pages`` without the html column, and FIELDS; paragraphs only where no content tag has a text of some length. Null pages are empty."""
+def parsed(pages: DataFrame, html: str = "html", *, rows: int = 64, bare: bool = True) -> DataFrame:
+    """``pages`` without the html column, and FIELDS; paragraphs only where no content tag has a text of some length. Null pages are empty.
+
+    ``bare``: references without a semicolon are read too, as browsers do (``&amp x``).
+    """
     kept = [f for f in pages.schema.fields if f.name != html]
     fields = StructType.fromDDL(FIELDS)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -148,7 +169,7 @@ def parsed(pages: DataFrame, html: str = "html", *, rows: int = 64) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 part = whole.slice(at, rows)
-                found = [Reader(x or "").row() for x in part.column(html).to_pylist()]
+                found = [Reader(x or "", bare).row() for x in part.column(html).to_pylist()]
                 own = [pa.array([r[f.name] for r in found], f.type) for f in kind]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *own], names=[*[f.name for f in kept], *kind.names])
 
@@ -164,7 +185,7 @@ def first_of(items: Column, value) -> Column:
     return F.get(F.filter(F.transform(items, lambda i: given(value(i))), lambda x: x.isNotNull()), F.lit(0))
 
 
-def documents(pages: DataFrame) -> DataFrame:
+def documents(pages: DataFrame, *, bare: bool = True) -> DataFrame:
     """``pages`` (with url and html) as documents.
 
     Meta tags come before the tag, and that before JSON-LD; of two metas with one name the
@@ -174,7 +195,7 @@ def documents(pages: DataFrame) -> DataFrame:
     can't be read is left out. A page without html has empty texts.
     """
     had = [c for c in pages.columns if c != "html"]
-    rows = parsed(pages)
+    rows = parsed(pages, bare=bare)
     meta = lambda *names: F.coalesce(*[given(T.squeeze(F.try_element_at("metas", F.lit(n)))) for n in names])
     get = lambda *paths: lambda i: F.coalesce(*[given(F.get_json_object(i, p)) for p in paths])
     main = F.coalesce(*[F.when(F.length(c) > V.MIN_MAIN_TEXT, F.col(c)) for c in V.CONTENT_TAGS], given(F.col("paragraphs")))
@@ -192,9 +213,9 @@ def documents(pages: DataFrame) -> DataFrame:
     return rows.withColumn("domain", U.authority(F.col("url"))) if "url" in had else rows
 
 
-def best_text(pages: DataFrame) -> DataFrame:
+def best_text(pages: DataFrame, *, bare: bool = True) -> DataFrame:
     """page_id, origin, text and quality: of the texts of the first article, main, section and body the one of the highest quality; of equal ones the first. Pages without any have none."""
-    rows = parsed(pages.select("page_id", "html")).select("page_id", *V.CONTENT_TAGS)
+    rows = parsed(pages.select("page_id", "html"), bare=bare).select("page_id", *V.CONTENT_TAGS)
     choices = []
     for place, tag in enumerate(V.CONTENT_TAGS):
         found, low = f"__{tag}_tokens", f"__{tag}_low"

@@ -1,5 +1,8 @@
 """HTML documents: what a page says of itself, and its texts."""
 
+import duckdb
+import pytest
+from sentilake.plans import pages
 from sentilake.sources import html as H
 
 LD = """<script type='application/ld+json'>[{"headline": " From  LD ", "author": [{"name": "Ann"}], "articleBody": "Body of LD", "datePublished": "2024"}, 3]</script>"""
@@ -56,3 +59,22 @@ def test_best_text_is_that_of_the_highest_quality(spark):
     got = {r.page_id: r for r in H.best_text(rows).collect()}
     assert got[0].origin == "main" and got[1].origin == "article" and got[1].text == LONG.strip()
     assert got[2].origin is None and got[3].text is None
+
+
+def test_references_without_a_semicolon():
+    page = "<title>a&amp b&copy;&ampx;</title><meta name=author content='A&amp B&lt;'><script type=application/ld+json>{\"name\": \"R&D &amp x\"}</script><p>c&amp</p>&#65;&#65 &am"
+    said = lambda **how: {k: v for k, v in H.Reader(page, **how).row().items() if k in ("title", "metas", "items", "raw_text")}
+    ld = ['{"name": "R&D &amp x"}']
+    assert said() == {"title": "a& b©&x;", "metas": [("author", "A& B<")], "items": ld, "raw_text": "a& b©&x; c& AA &am"}
+    assert said(bare=False) == {"title": "a&amp b©&ampx;", "metas": [("author", "A&amp B<")], "items": ld, "raw_text": "a&amp b©&ampx; c&amp A&#65 &am"}
+
+
+@pytest.mark.parametrize("name", ["html_document"])
+def test_pages_with_cut_references_equal_the_sql(spark, tmp_path, name):
+    """Titles that are cut in the middle of a reference, as some of the tables' are."""
+    html = [f'<html lang="en"><head><title>Cut {cut}</title></head><body><article><p>Cut {cut}</p><p>{LONG.replace("&", "&amp;&amp;")}</p></article></body></html>' for cut in ("&amp;&amp", "&am", "&", "&amp;", "&lt", "&quot")]
+    spark.createDataFrame([(i, f"http://a.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in pages.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(pages.SQL[name]).fetchall()) and len(got) == len(html)
