@@ -54,3 +54,15 @@ def test_whole_reports(spark):
     assert [(r.platform, r.post_count, r.top_keywords) for r in reporting.breakdown_report(posts).collect()] == [(None, 1, ["words"]), ("x", 2, ["words", "same", "here", "other"]), ("y", 1, [])]
     none = reporting.summary_report(posts.limit(0)).head()
     assert (none.total_posts, none.most_positive_post, none.top_keywords, none.sentiment_over_time) == (0, "", [], [])
+
+
+def test_dates_are_worked_out_once(spark):
+    """A payload is read once for each key, and a value of its own once, however often a date's forms mention them."""
+    said = {
+        '{"created": "soon", "time": "2024-01-05"}': "2024-01-05", '{"published": null, "epoch": 1700000000}': "2023-11-14", '{"d\\u0061te": "Jan 5, 2024"}': "2024-01-05",
+        '{"x": {"date": "2024-01-05"}, "y": "date"}': None, '{"date": " 5 Jan 2024 ", "published_at": "2024/1/6"}': "2024-01-06", '{"date": ""}': None, "no json date": None, None: None,
+    }
+    rows = spark.createDataFrame([(x,) for x in said], "j string").select("j", T.payload_date(F.col("j")).cast("date").cast("string").alias("at"))
+    assert {r.j: r["at"] for r in rows.collect()} == said
+    assert str(T.payload_date(F.col("j"))).count("get_json_object") == len(T.V.DATE_KEYS)
+    assert str(T.parse_date(F.md5("j"))).count("md5(") == 1
