@@ -43,8 +43,7 @@ def dated_values(payload: pd.Series) -> pd.Series:
 
 def published_at(own: Column, payload: Column) -> Column:
     """A date of its own, else one under the named keys of a payload, else the first under any key that speaks of a time."""
-    deep = F.get(F.filter(F.transform(dated_values(payload), T.parse_date), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(T.parse_date(own), T.payload_date(payload), deep)
+    return F.coalesce(T.parse_date(own), T.payload_date(payload), T.first_date(dated_values(payload)))
 
 
 def _values(value) -> Iterator[str]:
