@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -123,10 +124,13 @@ def _prepared(text: str | None) -> str:
     return " ".join(PICTURES.sub(_named, t).replace("_", " ").split())
 
 
-@F.pandas_udf(StringType())
-def prepared(text: pd.Series) -> pd.Series:
-    """A text before it is normalised: entities read, mangled letters repaired, pictures as their names, underscores and white space as single spaces. Null is empty."""
-    return text.map(_prepared, na_action=None)
+@F.arrow_udf(StringType())
+def prepared(text: pa.Array) -> pa.Array:
+    """A text before it is normalised: entities read, mangled letters repaired, pictures as their names, underscores and white space as single spaces. Null is empty.
+
+    Only one text at a time is a Python string.
+    """
+    return pa.array((_prepared(x.as_py()) for x in text), pa.string())
 
 
 def without_markdown(text: Column) -> Column:

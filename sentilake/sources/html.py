@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from ..functions import fixed_values as V
 from ..functions import texts as T
 from ..functions import urls as U
-from ..functions.plan import once
+from ..functions.plan import once, small_batches
 
 #: Elements that never hold anything, and those whose text isn't the page's.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,6 +159,7 @@ def parsed(pages: DataFrame, html: str = "html", *, rows: int = 64, bare: bool =
 
     ``bare``: references without a semicolon are read too, as browsers do (``&amp x``).
     """
+    small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name != html]
     fields = StructType.fromDDL(FIELDS)
     from pyspark.sql.pandas.types import to_arrow_schema

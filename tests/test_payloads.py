@@ -2,8 +2,10 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from sentilake.functions import payloads as X
+from sentilake.functions import plan
 from sentilake.functions import texts as T
 from sentilake.operators import reporting
 
@@ -66,3 +68,21 @@ def test_dates_are_worked_out_once(spark):
     assert {r.j: r["at"] for r in rows.collect()} == said
     assert str(T.payload_date(F.col("j"))).count("get_json_object") == len(T.V.DATE_KEYS)
     assert str(T.parse_date(F.md5("j"))).count("md5(") == 1
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    names = list(plan.BATCHES)
+    try:
+        spark.conf.set(names[0], 7)
+        spark.conf.unset(names[1])
+        plan.small_batches(spark)
+        assert [spark.conf.get(n) for n in names] == ["7", str(4 << 20)]
+        spark.conf.set(names[0], 10_000)
+        plan.small_batches(spark)
+        rows = [(i, "x" * 100_000 if i % 2 else None) for i in range(1200)]
+        seen = F.arrow_udf(lambda t: pa.array([len(t)] * len(t), pa.int64()), "long")
+        largest = spark.createDataFrame(rows, "i long, t string").coalesce(1).select(seen("t").alias("n"), X.prepared(F.col("t")).alias("p")).agg(F.max("n"), F.min("p"), F.max(F.length("p"))).head()
+        assert 0 < largest[0] <= 100 and largest[1:] == ("", 100_000)
+    finally:
+        for n in names:
+            spark.conf.unset(n)
