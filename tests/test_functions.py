@@ -36,6 +36,29 @@ def test_normalize_text(spark):
     assert got == ["i cannot see user bar tag <url> now", "fine", ""]
 
 
+def test_normalize_searches_before_it_replaces(spark):
+    """The patterns one after the other give the same, and a text without their words is spared them."""
+
+    def plainly(text, noise):
+        t = F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" "))
+        t = T.expand_contractions(t)
+        t = F.regexp_replace(t, "(^|[^\\p{L}\\p{N}_])@[A-Za-z0-9_]{2,64}", "$1 @user ")
+        t = F.regexp_replace(F.regexp_replace(t, "#([A-Za-z0-9_]+)", " $1 "), T.URL, " <url> ")
+        for p in noise:
+            t = F.regexp_replace(t, "(?i)" + p, " ")
+        return F.lower(T.squeeze(F.translate(t, T.PUNCTUATION, " " * len(T.PUNCTUATION))))
+
+    texts = [
+        None, "", " \t ", "Cookie policy and COOKIES\n\tPolicy", "sign in cookie policy to continue", "Sign  in to continueSubscribe for more", "accept_all_cookies", "x'sign in to continue", "HTTPS://a.b/cookie policy", "WWW.x.y #tag @me a@b.cd @@user",
+        "can't WON'T it's <b>a|b~c^d`e</b>", "java script is disabled, JavaScript\x0bis\fdisabled", "see http://a.b of it", "İI \u212a \u017fign in to continue ÄÖ", "a  b\u00a0\u3000c \x1c", "\\ [x] {y} $1 \\1 & && -", "aaa xy b",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for noise in (T.V.NOISE_PATTERNS, ("url\\s*",), ("cookie(s)?p", "a{2}", "[xy]+"), ()):
+        got = rows.select("text", T.normalize(F.col("text"), noise).alias("a"), plainly(F.col("text"), noise).alias("b")).collect()
+        assert len(got) == len(texts) and [r.a for r in got] == [r.b for r in got]
+    assert T.needed_words("cookie(s)?\\s+policy") == ["cookie", "policy"] and T.needed_words("a(b)?c") == ["a", "c"] and T.needed_words("a{2}") == T.needed_words("a|b") == []
+
+
 def test_dates_slugs_hashes(spark):
     assert values(spark, T.slug, ["  Hello, World_x!  ", "!!!"]) == ["hello-world-x", "untitled-topic"]
     assert values(spark, T.content_hash, [" ", None]) == [None, None]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from sentilake.functions import plan
+from sentilake.functions import texts as T
 from sentilake.operators import cleaning, stores
 
 KINDS = "doc_id long, topic string, cleaned string, status string"
@@ -73,3 +74,48 @@ def test_a_page_in_a_third_of_all_rows_is_marked_where_it_lies(spark, monkeypatc
     got = {r.doc_id: (r.status, r.duplicate_of) for r in cleaning.mark_duplicates(spark.createDataFrame(rows, KINDS)).collect()}
     assert len(got) == len(rows) and all(got[i] == ((("duplicate", 0) if i else ("accepted", None)) if i % 3 == 0 else ("accepted", None)) for i in range(3000))
     assert got[5000] == ("accepted", None) and got[5001] == ("duplicate", 5000) and got[5002] == ("failed", None) and got[5003] == ("accepted", None)
+
+
+def test_texts_of_one_vocabulary_are_not_compared(spark, monkeypatch):
+    """Words that all texts draw from put no pair of them to the test; pairs that share enough are all there."""
+    rng = random.Random(3)
+    rows = [(i, "t", " ".join(rng.sample([f"w{k}" for k in range(600)], 60)), "accepted") for i in range(60)]
+    rows += [(100 + i, "t", c.replace("w1 ", "x "), "accepted") for i, _, c, _ in rows[:5]]
+    verified = []
+    matches = stores.word_matches
+
+    def counted(*given):
+        out = plan.staged(matches(*given))
+        verified.extend(out.where("text is not null").collect())
+        return out
+
+    monkeypatch.setattr(stores, "word_matches", counted)
+    got = {(r.doc_id, r.match_id) for r in stores.near_duplicates(spark.createDataFrame(rows, KINDS)).collect()}
+    assert got == {p for i in range(5) for p in ((i, 100 + i), (100 + i, i))}
+    # each text meets itself; of the others nearly none
+    assert len(verified) < 2 * len(rows)
+
+
+def test_distance_in_a_band():
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abé\U0001f600") for _ in range(n))
+    for _ in range(2000):
+        a = some(rng.randrange(14))
+        b = list(a if rng.random() < 0.7 else some(rng.randrange(14)))
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "bé"])
+        want, most = distance(a, "".join(b)), rng.randrange(12)
+        assert T.distance(a, "".join(b), most) == (want if want <= most else -1), (a, b, most)
+    a = some(700)
+    b = a[:50] + "x" + a[90:400] + "yé" + a[398:]
+    assert T.distance(a, b, 80) == T.distance(b, a, 700) == distance(a, b) and T.distance(a, b, 20) == -1
+
+
+def test_no_distance_over_all_pairs_of_letters(spark, monkeypatch):
+    """Spark's own distance walks over all of them, whatever its bound."""
+    plans, staged = [], stores.staged
+    monkeypatch.setattr(stores, "staged", lambda df: plans.append(df._jdf.queryExecution().toString()) or staged(df))
+    rows = [(i, "t", f"long text of number {i} " + "and so on " * 30, "accepted") for i in range(3)]
+    assert {(r.doc_id, r.match_id) for r in stores.near_duplicates(spark.createDataFrame(rows, KINDS)).collect()} == {(0, 2), (1, 2), (2, 1)}
+    assert plans and not any("levenshtein(" in p for p in plans)
