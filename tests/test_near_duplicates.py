@@ -94,6 +94,10 @@ def test_texts_of_one_vocabulary_are_not_compared(spark, monkeypatch):
     assert got == {p for i in range(5) for p in ((i, 100 + i), (100 + i, i))}
     # each text meets itself; of the others nearly none
     assert len(verified) < 2 * len(rows)
+    # the same where pairs and candidates are too many to be broadcast
+    monkeypatch.setattr(stores, "PAIR_ROWS", 0)
+    monkeypatch.setattr(stores, "OTHER_BYTES", 0)
+    assert {(r.doc_id, r.match_id) for r in stores.near_duplicates(spark.createDataFrame(rows, KINDS)).collect()} == got
 
 
 def test_distance_in_a_band():
